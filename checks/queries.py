@@ -327,6 +327,11 @@ def box_stats_filled(t):
     return _rounded(distribution.box_stats(t.base("events"), "value", MONTHS, "event_type", ts="ts"))
 
 
+@query
+def box_stats_approximate(t):
+    return _rounded(distribution.box_stats(t.visits, "Amount", MONTHS, approximate=True))
+
+
 @query
 def box_outliers(t):
     return distribution.box_outliers(t.base("events"), "value", MONTHS, "event_type", ts="ts")
@@ -430,7 +435,10 @@ def unpivot_values(t):
 
 @query
 def pivot_variables(t):
-    values = datasets.first_values(t, VARIABLES)
+    values = filters.any_not_null(
+        datasets.observations(t, VARIABLES), ["value_numeric", "value_text"]
+    )
+    values = latest.first_per(values, ["person_id", "name"], [F.col("obs_id")])
     return reshape.pivot_variables(values, ["person_id"], datasets.DIABETES_VARIABLES)
 
 

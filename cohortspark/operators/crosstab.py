@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.operators.filters import quoted
+from cohortspark.session import materialize
 
 BLOCKS = 16
 
@@ -27,6 +28,9 @@ def crosstab(
     """``factor1 [, factor2], n [, prop]``; ``prop`` is the share of the grand total."""
     factors = [factor1] + ([factor2] if factor2 else [])
     counted = df.groupBy(*map(quoted, factors)).agg(F.count(F.lit(1)).alias("n"))
+    if factor2 and dense:
+        # The levels of both factors and the cells come from here: read the data once.
+        counted = materialize(counted, "cells")
     cells = counted.where(_complete(factors))
     if factor2 and dense:
         cells = _fill(counted, cells, factor1, factor2)
@@ -90,10 +94,8 @@ def _fill(counted: DataFrame, cells: DataFrame, factor1: str, factor2: str) -> D
 
 
 def _levels(counted: DataFrame, factor: str, name: str) -> DataFrame:
-    # Asking for n > 0, true of every count, keeps all columns of `counted` in use, so that
-    # Spark reuses its shuffle instead of reading the data again for each list of levels.
-    used = counted.where(quoted(factor).isNotNull() & (F.col("n") > 0))
-    return used.select(quoted(factor).alias(name)).distinct()
+    known = counted.where(quoted(factor).isNotNull())
+    return known.select(quoted(factor).alias(name)).distinct()
 
 
 def _block(level: str) -> Column:

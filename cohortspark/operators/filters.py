@@ -37,6 +37,19 @@ def lookup_concept(concepts: DataFrame, name: str) -> Column:
     return full_concept_names(concepts).where(F.col("name") == name).select("concept_id").scalar()
 
 
+def single_concept(concepts: DataFrame, name: str) -> Column:
+    """The id of the one concept called ``name`` as a literal, NULL when there is none.
+
+    Looked up right away, at most two rows: a literal reaches the scan of the large table,
+    also in a database, which a subquery would not.
+    """
+    named = full_concept_names(concepts).where(F.col("name") == name)
+    found = [row[0] for row in named.select("concept_id").limit(2).collect()]
+    if len(found) > 1:
+        raise ValueError(f"several concepts are called {name!r}")
+    return F.lit(found[0] if found else None).cast("bigint")
+
+
 def in_range(df: DataFrame, ts: str, start: date, end: date) -> DataFrame:
     """Rows of the days ``start`` to ``end``, both included."""
     stop = end + timedelta(days=1)

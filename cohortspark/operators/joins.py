@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cohortspark.operators.filters import full_concept_names
 
 SPREAD = 64
+LITERAL_IDS = 100
 
 
 def with_concept_name(obs: DataFrame, concepts: DataFrame, on: str = "value_coded") -> DataFrame:
@@ -26,6 +27,18 @@ def keep_matching(df: DataFrame, keys: DataFrame, on: str, key: str | None = Non
     return df.join(wanted, df[on] == wanted.wanted_key, "left_semi")
 
 
+def where_concept(df: DataFrame, on: str, concepts: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is the id of one of ``concepts``.
+
+    A short list of ids is looked up right away: literals reach the scan of ``df``, also in
+    a database. A longer one is matched by a join.
+    """
+    found = concepts.select("concept_id").limit(LITERAL_IDS + 1).collect()
+    if len(found) > LITERAL_IDS:
+        return keep_matching(df, concepts, on, "concept_id")
+    return df.where(F.col(on).isin(sorted({row[0] for row in found})))
+
+
 def left_null_safe(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Left outer join in which NULL matches NULL.
 

@@ -71,7 +71,8 @@ def retype(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for i, column in enumerate(columns):
         text = quoted(column)
         logical = text.isin(TRUE_WORDS + FALSE_WORDS)
-        whole = text.rlike(WHOLE) & F.expr(f"try_cast(`{column}` as int)").isNotNull()
+        fits_int = F.expr(f"try_cast(`{column}` as int)").isNotNull()
+        whole = F.when(text.isNotNull(), text.rlike(WHOLE) & fits_int)
         flags += [
             F.coalesce(F.bool_and(test), F.lit(True)).alias(f"{kind}{i}")
             for kind, test in (

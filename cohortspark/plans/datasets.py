@@ -17,10 +17,17 @@ from cohortspark.operators.filters import (
     any_not_null,
     full_concept_names,
     in_range_unless_all,
-    lookup_concept,
+    quoted,
+    single_concept,
     where_in,
 )
-from cohortspark.operators.joins import keep_matching, left_null_safe, left_on, with_concept_name
+from cohortspark.operators.joins import (
+    keep_matching,
+    left_null_safe,
+    left_on,
+    where_concept,
+    with_concept_name,
+)
 from cohortspark.operators.latest import repeat_rows
 from cohortspark.operators.reshape import pivot_variables
 from cohortspark.session import materialize
@@ -113,7 +120,7 @@ def diabetes(
 ) -> DataFrame:
     """Patients with a diabetes diagnosis in range, a visit of theirs, and measurements."""
     cohort = find_cohort(tables, DIABETES_CONCEPTS, start, end, fetch_all)
-    values = first_values(tables, DIABETES_VARIABLES)
+    values = first_values(tables, list(DIABETES_VARIABLES))
     return cohort_dataset(tables, cohort, values, DIABETES_VARIABLES, as_of)
 
 
@@ -127,7 +134,7 @@ def hypertension(
 ) -> DataFrame:
     """Patients with a hypertension diagnosis in range, a visit, and latest measurements."""
     cohort = find_cohort(tables, HYPERTENSION_CONCEPTS, start, end, fetch_all)
-    values = latest_values(tables, HYPERTENSION_VARIABLES)
+    values = latest_values(tables, list(HYPERTENSION_VARIABLES))
     return cohort_dataset(tables, cohort, values, HYPERTENSION_VARIABLES, as_of)
 
 
@@ -149,8 +156,7 @@ def find_cohort(
     fetch_all: bool,
 ) -> DataFrame:
     """``person_id, encounter_id`` of the diagnoses in range."""
-    concepts = where_in(full_concept_names(tables.clinical("concept_name")), "name", concept_names)
-    diagnosed = keep_matching(_coded_diagnoses(tables), concepts, "value_coded", "concept_id")
+    diagnosed = where_concept(_coded_diagnoses(tables), "value_coded", _named(tables, concept_names))
     seen = in_range_unless_all(diagnosed, "obs_datetime", start, end, fetch_all)
     return seen.select("person_id", "encounter_id").distinct()
 
@@ -174,7 +180,8 @@ def cohort_visits(tables: Tables, cohort: DataFrame) -> DataFrame:
     """``patient_id, Visit Date, Care Setting, Amount`` of the visits with a diagnosis."""
     encounters = tables.clinical("encounter")
     diagnosed = keep_matching(encounters, cohort, "encounter_id")
-    visits = diagnosed.select("visit_id", "patient_id").distinct()
+    # Used twice below: written once, so the encounters are not matched to the cohort again.
+    visits = materialize(diagnosed.select("visit_id", "patient_id").distinct(), "visits")
     payments = visit_payments(
         keep_matching(encounters, visits, "visit_id").select("visit_id", "uuid"),
         tables.billing("sale_order_line"),
@@ -190,16 +197,16 @@ def cohort_visits(tables: Tables, cohort: DataFrame) -> DataFrame:
 
 
 def first_values(tables: Tables, variables: Sequence[str]) -> DataFrame:
-    """``person_id, name, obs_id, value_*``: the first recorded value per variable."""
-    recorded = any_not_null(_observations(tables, variables), ["value_numeric", "value_text"])
-    first = F.min(F.struct("obs_id", "value_numeric", "value_text"))
-    return recorded.groupBy("person_id", "name").agg(first.alias("first")).select(
-        "person_id", "name", "first.*"
-    )
+    """``person_id`` and a column per variable with its first recorded value.
+
+    The columns are structs of ``obs_id, value_numeric, value_text``.
+    """
+    recorded = any_not_null(observations(tables, variables), ["value_numeric", "value_text"])
+    return _pack(recorded, variables)
 
 
 def latest_values(tables: Tables, variables: Sequence[str]) -> DataFrame:
-    """``person_id, name, obs_id, value_*``: the latest value per variable, which may be NULL.
+    """Like ``first_values`` with the latest values, which may be NULL.
 
     Of several at the same time the first recorded one counts. A concept with a value at an
     unknown time has no latest one.
@@ -214,21 +221,19 @@ def latest_values(tables: Tables, variables: Sequence[str]) -> DataFrame:
         )
     )
     per_concept = (
-        _observations(tables, variables)
+        observations(tables, variables)
         .groupBy("person_id", "concept_id", "name")
         .agg(latest.alias("latest"))
         .where(~F.col("latest.undated"))
-    )
-    first = F.min(
-        F.struct(
+        .select(
+            "person_id",
+            "name",
             (-F.col("latest.newest_first")).alias("obs_id"),
-            F.col("latest.value_numeric").alias("value_numeric"),
-            F.col("latest.value_text").alias("value_text"),
+            "latest.value_numeric",
+            "latest.value_text",
         )
     )
-    return per_concept.groupBy("person_id", "name").agg(first.alias("first")).select(
-        "person_id", "name", "first.*"
-    )
+    return _pack(per_concept, variables)
 
 
 def patient_visit_pairs(tables: Tables, cohort: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -237,7 +242,7 @@ def patient_visit_pairs(tables: Tables, cohort: DataFrame, variables: Sequence[s
     A patient row is a visit of a cohort patient with one of their addresses and
     identifiers. The pairs themselves are never formed: the counts multiply.
     """
-    observed = _observations(tables, variables).groupBy("person_id", "name").agg(
+    observed = observations(tables, variables).groupBy("person_id", "name").agg(
         F.count(F.lit(1)).alias("observations")
     )
     visits = _count_by(cohort_visits(tables, cohort), "patient_id", "visits")
@@ -279,24 +284,51 @@ def cohort_dataset(
     persons = keep_matching(_persons(tables, as_of), cohort, "person_id")
     patients = persons.join(visits, "person_id").join(addresses, "person_id")
     measured = values.join(patients, "person_id").join(_identifiers(tables), "person_id")
-    # One value per identifier and variable, also when persons share an identifier.
+    # One value per identifier and variable, also when persons share an identifier. The
+    # pivot that follows keeps the partitioning by identifier, so it needs no shuffle.
     described = ["person_id", *PATIENT_COLUMNS]
-    carried = [F.col(f"`{name}`") for name in described]
-    chosen = F.min(F.struct("obs_id", "value_numeric", "value_text", *carried))
-    single = measured.groupBy("identifier", "name").agg(chosen.alias("chosen")).select(
-        "identifier", "name", "chosen.*"
-    )
-    known = any_not_null(single, ["value_numeric", "value_text"])
+    chosen = [
+        F.min(
+            F.when(
+                quoted(name).isNotNull(),
+                F.struct(
+                    F.col(f"`{name}`.obs_id"),
+                    F.lit(name).alias("name"),
+                    F.col(f"`{name}`.value_numeric"),
+                    F.col(f"`{name}`.value_text"),
+                    *map(quoted, described),
+                ),
+            )
+        ).alias(name)
+        for name in variables
+    ]
+    owned = measured.groupBy("identifier").agg(*chosen)
+    rows = owned.select("identifier", F.explode(F.array(*map(quoted, variables))).alias("row"))
+    known = any_not_null(rows.select("identifier", "row.*"), ["value_numeric", "value_text"])
     wide = pivot_variables(known, ["identifier", *described], variables)
     return wide.select(
-        F.col("identifier").alias("ID"),
-        *[f"`{name}`" for name in PATIENT_COLUMNS],
-        *[f"`{variable}`" for variable in variables],
+        F.col("identifier").alias("ID"), *map(quoted, PATIENT_COLUMNS), *map(quoted, variables)
+    )
+
+
+def observations(tables: Tables, variables: Sequence[str]) -> DataFrame:
+    """The observations of the named variables, with the name of each."""
+    names = _named(tables, variables)
+    return where_concept(tables.clinical("obs"), "concept_id", names).join(names, "concept_id").select(
+        "person_id", "concept_id", "name", "obs_id", "obs_datetime", "value_numeric", "value_text"
+    )
+
+
+def _pack(rows: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """One row per person with the first row of each variable as a struct."""
+    row = F.struct("obs_id", "value_numeric", "value_text")
+    return rows.groupBy("person_id").agg(
+        *[F.min(F.when(F.col("name") == name, row)).alias(name) for name in variables]
     )
 
 
 def _coded_diagnoses(tables: Tables) -> DataFrame:
-    coded = lookup_concept(tables.clinical("concept_name"), CODED_DIAGNOSIS)
+    coded = single_concept(tables.clinical("concept_name"), CODED_DIAGNOSIS)
     return tables.clinical("obs").where(F.col("concept_id") == coded).select(
         "person_id", "encounter_id", "value_coded", "obs_datetime"
     )
@@ -309,18 +341,16 @@ def _latest_counted(seen: DataFrame, keys: Sequence[str], ts: str = "obs_datetim
     however many rows one group has. A group with a missing time is left out.
     """
     counted = seen.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("n"))
-    last = F.max(F.struct(F.col(ts).isNull().alias("undated"), F.col(ts), F.col("n")))
-    grouped = counted.groupBy(*keys).agg(last.alias("last"))
-    return grouped.where(~F.col("last.undated")).select(*keys, f"last.{ts}", "last.n")
+    grouped = counted.groupBy(*keys).agg(
+        F.max(ts).alias(ts),
+        F.max_by("n", ts).alias("n"),
+        F.bool_or(F.col(ts).isNull()).alias("undated"),
+    )
+    return grouped.where(~F.col("undated")).select(*keys, ts, "n")
 
 
-def _observations(tables: Tables, variables: Sequence[str]) -> DataFrame:
-    names = where_in(
-        full_concept_names(tables.clinical("concept_name")), "name", list(variables)
-    )
-    return tables.clinical("obs").join(names, "concept_id").select(
-        "person_id", "concept_id", "name", "obs_id", "obs_datetime", "value_numeric", "value_text"
-    )
+def _named(tables: Tables, names: Sequence[str]) -> DataFrame:
+    return where_in(full_concept_names(tables.clinical("concept_name")), "name", names)
 
 
 def _persons(tables: Tables, as_of: date | None) -> DataFrame:

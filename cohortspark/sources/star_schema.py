@@ -63,9 +63,13 @@ class StarSchemaTables(Tables):
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.has_billing = has_billing
+        self._base: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A table of the star schema; its file is opened once to learn its columns."""
+        if name not in self._base:
+            self._base[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._base[name]
 
     def read(self, name: str) -> DataFrame:
         return getattr(self, name)

@@ -77,9 +77,12 @@ class ParquetTables(Tables):
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.has_billing = has_billing
+        self._opened: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(f"{self.folder}/{name}")
+        return self._opened[name]
 
 
 class FrameTables(Tables):
