@@ -51,7 +51,7 @@ def main() -> int:
     from cohortspark import get_session
 
     folder = sys.argv[1]
-    names = sys.argv[2:] or list(QUERIES)
+    names = sys.argv[2:] or list(ORACLE)
     spark = get_session(spark__master="local[8]", spark__sql__shuffle__partitions="8",
                         spark__ui__enabled="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")

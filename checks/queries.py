@@ -30,11 +30,16 @@ MONTHS, QUARTERS, YEARS = "Months", "Quarters", "Years"
 VARIABLES = ["BMI", "BMI Status", "FBS", "Hb1AC"]
 
 
-def query_named(name: str) -> Callable:
-    """Register a function of the tables under ``name``, as a query over a folder."""
+def query_named(name: str, staged: bool = False) -> Callable:
+    """Register a function of the tables under ``name``, as a query over a folder.
+
+    ``staged`` is for queries that read the derived lines several times.
+    """
 
     def register(function: Callable[[StarSchemaTables], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, folder: function(StarSchemaTables(spark, folder))
+        QUERIES[name] = lambda spark, folder: function(
+            StarSchemaTables(spark, folder, staged=staged)
+        )
         return function
 
     return register
@@ -44,6 +49,10 @@ def query(function: Callable[[StarSchemaTables], DataFrame]) -> Callable:
     return query_named(function.__name__)(function)
 
 
+def staged_query(function: Callable[[StarSchemaTables], DataFrame]) -> Callable:
+    return query_named(function.__name__, staged=True)(function)
+
+
 # --- sources and sinks ---------------------------------------------------------------
 
 
@@ -186,7 +195,7 @@ def join_left_amounts(t):
     return priced.select("encounter_id", "order_id", "amount_total", "care_setting")
 
 
-@query
+@staged_query
 def semi_join_ids(t):
     cohort = datasets.find_cohort(t, datasets.DIABETES_CONCEPTS, START, END, False)
     encounters = t.clinical("encounter")
@@ -222,7 +231,7 @@ def derive_two_var(t):
     return derive_column(t.base("lineitem").select(LINE), DEALS)
 
 
-@query
+@staged_query
 def join_patient_visits(t):
     cohort = datasets.find_cohort(t, datasets.DIABETES_CONCEPTS, START, END, False)
     return datasets.patient_visit_pairs(t, cohort, VARIABLES)
@@ -575,17 +584,17 @@ def dataset_general(t):
     return datasets.fetch("general", t, START, END, as_of=AS_OF)
 
 
-@query
+@staged_query
 def dataset_diabetes(t):
     return datasets.fetch("diabetes", t, START, END, as_of=AS_OF)
 
 
-@query
+@staged_query
 def dataset_hypertension(t):
     return datasets.fetch("hypertension", t, START, END, as_of=AS_OF)
 
 
-@query
+@staged_query
 def dataset_diabetes_all(t):
     return datasets.fetch("diabetes", t, fetch_all=True, as_of=AS_OF)
 

@@ -74,58 +74,74 @@ def group_quantiles(
 
     Spark's own ``percentile`` gathers all distinct values of a group in one task. Here a
     mergeable sketch first brackets each quantile, and only the values inside a bracket, a
-    small share of the group, are ranked exactly; all others are just counted. Groups of up
-    to ``accuracy`` rows are ranked whole.
+    small share of the group, are ranked one by one; those between brackets are just
+    counted. Groups of up to ``accuracy`` rows are ranked whole.
     """
     values = df.where(quoted(y).isNotNull()).select(
         *[quoted(key).alias(f"key_{i}") for i, key in enumerate(keys)],
         quoted(y).cast("double").alias("y"),
     )
     names = [f"key_{i}" for i in range(len(keys))]
-    brackets = materialize(_brackets(values, names, probabilities, accuracy), "brackets")
+    found = _brackets(values, names, probabilities, accuracy)
+    brackets = materialize(found, "brackets").withColumnsRenamed(
+        {name: f"bracket_{name}" for name in names}
+    )
     same = reduce(
         lambda left, right: left & right,
-        [values[name].eqNullSafe(brackets[name]) for name in names],
+        [values[name].eqNullSafe(brackets[f"bracket_{name}"]) for name in names],
     )
-    joined = values.join(brackets, same).select(
-        *[brackets[name] for name in names],
-        "size",
-        "y",
-        F.posexplode("brackets").alias("quantile", "bracket"),
+    ends = [(F.col(f"low_{i}"), F.col(f"high_{i}")) for i in range(len(probabilities))]
+    inside = reduce(
+        lambda left, right: left | right, [F.col("y").between(low, high) for low, high in ends]
     )
-    # Values below a bracket share one row per group; those inside are kept apart.
+    # A value outside stands at the start of the next bracket, before the values in it.
+    next_start = F.array_min(F.array(*[F.when(low > F.col("y"), low) for low, _ in ends]))
     counted = (
-        joined.where(F.col("y") <= F.col("bracket.high"))
-        .withColumn("y", F.when(F.col("y") >= F.col("bracket.low"), F.col("y")))
-        .groupBy(*names, "size", "quantile", F.col("bracket.p").alias("p"), "y")
+        values.join(brackets, same)
+        .select(
+            *names,
+            "size",
+            inside.alias("inside"),
+            F.when(inside, F.col("y")).otherwise(next_start).alias("y"),
+        )
+        .where(F.col("y").isNotNull())
+        .groupBy(*names, "size", "y", "inside")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    in_order = Window.partitionBy(*names, "quantile").orderBy(F.col("y").asc_nulls_first())
+    in_order = Window.partitionBy(*names).orderBy("y", "inside")
     in_order = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    position = F.col("p") * (F.col("size") - 1)
-    below = F.floor(position)
-    ranked = counted.withColumn("upto", F.sum("n").over(in_order)).withColumns(
-        {"below": below, "part": position - below, "start": F.col("upto") - F.col("n")}
+    ranked = counted.withColumn("upto", F.sum("n").over(in_order))
+    solved = ranked.groupBy(*names, "size").agg(
+        *[
+            F.max(F.when(_holds(position), F.col("y"))).alias(f"{end}_{i}")
+            for i, p in enumerate(probabilities)
+            for end, position in zip(("lower", "upper"), _positions(p), strict=True)
+        ]
     )
-    holds_lower = (F.col("start") <= F.col("below")) & (F.col("below") < F.col("upto"))
-    upper = F.least(F.col("below") + 1, F.col("size") - 1)
-    holds_upper = (F.col("start") <= upper) & (upper < F.col("upto"))
-    ends = ranked.groupBy(*names, "quantile", "part").agg(
-        F.max(F.when(holds_lower, F.col("y"))).alias("lower"),
-        F.max(F.when(holds_upper, F.col("y"))).alias("upper"),
+    return solved.select(
+        *[F.col(name).alias(key) for name, key in zip(names, keys, strict=True)],
+        *[_interpolated(i, p).alias(f"q{i}") for i, p in enumerate(probabilities)],
     )
-    inside = F.col("lower").isNotNull() & F.col("upper").isNotNull()
-    between = F.col("lower") + F.col("part") * (F.col("upper") - F.col("lower"))
+
+
+def _positions(p: float) -> tuple[Column, Column]:
+    """The two places in the sorted group that a quantile lies between, counted from 0."""
+    last = F.col("size") - 1
+    below = F.floor(F.lit(float(p)) * last)
+    return below, F.least(below + 1, last)
+
+
+def _holds(position: Column) -> Column:
+    return F.col("inside") & (F.col("upto") - F.col("n") <= position) & (position < F.col("upto"))
+
+
+def _interpolated(i: int, p: float) -> Column:
+    lower, upper = F.col(f"lower_{i}"), F.col(f"upper_{i}")
+    below, _ = _positions(p)
+    part = F.lit(float(p)) * (F.col("size") - 1) - below
     outside = F.raise_error(F.lit("a quantile lies outside its bracket; raise the accuracy"))
-    solved = ends.withColumn("value", F.when(inside, between).otherwise(outside.cast("double")))
-    quantile = F.col("quantile")
-    return solved.groupBy(
-        *[F.col(name).alias(key) for name, key in zip(names, keys, strict=True)]
-    ).agg(
-        *[
-            F.max(F.when(quantile == i, F.col("value"))).alias(f"q{i}")
-            for i in range(len(probabilities))
-        ]
+    return F.when(lower.isNotNull() & upper.isNotNull(), lower + part * (upper - lower)).otherwise(
+        outside.cast("double")
     )
 
 
@@ -140,28 +156,23 @@ def _brackets(
     reach = 20.0 / accuracy
     lows = [max(p - reach, 0.0) for p in probabilities]
     highs = [min(p + reach, 1.0) for p in probabilities]
-    sketch = F.percentile_approx("y", lows + highs, accuracy)
     grouped = values.groupBy(*names).agg(
         F.count(F.lit(1)).alias("size"),
         F.min("y").alias("least"),
         F.max("y").alias("greatest"),
-        sketch.alias("sketch"),
+        F.percentile_approx("y", lows + highs, accuracy).alias("sketch"),
     )
-    ends = list(zip(probabilities, lows, highs, strict=True))
-    ranked_whole = F.col("size") <= accuracy
-    brackets = [
-        F.struct(
-            F.lit(float(p)).alias("p"),
-            F.when(ranked_whole | F.lit(low == 0.0), F.col("least"))
-            .otherwise(F.col("sketch")[i])
-            .alias("low"),
-            F.when(ranked_whole | F.lit(high == 1.0), F.col("greatest"))
-            .otherwise(F.col("sketch")[len(ends) + i])
-            .alias("high"),
-        )
-        for i, (p, low, high) in enumerate(ends)
-    ]
-    return grouped.select(*names, "size", F.array(*brackets).alias("brackets"))
+    whole = F.col("size") <= accuracy
+    ends = []
+    for i, (low, high) in enumerate(zip(lows, highs, strict=True)):
+        sketched_low, sketched_high = F.col("sketch")[i], F.col("sketch")[len(lows) + i]
+        ends += [
+            F.when(whole | F.lit(low == 0.0), F.col("least")).otherwise(sketched_low).alias(f"low_{i}"),
+            F.when(whole | F.lit(high == 1.0), F.col("greatest"))
+            .otherwise(sketched_high)
+            .alias(f"high_{i}"),
+        ]
+    return grouped.select(*names, "size", *ends)
 
 
 def box_stats(

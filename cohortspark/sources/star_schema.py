@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortspark.session import materialize
 from cohortspark.sources.tables import Tables
 
 # The concept dictionary (concept_id, name, concept_name_type, voided).
@@ -59,10 +60,15 @@ BILLED = "l_linenumber in (1, 3, 5)"
 class StarSchemaTables(Tables):
     """Reads ``<folder>/<table>.parquet`` and derives the clinical and billing tables."""
 
-    def __init__(self, spark: SparkSession, folder: str, has_billing: bool = True):
+    def __init__(
+        self, spark: SparkSession, folder: str, has_billing: bool = True, staged: bool = False
+    ):
+        """``staged`` derives the lines once and writes them, for datasets that read the
+        observations and encounters several times."""
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.has_billing = has_billing
+        self.staged = staged
         self._base: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
@@ -127,7 +133,7 @@ class StarSchemaTables(Tables):
 
     @cached_property
     def encounter(self) -> DataFrame:
-        return self._lines().selectExpr(
+        return self._lines.selectExpr(
             f"{LINE_ID} as encounter_id",
             "l_orderkey as visit_id",
             f"concat('enc-', cast({LINE_ID} as string)) as uuid",
@@ -137,7 +143,7 @@ class StarSchemaTables(Tables):
 
     @cached_property
     def obs(self) -> DataFrame:
-        return self._lines().selectExpr(
+        return self._lines.selectExpr(
             f"{LINE_ID} as obs_id",
             "o_custkey as person_id",
             f"{LINE_ID} as encounter_id",
@@ -197,6 +203,7 @@ class StarSchemaTables(Tables):
             region, nation.n_regionkey == region.r_regionkey
         )
 
+    @cached_property
     def _lines(self) -> DataFrame:
         """One row per line number of an order: the raw lines repeat some numbers."""
         orders = self.base("orders")
@@ -205,4 +212,7 @@ class StarSchemaTables(Tables):
             .groupBy("l_orderkey", "l_linenumber")
             .agg(F.min("l_quantity").alias("q"))
         )
-        return lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+        visited = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
+            "l_orderkey", "l_linenumber", "q", "o_custkey", "o_orderdate"
+        )
+        return materialize(visited, "lines") if self.staged else visited
