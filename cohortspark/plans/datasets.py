@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.functions import age_years, nulls_last, strict_sum
@@ -54,6 +54,10 @@ HYPERTENSION_VARIABLES = {
     "Diastolic": "double",
 }
 PATIENT_COLUMNS = ("Age", "State", "District", "Gender", "Visit Date", "Amount", "Care Setting")
+PATIENT_SCHEMA = (
+    "ID string, Age int, State string, District string, Gender string, "
+    "`Visit Date` timestamp_ntz, Amount double, `Care Setting` string"
+)
 PATIENT_ID_TYPE = 3
 
 
@@ -276,6 +280,8 @@ def cohort_dataset(
     by visit date, care setting, amount, district and state, missing ones last.
     """
     cohort = materialize(cohort, "cohort")
+    if cohort.isEmpty():
+        return _nobody(tables.spark, variables)
     visits = _first_of(
         cohort_visits(tables, cohort).withColumnRenamed("patient_id", "person_id"),
         ["Visit Date", "Care Setting", "Amount"],
@@ -311,6 +317,11 @@ def cohort_dataset(
     )
 
 
+def _nobody(spark: SparkSession, variables: dict[str, str]) -> DataFrame:
+    measured = ", ".join(f"`{name}` {kind}" for name, kind in variables.items())
+    return spark.createDataFrame([], f"{PATIENT_SCHEMA}, {measured}")
+
+
 def observations(tables: Tables, variables: Sequence[str]) -> DataFrame:
     """The observations of the named variables, with the name of each."""
     names = _named(tables, variables)
