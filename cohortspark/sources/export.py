@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 def export_csv(df: DataFrame, path: str) -> None:
     """Write ``df`` as a folder of CSV parts with a header each; NULL is written as NA."""
-    df.write.options(header=True, nullValue="NA", emptyValue="", escape='"').csv(path)
+    df.write.options(header=True, nullValue="NA", escape='"').csv(path)
 
 
 def read_exported_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
