@@ -341,6 +341,7 @@ ORACLE["scatter_points"] = """select l_quantity, l_discount, l_returnflag, count
 ORACLE["latest_with_ties"] = """select o_custkey, o_orderkey, o_orderdate from (
   select *, rank() over (partition by o_custkey order by o_orderdate desc) as k from orders)
   where k = 1"""
+ORACLE["latest_with_many_ties"] = ORACLE["latest_with_ties"]
 ORACLE["share_denominator"] = sql(
     f"""select *, {whole('Quarters')} as "countT" from cells""",
     cells=interval_counts(["diagnosis", "gender"], "Quarters"),

@@ -18,7 +18,7 @@ from cohortspark.operators.derive import Category, ColumnDefinition, derive_colu
 from cohortspark.plans import datasets
 from cohortspark.plans.charts import ItemFilter, chart_bar, chart_line, chart_map
 from cohortspark.plans.dashboard import PlotSpec, dashboard_rows, run_dashboard
-from cohortspark.session import new_path
+from cohortspark.session import materialize, new_path
 from cohortspark.sources import StarSchemaTables, export_csv, read_exported_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,6 +234,7 @@ def derive_two_var(t):
 @staged_query
 def join_patient_visits(t):
     cohort = datasets.find_cohort(t, datasets.DIABETES_CONCEPTS, START, END, False)
+    cohort = materialize(cohort, "cohort")
     return datasets.patient_visit_pairs(t, cohort, VARIABLES)
 
 
@@ -386,6 +387,12 @@ def latest_with_ties(t):
     return newest.select("o_custkey", "o_orderkey", "o_orderdate")
 
 
+@query
+def latest_with_many_ties(t):
+    newest = latest.latest(t.base("orders"), ["o_custkey"], "o_orderdate", many_ties=True)
+    return newest.select("o_custkey", "o_orderkey", "o_orderdate")
+
+
 @query
 def share_denominator(t):
     counted = counts.interval_counts(t.visits, ["Diagnosis", "Gender"], QUARTERS)

@@ -19,6 +19,8 @@ WIDTH_OF_CONSTANT = 0.1
 EDGE_TOLERANCE = 1e-8
 WHISKER = 1.5
 QUARTILES = (0.25, 0.5, 0.75)
+# Slices a bracket of an exact quantile is cut into.
+SLICES = 1000
 
 
 def histogram(
@@ -73,9 +75,10 @@ def group_quantiles(
     """``keys, q0, q1, ...``: exact quantiles of ``y`` by linear interpolation.
 
     Spark's own ``percentile`` gathers all distinct values of a group in one task. Here a
-    mergeable sketch first brackets each quantile, and only the values inside a bracket, a
-    small share of the group, are ranked one by one; those between brackets are just
-    counted. Groups of up to ``accuracy`` rows are ranked whole.
+    mergeable sketch first brackets each quantile; the values between brackets are only
+    counted. Inside, the bracket is cut into slices: the counts per slice tell which one
+    holds a quantile, and only that slice is ranked value by value. Groups of up to
+    ``accuracy`` rows are one bracket.
     """
     values = df.where(quoted(y).isNotNull()).select(
         *[quoted(key).alias(f"key_{i}") for i, key in enumerate(keys)],
@@ -83,34 +86,23 @@ def group_quantiles(
     )
     names = [f"key_{i}" for i in range(len(keys))]
     found = _brackets(values, names, probabilities, accuracy)
-    brackets = materialize(found, "brackets").withColumnsRenamed(
-        {name: f"bracket_{name}" for name in names}
-    )
-    same = reduce(
-        lambda left, right: left & right,
-        [values[name].eqNullSafe(brackets[f"bracket_{name}"]) for name in names],
-    )
-    ends = [(F.col(f"low_{i}"), F.col(f"high_{i}")) for i in range(len(probabilities))]
-    inside = reduce(
-        lambda left, right: left | right, [F.col("y").between(low, high) for low, high in ends]
-    )
-    # A value outside stands at the start of the next bracket, before the values in it.
-    next_start = F.array_min(F.array(*[F.when(low > F.col("y"), low) for low, _ in ends]))
+    brackets = _prefixed(materialize(found, "brackets"), names, "bracket")
     counted = (
-        values.join(brackets, same)
-        .select(
-            *names,
-            "size",
-            inside.alias("inside"),
-            F.when(inside, F.col("y")).otherwise(next_start).alias("y"),
-        )
-        .where(F.col("y").isNotNull())
-        .groupBy(*names, "size", "y", "inside")
+        values.join(brackets, _same(values, brackets, names, "bracket"))
+        .select(*names, "size", "y", _bracket_of(len(probabilities)).alias("at"))
+        .where(F.col("at").isNotNull())
+        .select(*names, "size", "at.*", F.when(F.col("at.slice") > 0, F.col("y")).alias("y"))
+        .groupBy(*names, "size", "bracket", "slice", "y")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    in_order = Window.partitionBy(*names).orderBy("y", "inside")
+    slices = _slices_with_quantiles(counted, names, probabilities)
+    place = [*names, "bracket", "slice"]
+    slices = _prefixed(slices, place, "in")
+    in_order = Window.partitionBy(*place).orderBy("y")
     in_order = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("upto", F.sum("n").over(in_order))
+    ranked = counted.join(slices, _same(counted, slices, place, "in")).withColumn(
+        "upto", F.col("start") + F.sum("n").over(in_order)
+    )
     solved = ranked.groupBy(*names, "size").agg(
         *[
             F.max(F.when(_holds(position), F.col("y"))).alias(f"{end}_{i}")
@@ -124,6 +116,46 @@ def group_quantiles(
     )
 
 
+def _prefixed(df: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({name: f"{prefix}_{name}" for name in names})
+
+
+def _same(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str) -> Column:
+    """Equal in all of ``names``. NULL-safe also where no NULL occurs: a plain equality would
+    add a filter to one reader of a shared table, and Spark would compute it twice."""
+    pairs = [left[name].eqNullSafe(right[f"{prefix}_{name}"]) for name in names]
+    return reduce(lambda one, other: one & other, pairs)
+
+
+def _bracket_of(n: int) -> Column:
+    """Number of the first bracket that ends at or after ``y`` and the slice of it that ``y``
+    is in, 0 when ``y`` comes before the bracket; NULL behind the last one."""
+    found = F.lit(None)
+    for i in reversed(range(n)):
+        low, high = F.col(f"low_{i}"), F.col(f"high_{i}")
+        part = F.when(high > low, (F.col("y") - low) / (high - low)).otherwise(0.0)
+        inside = (F.floor(part * SLICES) + 1).cast("int")
+        slice_ = F.when(F.col("y") < low, 0).otherwise(inside)
+        here = F.struct(F.lit(i).alias("bracket"), slice_.alias("slice"))
+        found = F.when(F.col("y") <= high, here).otherwise(found)
+    return found
+
+
+def _slices_with_quantiles(
+    counted: DataFrame, names: Sequence[str], probabilities: Sequence[float]
+) -> DataFrame:
+    """``names, bracket, slice, start``: the slices a quantile lies in, and the number of
+    values of the group before each. A group has at most ``SLICES + 2`` slices a bracket."""
+    totals = counted.groupBy(*names, "size", "bracket", "slice").agg(F.sum("n").alias("n"))
+    in_order = Window.partitionBy(*names).orderBy("bracket", "slice")
+    in_order = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = totals.withColumn("upto", F.sum("n").over(in_order))
+    wanted = [_holds(position) for p in probabilities for position in _positions(p)]
+    return placed.where(
+        (F.col("slice") > 0) & reduce(lambda one, other: one | other, wanted)
+    ).select(*names, "bracket", "slice", (F.col("upto") - F.col("n")).alias("start"))
+
+
 def _positions(p: float) -> tuple[Column, Column]:
     """The two places in the sorted group that a quantile lies between, counted from 0."""
     last = F.col("size") - 1
@@ -132,7 +164,7 @@ def _positions(p: float) -> tuple[Column, Column]:
 
 
 def _holds(position: Column) -> Column:
-    return F.col("inside") & (F.col("upto") - F.col("n") <= position) & (position < F.col("upto"))
+    return (F.col("upto") - F.col("n") <= position) & (position < F.col("upto"))
 
 
 def _interpolated(i: int, p: float) -> Column:

@@ -192,11 +192,14 @@ def test_stack_by_name(spark, rows):
 # --- latest and first ----------------------------------------------------------------
 
 
-def test_latest_keeps_ties_and_drops_undated_groups(spark, rows):
+@pytest.mark.parametrize("many_ties", [False, True])
+def test_latest_keeps_ties_and_drops_undated_groups(spark, rows, many_ties):
     data = [("p", 1, at("2017-01-01")), ("p", 2, at("2017-02-01")), ("p", 3, at("2017-02-01")),
-            ("q", 4, at("2017-01-01")), ("q", 5, None)]
+            ("q", 4, at("2017-01-01")), ("q", 5, None), (None, 6, at("2016-01-01"))]
     df = spark.createDataFrame(data, "person string, id int, ts timestamp_ntz")
-    assert rows(latest.latest(df, ["person"], "ts"), "id") == [(2,), (3,)]
+    newest = latest.latest(df, ["person"], "ts", many_ties)
+    assert newest.columns == df.columns
+    assert rows(newest, "id") == [(2,), (3,), (6,)]
 
 
 def test_first_per(spark, rows):
