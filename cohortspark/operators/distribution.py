@@ -19,8 +19,9 @@ WIDTH_OF_CONSTANT = 0.1
 EDGE_TOLERANCE = 1e-8
 WHISKER = 1.5
 QUARTILES = (0.25, 0.5, 0.75)
-# Slices a bracket of an exact quantile is cut into.
-SLICES = 1000
+# Rows of a group per slice of a bracket, and the most slices of one bracket.
+ROWS_PER_SLICE = 10_000
+MOST_SLICES = 10_000
 
 
 def histogram(
@@ -37,7 +38,7 @@ def histogram(
     """
     if width is not None and width <= 0:
         raise ValueError("the bin width must be positive")
-    values = df.where(quoted(x).isNotNull())
+    values = df.where(_finite(x))
     value = quoted(x).cast("double")
     size = F.lit(float(width)) if width is not None else _bin_width(values, value, bins)
     keys = [quoted(fill)] if fill else []
@@ -105,7 +106,7 @@ def group_quantiles(
     )
     solved = ranked.groupBy(*names, "size").agg(
         *[
-            F.max(F.when(_holds(position), F.col("y"))).alias(f"{end}_{i}")
+            F.expr(f"max(case when {_holds(position)} then y end) as {end}_{i}")
             for i, p in enumerate(probabilities)
             for end, position in zip(("lower", "upper"), _positions(p), strict=True)
         ]
@@ -130,57 +131,56 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str)
 def _bracket_of(n: int) -> Column:
     """Number of the first bracket that ends at or after ``y`` and the slice of it that ``y``
     is in, 0 when ``y`` comes before the bracket; NULL behind the last one."""
-    found = F.lit(None)
-    for i in reversed(range(n)):
-        low, high = F.col(f"low_{i}"), F.col(f"high_{i}")
-        part = F.when(high > low, (F.col("y") - low) / (high - low)).otherwise(0.0)
-        inside = (F.floor(part * SLICES) + 1).cast("int")
-        slice_ = F.when(F.col("y") < low, 0).otherwise(inside)
-        here = F.struct(F.lit(i).alias("bracket"), slice_.alias("slice"))
-        found = F.when(F.col("y") <= high, here).otherwise(found)
-    return found
+    cases = [
+        f"""when y <= high_{i} then named_struct('bracket', {i}, 'slice', case
+          when y < low_{i} then 0
+          when high_{i} > low_{i} then
+            1 + cast(floor((y - low_{i}) / (high_{i} - low_{i}) * slices) as int)
+          else 1 end)"""
+        for i in range(n)
+    ]
+    return F.expr(f"case {' '.join(cases)} end")
 
 
 def _slices_with_quantiles(
     counted: DataFrame, names: Sequence[str], probabilities: Sequence[float]
 ) -> DataFrame:
     """``names, bracket, slice, start``: the slices a quantile lies in, and the number of
-    values of the group before each. A group has at most ``SLICES + 2`` slices a bracket."""
+    values of the group before each. A group has at most ``MOST_SLICES + 2`` slices a bracket."""
     totals = counted.groupBy(*names, "size", "bracket", "slice").agg(F.sum("n").alias("n"))
     in_order = Window.partitionBy(*names).orderBy("bracket", "slice")
     in_order = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = totals.withColumn("upto", F.sum("n").over(in_order))
     wanted = [_holds(position) for p in probabilities for position in _positions(p)]
-    return placed.where(
-        (F.col("slice") > 0) & reduce(lambda one, other: one | other, wanted)
-    ).select(*names, "bracket", "slice", (F.col("upto") - F.col("n")).alias("start"))
+    return placed.where(f"slice > 0 and ({' or '.join(wanted)})").selectExpr(
+        *names, "bracket", "slice", "upto - n as start"
+    )
 
 
-def _positions(p: float) -> tuple[Column, Column]:
+def _positions(p: float) -> tuple[str, str]:
     """The two places in the sorted group that a quantile lies between, counted from 0."""
-    last = F.col("size") - 1
-    below = F.floor(F.lit(float(p)) * last)
-    return below, F.least(below + 1, last)
+    below = f"floor({float(p)}D * (size - 1))"
+    return below, f"least({below} + 1, size - 1)"
 
 
-def _holds(position: Column) -> Column:
-    return (F.col("upto") - F.col("n") <= position) & (position < F.col("upto"))
+def _holds(position: str) -> str:
+    return f"(upto - n <= {position} and {position} < upto)"
 
 
 def _interpolated(i: int, p: float) -> Column:
-    lower, upper = F.col(f"lower_{i}"), F.col(f"upper_{i}")
     below, _ = _positions(p)
-    part = F.lit(float(p)) * (F.col("size") - 1) - below
-    outside = F.raise_error(F.lit("a quantile lies outside its bracket; raise the accuracy"))
-    return F.when(lower.isNotNull() & upper.isNotNull(), lower + part * (upper - lower)).otherwise(
-        outside.cast("double")
+    return F.expr(
+        f"""case when lower_{i} is not null and upper_{i} is not null
+        then lower_{i} + ({float(p)}D * (size - 1) - {below}) * (upper_{i} - lower_{i})
+        else cast(raise_error('a quantile lies outside its bracket; raise the accuracy')
+          as double) end"""
     )
 
 
 def _brackets(
     values: DataFrame, names: Sequence[str], probabilities: Sequence[float], accuracy: int
 ) -> DataFrame:
-    """Group size and, per quantile, two values that hold it between them.
+    """Group size, number of slices and, per quantile, two values that hold it between them.
 
     The sketch is off by at most ``size / accuracy`` ranks. The bracket reaches twenty times
     as far on either side, which also covers the rounding of ranks.
@@ -194,17 +194,15 @@ def _brackets(
         F.max("y").alias("greatest"),
         F.percentile_approx("y", lows + highs, accuracy).alias("sketch"),
     )
-    whole = F.col("size") <= accuracy
     ends = []
     for i, (low, high) in enumerate(zip(lows, highs, strict=True)):
-        sketched_low, sketched_high = F.col("sketch")[i], F.col("sketch")[len(lows) + i]
+        whole = f"size <= {accuracy}"
         ends += [
-            F.when(whole | F.lit(low == 0.0), F.col("least")).otherwise(sketched_low).alias(f"low_{i}"),
-            F.when(whole | F.lit(high == 1.0), F.col("greatest"))
-            .otherwise(sketched_high)
-            .alias(f"high_{i}"),
+            f"if({whole} or {low}D = 0, least, sketch[{i}]) as low_{i}",
+            f"if({whole} or {high}D = 1, greatest, sketch[{len(lows) + i}]) as high_{i}",
         ]
-    return grouped.select(*names, "size", *ends)
+    slices = f"least(ceil(size / {ROWS_PER_SLICE}), {MOST_SLICES}) as slices"
+    return grouped.selectExpr(*names, "size", slices, *ends)
 
 
 def box_stats(
@@ -252,7 +250,12 @@ def _box_values(
 ) -> tuple[DataFrame, list[str]]:
     keys = [interval] + ([fill] if fill else [])
     values = with_interval(df, interval, ts).select(*map(quoted, keys), quoted(y))
-    return values.where(quoted(y).isNotNull() & quoted(interval).isNotNull()), keys
+    return values.where(_finite(y) & quoted(interval).isNotNull()), keys
+
+
+def _finite(name: str) -> Column:
+    """True for numbers; missing, infinite and undefined values are not drawn."""
+    return F.abs(quoted(name).cast("double")) < F.lit(float("inf"))
 
 
 def _quartiles(values: DataFrame, keys: Sequence[str], y: str, approximate: bool) -> DataFrame:
@@ -263,10 +266,13 @@ def _quartiles(values: DataFrame, keys: Sequence[str], y: str, approximate: bool
     else:
         found = group_quantiles(values, keys, y)
         quartiles = [F.col(f"q{i}") for i in range(3)]
-    return found.select(
+    boxes = found.select(
         *[quoted(key).alias(f"box_{i}") for i, key in enumerate(keys)],
         *[q.alias(name) for q, name in zip(quartiles, ("q1", "median", "q3"), strict=True)],
     )
+    # One row per box. Written, its size is known before the join with all the values, which
+    # then need not be shuffled when it is small.
+    return materialize(boxes, "boxes")
 
 
 def _join_boxes(values: DataFrame, quartiles: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -282,5 +288,5 @@ def _outlying(y: str) -> Column:
 
 def scatter(df: DataFrame, x: str, y: str, color: str = "Gender") -> DataFrame:
     """``x, y, color, n``: the points to draw, those drawn on top of each other merged."""
-    points = df.where(quoted(x).isNotNull() & quoted(y).isNotNull())
+    points = df.where(_finite(x) & _finite(y))
     return points.groupBy(quoted(x), quoted(y), quoted(color)).agg(F.count(F.lit(1)).alias("n"))

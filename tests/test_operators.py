@@ -366,7 +366,8 @@ def test_crosstab_column_limit(spark):
 
 
 def numbers(spark, values):
-    return spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+    unusable = [(None,), (float("nan"),), (float("inf"),)]
+    return spark.createDataFrame([(float(v),) for v in values] + unusable, "x double")
 
 
 @pytest.mark.parametrize(
@@ -399,7 +400,8 @@ def test_stacked_histogram_moves_a_minimum_on_an_edge_in_every_stack(spark, rows
 def test_box(spark, rows):
     df = spark.createDataFrame(
         [(at("2017-01-05"), float(v)) for v in (1, 2, 3, 10)]
-        + [(at("2017-02-05"), 4.0), (at("2017-02-05"), None), (None, 5.0)],
+        + [(at("2017-02-05"), 4.0), (at("2017-02-05"), None), (None, 5.0)]
+        + [(at("2017-02-05"), float("nan")), (at("2017-02-05"), float("-inf"))],
         "`Visit Date` timestamp_ntz, y double",
     )
     boxes = distribution.box_stats(df, "y", "Months")
@@ -410,9 +412,10 @@ def test_box(spark, rows):
     assert distribution.box_stats(df, "y", "Months", approximate=True).count() == 2
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 500])
-def test_exact_quantiles_of_uneven_groups(spark, accuracy):
+@pytest.mark.parametrize(("accuracy", "rows_per_slice"), [(10_000, 10_000), (500, 10_000), (500, 20)])
+def test_exact_quantiles_of_uneven_groups(spark, monkeypatch, accuracy, rows_per_slice):
     """A third of all rows in one group, ties, heavy tails, tiny groups, a missing key."""
+    monkeypatch.setattr(distribution, "ROWS_PER_SLICE", rows_per_slice)
     draw = np.random.default_rng(5)
     groups = {
         "hot": np.round(draw.lognormal(3, 2, 9000), 2),
@@ -434,7 +437,8 @@ def test_exact_quantiles_of_uneven_groups(spark, accuracy):
 
 def test_scatter_merges_points(spark, rows):
     df = spark.createDataFrame(
-        [(1.0, 2.0, "F"), (1.0, 2.0, "F"), (1.0, 2.0, None), (None, 2.0, "F")],
+        [(1.0, 2.0, "F"), (1.0, 2.0, "F"), (1.0, 2.0, None), (None, 2.0, "F"),
+         (float("nan"), 2.0, "F")],
         "x double, y double, Gender string",
     )
     assert rows(distribution.scatter(df, "x", "y")) == [(1.0, 2.0, "F", 2), (1.0, 2.0, None, 1)]
