@@ -16,6 +16,9 @@ INTERVALS = {
     "Months": ("month", "MMM-yyyy"),
 }
 
+# Fixed value: how a date with a time is written.
+DATETIME = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?$"
+
 
 def _unit(interval: str) -> str:
     if interval not in INTERVALS:
@@ -30,7 +33,7 @@ def parse_date(text: Column) -> Column:
 
 def parse_datetime(text: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss`` text to timestamp, NULL for anything else (also a bare date)."""
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    return F.when(text.rlike(DATETIME), text.try_cast("timestamp_ntz"))
 
 
 def age_years(birthdate: Column, as_of: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cohortspark.operators.filters import quoted
 from cohortspark.session import materialize
 
-BLOCKS = 16
+BLOCKS = 32
 
 
 def crosstab(

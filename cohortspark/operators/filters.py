@@ -7,7 +7,14 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import (
+    BooleanType,
+    DateType,
+    NumericType,
+    StringType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from cohortspark.functions import any_present
 
@@ -15,7 +22,9 @@ FULL_NAME = "FULLY_SPECIFIED"
 
 
 def active(df: DataFrame) -> DataFrame:
-    """Rows that are not voided."""
+    """Rows that are not voided; some databases hand the flag over as a boolean."""
+    if isinstance(df.schema["voided"].dataType, BooleanType):
+        return df.where(~F.col("voided"))
     return df.where(F.col("voided") == 0)
 
 

@@ -59,6 +59,8 @@ PATIENT_SCHEMA = (
     "`Visit Date` timestamp_ntz, Amount double, `Care Setting` string"
 )
 PATIENT_ID_TYPE = 3
+# Diagnoses up to which a cohort is broadcast: 8 bytes each, a few megabytes.
+SMALL_COHORT = 500_000
 
 
 def dataset(name: str) -> Callable[[DatasetFunction], DatasetFunction]:
@@ -101,9 +103,10 @@ def general(
     """The latest occurrence in range of every coded diagnosis of every patient."""
     coded = _coded_diagnoses(tables)
     seen = in_range_unless_all(coded, "obs_datetime", start, end, fetch_all)
-    diagnoses = repeat_rows(_latest_counted(seen, ["person_id", "value_coded"]), "n")
+    diagnoses = _latest_counted(seen, ["person_id", "value_coded"])
     named = with_concept_name(diagnoses, tables.clinical("concept_name"))
-    return patient_dim(tables, as_of).join(named, "person_id").select(
+    described = patient_dim(tables, as_of).join(named, "person_id")
+    return repeat_rows(described, "n").select(
         F.col("identifier").alias("ID"),
         "Gender",
         "Age",
@@ -124,8 +127,7 @@ def diabetes(
 ) -> DataFrame:
     """Patients with a diabetes diagnosis in range, a visit of theirs, and measurements."""
     cohort = find_cohort(tables, DIABETES_CONCEPTS, start, end, fetch_all)
-    values = first_values(tables, list(DIABETES_VARIABLES))
-    return cohort_dataset(tables, cohort, values, DIABETES_VARIABLES, as_of)
+    return cohort_dataset(tables, cohort, first_values, DIABETES_VARIABLES, as_of)
 
 
 @dataset("hypertension")
@@ -138,8 +140,7 @@ def hypertension(
 ) -> DataFrame:
     """Patients with a hypertension diagnosis in range, a visit, and latest measurements."""
     cohort = find_cohort(tables, HYPERTENSION_CONCEPTS, start, end, fetch_all)
-    values = latest_values(tables, list(HYPERTENSION_VARIABLES))
-    return cohort_dataset(tables, cohort, values, HYPERTENSION_VARIABLES, as_of)
+    return cohort_dataset(tables, cohort, latest_values, HYPERTENSION_VARIABLES, as_of)
 
 
 def patient_dim(tables: Tables, as_of: date | None = None) -> DataFrame:
@@ -200,16 +201,16 @@ def cohort_visits(tables: Tables, cohort: DataFrame) -> DataFrame:
     )
 
 
-def first_values(tables: Tables, variables: Sequence[str]) -> DataFrame:
+def first_values(observed: DataFrame, variables: Sequence[str]) -> DataFrame:
     """``person_id`` and a column per variable with its first recorded value.
 
     The columns are structs of ``obs_id, value_numeric, value_text``.
     """
-    recorded = any_not_null(observations(tables, variables), ["value_numeric", "value_text"])
+    recorded = any_not_null(observed, ["value_numeric", "value_text"])
     return _pack(recorded, variables)
 
 
-def latest_values(tables: Tables, variables: Sequence[str]) -> DataFrame:
+def latest_values(observed: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Like ``first_values`` with the latest values, which may be NULL.
 
     Of several at the same time the first recorded one counts. A concept with a value at an
@@ -225,8 +226,7 @@ def latest_values(tables: Tables, variables: Sequence[str]) -> DataFrame:
         )
     )
     per_concept = (
-        observations(tables, variables)
-        .groupBy("person_id", "concept_id", "name")
+        observed.groupBy("person_id", "concept_id", "name")
         .agg(latest.alias("latest"))
         .where(~F.col("latest.undated"))
         .select(
@@ -269,7 +269,7 @@ def patient_visit_pairs(tables: Tables, cohort: DataFrame, variables: Sequence[s
 def cohort_dataset(
     tables: Tables,
     cohort: DataFrame,
-    values: DataFrame,
+    pick_values: Callable[[DataFrame, Sequence[str]], DataFrame],
     variables: dict[str, str],
     as_of: date | None,
 ) -> DataFrame:
@@ -280,8 +280,15 @@ def cohort_dataset(
     by visit date, care setting, amount, district and state, missing ones last.
     """
     cohort = materialize(cohort, "cohort")
-    if cohort.isEmpty():
+    size = cohort.count()
+    if size == 0:
         return _nobody(tables.spark, variables)
+    observed = observations(tables, list(variables))
+    if size <= SMALL_COHORT:
+        # The cohort fits into every task, so others' observations are dropped while they
+        # are read. For a larger one they are reduced to one row per person first.
+        observed = keep_matching(observed, F.broadcast(cohort.select("person_id")), "person_id")
+    values = pick_values(observed, list(variables))
     visits = _first_of(
         cohort_visits(tables, cohort).withColumnRenamed("patient_id", "person_id"),
         ["Visit Date", "Care Setting", "Amount"],

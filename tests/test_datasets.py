@@ -51,7 +51,9 @@ def test_fetching_all_drops_diagnoses_with_a_missing_time(spark, rows):
         fetch(spark, "general", (None, None))
 
 
-def test_diabetes(spark):
+@pytest.mark.parametrize("small", [0, 500_000])
+def test_diabetes(spark, monkeypatch, small):
+    monkeypatch.setattr(datasets, "SMALL_COHORT", small)
     got = by_id(fetch(spark, "diabetes"))
     assert set(got) == {"P1", "P2", "SHARED"}
     p1 = got["P1"]

@@ -19,6 +19,12 @@ def at(text):
 # --- filters -------------------------------------------------------------------------
 
 
+def test_voided_as_number_or_boolean(spark, rows):
+    for kind, data in (("int", [(1, 0), (2, 1), (3, None)]), ("boolean", [(1, False), (2, True), (3, None)])):
+        df = spark.createDataFrame(data, f"id int, voided {kind}")
+        assert rows(filters.active(df), "id") == [(1,)]
+
+
 def test_end_date_is_included(spark, rows):
     df = spark.createDataFrame(
         [(at("2017-01-31 23:59:59"),), (at("2017-02-01"),), (at("2016-12-31"),), (None,)],
