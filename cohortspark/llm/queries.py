@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import exact, lines, mixing, quality, toxicity
+from cohortspark.llm import decontaminate, exact, lines, mixing, pii, quality, toxicity
 from cohortspark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op6_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -31,8 +35,13 @@ def op8_sorted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_byte_network, op2_block_naming, op6_water_filling, op7_random_field, op8_sorted_runs,
+        op1_byte_network, op2_block_naming, op5_contextual_pii, op6_water_filling, op7_random_field, op8_sorted_runs,
+        op10_template_leaks,
     )
 }
