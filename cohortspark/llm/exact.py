@@ -93,4 +93,5 @@ def kept_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     keyed = Keyed(docs, tuple(c for c in columns if c != "doc_id"))
     names = identities(keyed.frame.select("_key", "text"), block_bytes)
     keep = names.groupBy("n_blocks", "name").agg(F.max("_key").alias("_key"))
-    return keyed.frame.join(keep.select("_key"), "_key", "left_semi").select(*columns)
+    keep = materialize(keep.select("_key"), "kept")
+    return keyed.frame.join(keep.hint("merge"), "_key", "left_semi").select(*columns)

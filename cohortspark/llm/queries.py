@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import decontaminate, exact, lines, mixing, pii, quality, toxicity
+from cohortspark.llm import decontaminate, exact, lines, mixing, pii, quality, setsketch, toxicity
 from cohortspark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_set_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_dedup(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_byte_network, op2_block_naming, op5_contextual_pii, op6_water_filling, op7_random_field, op8_sorted_runs,
+        op1_byte_network, op2_block_naming, op3_set_sketch, op5_contextual_pii, op6_water_filling, op7_random_field, op8_sorted_runs,
         op10_template_leaks,
     )
 }
