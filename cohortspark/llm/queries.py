@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import decontaminate, exact, lines, mixing, pii, quality, setsketch, toxicity
+from cohortspark.llm import decontaminate, exact, lines, mixing, ngram_lm, pii, quality, setsketch, toxicity
 from cohortspark.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op8_sorted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +50,6 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_byte_network, op2_block_naming, op3_set_sketch, op5_contextual_pii, op6_water_filling, op7_random_field, op8_sorted_runs,
-        op10_template_leaks,
+        op9_ngram_trie, op10_template_leaks,
     )
 }
