@@ -217,8 +217,9 @@ def find_pii(docs: DataFrame, least_seeds: int = 4, confidence: float = 0.5, rou
     found = materialize(_found(keyed), "found")
     graph = found.select("_key", F.explode("mentions").alias("m")).select("_key", "m.*")
     in_context = graph.filter("context is not null").select("kind", "context", "value")
-    contexts = in_context.filter("kind >= 0").groupBy("context").agg(F.count_distinct("value").alias("n"))
-    contexts = materialize(contexts.filter(F.col("n") >= 1).select("context"), "contexts")
+    # others cannot be trusted in any round
+    contexts = in_context.groupBy("context").agg(F.count_distinct("value").alias("n"))
+    contexts = materialize(contexts.filter(F.col("n") >= least_seeds).select("context"), "contexts")
     totals = materialize(context_totals(keyed.frame, contexts), "totals")
     values = learned(in_context, totals, least_seeds, confidence, rounds)
     values = values.withColumnRenamed("kind", "found_kind")
