@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import decontaminate, exact, lines, mixing, ngram_lm, pii, quality, setsketch, toxicity
+from cohortspark.llm import decontaminate, exact, lines, mixing, ngram_lm, pii, quality, repeats, setsketch, toxicity
 from cohortspark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_set_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_dedup(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op4_suffix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_byte_network, op2_block_naming, op3_set_sketch, op5_contextual_pii, op6_water_filling, op7_random_field, op8_sorted_runs,
+        op1_byte_network, op2_block_naming, op3_set_sketch, op4_suffix_shards, op5_contextual_pii, op6_water_filling, op7_random_field, op8_sorted_runs,
         op9_ngram_trie, op10_template_leaks,
     )
 }
