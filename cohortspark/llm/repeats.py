@@ -68,6 +68,7 @@ class Regions:
         n = len(self.data) - length + 1
         empty = np.empty(0, np.int64)
         self.anchor, self.content, self.s1, self.s2, self.text, self.shift = (empty,) * 6
+        self.left, self.right, self.has_left, self.has_right = (empty,) * 4
         self.rolling = None
         if n <= 0:
             return
@@ -95,6 +96,15 @@ class Regions:
         self.shift = -(ends - lengths)[self.text]  # to places in the text
         own_anchor = anchor[self.s1]
         self.anchor = hashes[own_anchor].view(np.int64)
+        # a string reaches at least ``half`` bytes to the left or to the right of its anchor
+        half = (length - gram) // 2
+        near = own_anchor - half
+        self.left, self.right = np.zeros(len(near), np.int64), np.zeros(len(near), np.int64)
+        self.has_left, self.has_right = self.s1 <= near, self.s2 >= own_anchor - (length - gram - half)
+        at = near[self.has_left]
+        self.left[self.has_left] = self.rolling.of(at, at + half + gram).view(np.int64)
+        at = own_anchor[self.has_right]
+        self.right[self.has_right] = self.rolling.of(at, at + half + gram).view(np.int64)
         shape = ((own_anchor - self.s1) << 24 | (self.s2 - self.s1)).astype(np.uint64)
         self.content = mix64(self.rolling.of(self.s1, self.s2 + length) ^ mix64(shape)).view(np.int64)
 
@@ -148,16 +158,19 @@ def anchors(frame: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def regions(frame: DataFrame, sieve: Sieve, length: int, gram: int) -> DataFrame:
-    """anchor, content (hash of the region), _key, s1, s2 of the regions whose anchor the sieve may hold."""
+    """anchor, content (hash of the region), left and right (hashes of the anchor with what is next
+    to it, null where no string of the region holds that), _key, s1, s2 of the regions whose
+    anchor the sieve may hold."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, key, shift in _regions(batch, length, gram):
                 may = sieve.may_hold(r.anchor)
-                yield _batch("anchor content _key s1 s2", r.anchor[may], r.content[may], key[may],
+                left, right = pa.array(r.left[may], mask=r.has_left[may] == 0), pa.array(r.right[may], mask=r.has_right[may] == 0)
+                yield _batch("anchor content left right _key s1 s2", r.anchor[may], r.content[may], left, right, key[may],
                              (r.s1 + shift)[may], (r.s2 + shift)[may])
 
-    return frame.mapInArrow(find, "anchor long, content long, _key long, s1 long, s2 long")
+    return frame.mapInArrow(find, "anchor long, content long, left long, right long, _key long, s1 long, s2 long")
 
 
 def region_bytes(frame: DataFrame, sieve: Sieve, length: int, gram: int) -> DataFrame:
@@ -240,22 +253,29 @@ def repeated_spans(frame: DataFrame, length: int = LENGTH, gram: int = GRAM, lar
     """_key, start, end (bytes) of strings of at least ``length`` bytes that occur again; they may overlap.
 
     1. Anchors that occur once in all texts are left out.
-    2. Regions with equal anchor and bytes are counted together. An anchor with one kind of region
-       is settled: all its strings are repeated if the region occurs twice.
-    3. The different regions of the other anchors go to shards by anchor, one copy of each. A
-       shard's suffix array gives the strings that occur in more than one of them.
+    2. Regions with equal anchor and bytes are counted together: all strings of a region that
+       occurs twice are repeated.
+    3. Different regions of one anchor can only share a string if they share what is on one side
+       of it. Those that do go to shards by anchor, one copy of each. A shard's suffix array
+       gives the strings that occur in more than one of them.
     """
     counted = anchors(frame, length, gram).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     sieve = Sieve(materialize(counted, "anchors"), "anchor")
     found = materialize(regions(frame, sieve, length, gram), "regions")
-    kinds = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"))
+    kinds = found.groupBy("anchor", "content").agg(
+        F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("right").alias("right")
+    )
     kinds = materialize(kinds, "kinds")
-    groups = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "groups")
+    sides = [F.struct(F.lit(i).alias("side"), F.col(c).alias("h")) for i, c in enumerate(("left", "right"))]
+    sides = kinds.select("anchor", "content", "n", F.inline(F.array(*sides))).filter("h is not null")
+    shared = sides.groupBy("anchor", "side", "h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    related = sides.join(shared, ["anchor", "side", "h"], "left_semi").groupBy("anchor", "content").agg(F.first("n").alias("n"))
+    related = materialize(related, "related")
+    groups = related.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     large = materialize(groups.filter(F.col("kinds") > large_group).select("anchor"), "large")
-    mixed = kinds.join(groups.filter(F.col("kinds") <= large_group).select("anchor"), "anchor", "left_semi")
-    mixed = materialize(mixed.filter("n = 1").select("anchor", "content"), "mixed")
     # kinds that occur twice are repeated throughout, but others may share strings with them
-    wanted = kinds.join(groups.filter(F.col("kinds") <= large_group).select("anchor"), "anchor", "left_semi")
+    wanted = related.join(large, "anchor", "left_anti")
+    mixed = materialize(wanted.filter("n = 1").select("anchor", "content"), "mixed")
     chosen = Sieve(wanted.select(F.col("anchor").bitwiseXOR(F.col("content")).alias("x")), "x")
     cut = region_bytes(frame, chosen, length, gram).groupBy("anchor", "content").agg(F.first("bytes").alias("bytes"))
     cut = materialize(cut, "region-bytes")

@@ -9,8 +9,8 @@ def types(text: np.ndarray) -> np.ndarray:
     """True for S-type suffixes: smaller than the suffix that follows. The last one (the unique
     smallest symbol) is S-type."""
     n = len(text)
-    step = np.sign(np.diff(text.astype(np.int64)))  # 1: rises
-    at = np.where(step != 0, np.arange(n - 1), n)
+    step = np.diff(text.astype(np.int32))  # above 0: rises
+    at = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n))
     following = np.minimum.accumulate(at[::-1])[::-1]  # next place where the symbol changes
     out = np.ones(n, bool)
     inner = following < n
@@ -37,7 +37,7 @@ def _induce(text: np.ndarray, is_s: np.ndarray, seeds: list[list[np.ndarray]], a
     """
     rising: list[list[np.ndarray]] = [[] for _ in range(alphabet)]
     for c in range(alphabet):
-        wave = np.concatenate(rising[c]) if rising[c] else np.empty(0, np.int64)
+        wave = np.concatenate(rising[c]) if rising[c] else np.empty(0, np.int32)
         while len(wave):
             before = wave[wave > 0] - 1
             before = before[~is_s[before]]
@@ -53,7 +53,7 @@ def _induce(text: np.ndarray, is_s: np.ndarray, seeds: list[list[np.ndarray]], a
             _deal(before, text[before], rising)
     falling: list[list[np.ndarray]] = [[] for _ in range(alphabet)]
     for c in range(alphabet - 1, -1, -1):
-        wave = np.concatenate(falling[c]) if falling[c] else np.empty(0, np.int64)
+        wave = np.concatenate(falling[c]) if falling[c] else np.empty(0, np.int32)
         while len(wave):
             before = wave[wave > 0] - 1
             before = before[is_s[before]]
@@ -100,7 +100,7 @@ def _reduced(names: np.ndarray) -> np.ndarray:
         behind = np.zeros(n, np.int64)
         behind[: n - distance] = rank[distance:] + 1
         pair = rank * (largest + 1) + behind
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         new = np.ones(n, bool)
         new[1:] = pair[order[1:]] != pair[order[:-1]]
         rank = np.empty(n, np.int64)
@@ -116,13 +116,13 @@ def suffix_array(text: np.ndarray, alphabet: int) -> np.ndarray:
     is_lms = is_s.copy()
     is_lms[1:] &= ~is_s[:-1]
     is_lms[0] = False
-    lms = np.flatnonzero(is_lms)
+    lms = np.flatnonzero(is_lms).astype(np.int32)  # half the memory traffic; a shard is small
     if not len(lms):
         return np.argsort(text, kind="stable")  # one symbol only
     seeds: list[list[np.ndarray]] = [[] for _ in range(alphabet)]
     _deal(lms, text[lms], seeds)
     _, falling = _induce(text, is_s, seeds, alphabet)
-    down = [np.concatenate(x) if x else np.empty(0, np.int64) for x in falling]
+    down = [np.concatenate(x) if x else np.empty(0, np.int32) for x in falling]
     ordered = np.concatenate([x[is_lms[x]][::-1] for x in down])
     ordered = np.concatenate([lms[-1:], ordered[ordered != lms[-1]]])
     order = _reduced(_names(text, lms, ordered))
@@ -130,7 +130,7 @@ def suffix_array(text: np.ndarray, alphabet: int) -> np.ndarray:
     seeds = [[] for _ in range(alphabet)]
     _deal(sorted_lms, text[sorted_lms], seeds)
     rising, falling = _induce(text, is_s, seeds, alphabet)
-    out = [np.array([len(text) - 1])]
+    out = [np.array([len(text) - 1], np.int32)]
     for c in range(1, alphabet):
         out += rising[c]
         if falling[c]:
