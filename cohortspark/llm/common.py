@@ -99,3 +99,27 @@ class Sieve:
         """True where the 64-bit key may be one of the filter's."""
         at = self._places(np.ascontiguousarray(keys))
         return (self.words.value[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows with equal ``keys``, a table at a time, from batches sorted by them. A group is held
+    as a whole, so the caller bounds its size."""
+    held: list[pa.RecordBatch] = []
+    held_key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        begins = [0, *np.flatnonzero(new).tolist()]
+        for begin, end in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+            key = tuple(c[begin] for c in columns)
+            if held and key != held_key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held_key = key
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)

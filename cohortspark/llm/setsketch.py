@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import Keyed, Sieve, mix64, raw_texts
+from cohortspark.llm.common import Keyed, Sieve, mix64, raw_texts, runs_of
 from cohortspark.llm.components import components
 from cohortspark.llm.quality import by_size
 from cohortspark.session import materialize
@@ -20,7 +20,9 @@ BANDS, ROWS = 40, 5  # a pair with similarity 0.8 shares no band with probabilit
 REGISTERS = BANDS * ROWS
 BASE, RATE, MOST = 1.001, 20.0, (1 << 16) - 2  # b, a and q of the sketch
 SURE = 18.0  # a candidate goes if its likelihood at the bound is e^18 times smaller than at its best
-BLOCK = 256  # members of a bucket that are compared at once
+BLOCK = 1024  # members of a bucket that are compared at once,
+BLOCK_SHINGLES = 1_000_000  # or fewer where their sets are large
+COLUMNS = 4096  # shingles that are multiplied at once
 MULTIPLIERS = mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -156,16 +158,22 @@ def full_set(text: bytes, size: int) -> set:
     return set(zip(*(words[i:] for i in range(size)), strict=False))
 
 
-def _confirmed(pairs: DataFrame, keyed: Keyed, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those with 100 * intersection >= percent * union of their full sets."""
-    pairs = materialize(pairs.distinct(), "candidates")
-    wanted = Sieve(pairs.select(F.explode(F.array("a", "b")).alias("_key")), "_key")
+def _texts_of(keys: DataFrame, keyed: Keyed) -> DataFrame:
+    """_key, text of the documents whose key a filter made of ``keys`` may hold."""
+    wanted = Sieve(keys, "_key")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(wanted.may_hold(batch.column("_key").to_numpy(zero_copy_only=False))))
 
-    texts = materialize(keyed.frame.select("_key", "text").mapInArrow(pick, "_key long, text string"), "texts")
+    return keyed.frame.select("_key", "text").mapInArrow(pick, "_key long, text string")
+
+
+def _confirmed(pairs: DataFrame, keyed: Keyed, size: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those with 100 * intersection >= percent * union of their full sets."""
+    pairs = materialize(pairs.distinct(), "candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("_key"))
+    texts = materialize(_texts_of(ends, keyed), "texts")
     side = lambda c: texts.select(F.col("_key").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
@@ -185,40 +193,123 @@ def _confirmed(pairs: DataFrame, keyed: Keyed, size: int, percent: int) -> DataF
     return both.mapInArrow(confirm, "a long, b long")
 
 
-def _cross_pairs(members: DataFrame, sketches: DataFrame, at_least: float) -> DataFrame:
-    """Likely pairs (a, b) of members of one bucket that are in different components.
+PAIR_OF_BLOCKS = ["h", "p", "q"]
+
+
+def _in_blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component, once for each pair of blocks their
+    block is part of: h, p, q (the blocks), own (theirs), _key, label, n_shingles, sketch.
 
-    ``members``: h, _key, label. A bucket is cut into blocks of about BLOCK members by a hash, and
-    every pair of blocks is a group of its own, so no bucket is ever in one place as a whole.
+    ``members``: h, _key, label. A bucket is cut into blocks by a hash, and every pair of blocks is
+    a group of its own, so no bucket is ever in one place as a whole.
     """
-    counts = members.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    counts = counts.filter("lo <> hi").select("h", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = members.join(counts, "h").join(sketches.select("_key", "n_shingles", "sketch").hint("merge"), "_key")
+    sized = members.join(sketches.select("_key", "n_shingles", "sketch").hint("merge"), "_key")
+    counts = sized.groupBy("h").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"),
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"),
+    )
+    rows = sized.join(counts.filter("lo <> hi").select("h", "blocks"), "h")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("_key"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select(
+    return rows.select(
         "h", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "_key", "label", "n_shingles", "sketch"
     )
 
-    def compare(group: pa.Table) -> pa.Table:
-        key, label, own = (group[c].to_numpy() for c in ("_key", "label", "own"))
-        p, q = group["p"][0].as_py(), group["q"][0].as_py()
-        n = group["n_shingles"].to_numpy().astype(np.float64)
-        s = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        out_a, out_b = [], []
-        for i in left.tolist():
-            j = right[(label[right] != label[i]) & ((key[right] > key[i]) if p == q else True)]
-            j = j[np.minimum(n[j], n[i]) >= (at_least - 1e-9) * np.maximum(n[j], n[i])]
-            if len(j):
-                j = j[plausible(np.broadcast_to(s[i], (len(j), REGISTERS)), s[j], np.full(len(j), n[i]), n[j], at_least)]
-                out_a.append(np.minimum(key[i], key[j]))
-                out_b.append(np.maximum(key[i], key[j]))
-        if not out_a:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    return rows.groupBy("h", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*PAIR_OF_BLOCKS).sortWithinPartitions(*PAIR_OF_BLOCKS, "_key")
+
+
+def _partners(group: pa.Table, at_least: float) -> np.ndarray:
+    """Which members of a group have a likely partner in another component there. A pair is
+    looked at in the first band it shares only."""
+    key, label, own = (group[c].to_numpy() for c in ("_key", "label", "own"))
+    p, q, h = (group[c][0].as_py() for c in ("p", "q", "h"))
+    n = group["n_shingles"].to_numpy().astype(np.float64)
+    s = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    found = np.zeros(len(key), bool)
+    left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+    hashes = band_hashes(s)
+    band = int(np.flatnonzero(hashes[0] == h)[0])
+    for i in left.tolist():
+        j = right[(label[right] != label[i]) & ((key[right] > key[i]) if p == q else True)]
+        j = j[np.minimum(n[j], n[i]) >= (at_least - 1e-9) * np.maximum(n[j], n[i])]
+        j = j[(hashes[j, :band] != hashes[i, :band]).all(axis=1)]
+        if len(j):
+            j = j[plausible(np.broadcast_to(s[i], (len(j), REGISTERS)), s[j], np.full(len(j), n[i]), n[j], at_least)]
+            found[j] = True
+            found[i] |= len(j) > 0
+    return found
+
+
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set, by products of 0/1 matrices."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    both = often[column] > 1
+    number = np.cumsum(often > 1) - 1
+    column, owner = number[column[both]], owner[both]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(number[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        dense = np.zeros((len(sets), COLUMNS), np.float32)
+        dense[owner[a:b], column[a:b] - first] = 1
+        total += dense[left] @ dense[right].T
+    return total
+
+
+def _matches(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of a group in different components that are linked by their sets of 32-bit
+    hashes, which never share less than the full sets do."""
+    key, label, own = (group[c].to_numpy() for c in ("_key", "label", "own"))
+    p, q = group["p"][0].as_py(), group["q"][0].as_py()
+    sets = [np.frombuffer(x, np.uint32) for x in group["hashes"].to_pylist()]
+    n = group["n_shingles"].to_numpy()
+    left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+    shared = shared_counts(sets, left, right)
+    union = n[left][:, None] + n[right][None, :] - shared
+    good = (100 * shared >= percent * union) & (label[left][:, None] != label[right][None, :])
+    i, j = np.nonzero(good)
+    a, b = key[left[i]], key[right[j]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _cross_links(members: DataFrame, sketches: DataFrame, keyed: Keyed, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components.
+
+    The sketches leave out members without a likely partner. The others' sets are compared, all
+    of a block with all of another at once, and only links leave the group.
+    """
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches, PAIR_OF_BLOCKS):
+            found = group.filter(pa.array(_partners(group, percent / 100))).drop_columns(["sketch"]).combine_chunks()
+            yield from found.to_batches()
+
+    rows = _grouped(_in_blocks(members, sketches))
+    some = rows.mapInArrow(likely, "h long, p long, q long, own long, _key long, label long, n_shingles long")
+    some = materialize(some, "likely")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (s for part in by_size(raw_texts(batch)) for s in shingle_hashes(part, size))
+            data = pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), data], ["_key", "hashes"])
+
+    texts = _texts_of(some.select("_key").distinct(), keyed)
+    sets = materialize(texts.mapInArrow(hashed, "_key long, hashes binary"), "sets")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches, PAIR_OF_BLOCKS):
+            a, b = _matches(group, percent)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    pairs = _grouped(some.join(sets.hint("merge"), "_key")).mapInArrow(match, "a long, b long")
+    return _confirmed(pairs, keyed, size, percent)
 
 
 def _linked(sketches: DataFrame, keyed: Keyed, size: int, percent: int) -> DataFrame:
@@ -235,8 +326,7 @@ def _linked(sketches: DataFrame, keyed: Keyed, size: int, percent: int) -> DataF
     # then what is in one bucket but not yet in one component
     found = members.select("h", "_key").join(labels.withColumnRenamed("node", "_key"), "_key", "left")
     found = found.withColumn("label", F.coalesce("label", "_key"))
-    more = _confirmed(_cross_pairs(found, sketches, at_least), keyed, size, percent)
-    more = materialize(more, "links")
+    more = materialize(_cross_links(found, sketches, keyed, size, percent), "links")
     if more.limit(1).count() == 0:
         return labels
     return materialize(components(links.union(more)), "labels")
