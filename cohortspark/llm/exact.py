@@ -78,7 +78,8 @@ def _dedup(keyed: Keyed, block_bytes: int) -> DataFrame:
     groups = names.groupBy("n_blocks", "name").agg(
         F.max("_key").alias("keep_key"), F.count(F.lit(1)).alias("group_size")
     )
-    groups = keyed.with_doc_id(groups, "keep_key", "keep_id")
+    # written, so that Spark can split the rows of a large group in the join that follows
+    groups = materialize(keyed.with_doc_id(groups, "keep_key", "keep_id"), "groups")
     found = names.join(groups, ["n_blocks", "name"]).select("_key", "keep_key", "keep_id", "group_size")
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256")
     return (
