@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortspark.operators.filters import quoted
 from cohortspark.session import materialize
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -19,16 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Sets the session's Arrow batches to ``most`` bytes where they may be larger: with long
+    texts the default of 64 MB is held several times by each worker."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(setting)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > most:
+        spark.conf.set(setting, f"{most}b")
+
+
 class Keyed:
-    """Documents with a key of their own, ``_key``, next to ``doc_id`` and the chosen columns.
+    """Documents with a key of their own, ``_key``, next to ``doc_id`` and ``text``.
 
     The key is ``doc_id`` itself. Only where an id is missing or used twice does a copy of the
     table get new keys, in the order of ``doc_id`` (rows without one first or last), so that
     the smallest or largest key is also the smallest or largest id.
     """
 
-    def __init__(self, docs: DataFrame, columns: tuple[str, ...] = ("text",), nulls: str = "first"):
-        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns)
+    def __init__(self, docs: DataFrame, whole: bool = False, nulls: str = "first"):
+        """``whole`` adds the row itself as struct ``_row``, whatever its columns are called."""
+        small_batches(docs.sparkSession)
+        row = [F.struct(*[quoted(c) for c in docs.columns]).alias("_row")] if whole else []
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row)
         odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id is null or n > 1")
         self.plain = odd.limit(1).count() == 0
         if self.plain:
@@ -38,6 +51,11 @@ class Keyed:
             renewed = docs.orderBy(order).withColumn("_key", F.monotonically_increasing_id())
             self.frame = materialize(renewed, "keyed")
 
+    def rows(self, keys: DataFrame, how: str) -> DataFrame:
+        """The rows, as they were given, whose key is (or is not) in column ``_key`` of ``keys``."""
+        # one plan at every size; the texts are moved once
+        return self.frame.select("_key", "_row").join(keys.hint("merge"), "_key", how).select("_row.*")
+
     def with_doc_id(self, frame: DataFrame, key: str, name: str) -> DataFrame:
         """``frame`` with the doc_id that belongs to the key in column ``key``, as column ``name``."""
         if self.plain:

@@ -201,9 +201,5 @@ def _pairs(keyed: Keyed, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no passage of the benchmark, with all their columns."""
-    columns = docs.columns
-    keyed = Keyed(docs, tuple(c for c in columns if c != "doc_id"))
-    narrow = Keyed.__new__(Keyed)
-    narrow.plain, narrow.frame = keyed.plain, keyed.frame.select("_key", "doc_id", "text")
-    leaks = materialize(_pairs(narrow, benchmark).select("_key").distinct(), "leaks")
-    return keyed.frame.join(leaks, "_key", "left_anti").select(*columns)
+    keyed = Keyed(docs, whole=True)
+    return keyed.rows(materialize(_pairs(keyed, benchmark).select("_key").distinct(), "leaks"), "left_anti")

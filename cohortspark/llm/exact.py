@@ -90,9 +90,7 @@ def _dedup(keyed: Keyed, block_bytes: int) -> DataFrame:
 
 def kept_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that exact dedup keeps, with all their columns."""
-    columns = docs.columns
-    keyed = Keyed(docs, tuple(c for c in columns if c != "doc_id"))
+    keyed = Keyed(docs, whole=True)
     names = identities(keyed.frame.select("_key", "text"), block_bytes)
     keep = names.groupBy("n_blocks", "name").agg(F.max("_key").alias("_key"))
-    keep = materialize(keep.select("_key"), "kept")
-    return keyed.frame.join(keep.hint("merge"), "_key", "left_semi").select(*columns)
+    return keyed.rows(materialize(keep.select("_key"), "kept"), "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from cohortspark.llm.common import raw_texts
+from cohortspark.llm.common import raw_texts, small_batches
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
@@ -36,6 +36,7 @@ def labelled_sample(
     remainder is not ``held_out``; of each text at most ``pieces`` slices of ``size`` bytes. The
     sample is thus bounded whatever the input. Null ids or labels are never learned from.
     """
+    small_batches(docs.sparkSession)
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     ids = ids.filter(remainder(F.col("doc_id"), modulus) != held_out)
     picked = None

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm import elias_fano
-from cohortspark.llm.common import mix64, raw_texts
+from cohortspark.llm.common import mix64, raw_texts, small_batches
 from cohortspark.llm.elias_fano import MappedLevel, TrieLevel
 from cohortspark.llm.labelled import remainder
 from cohortspark.session import materialize
@@ -39,6 +39,7 @@ def restored(codes: np.ndarray) -> np.ndarray:
 def packs(docs: DataFrame, modulus: int, held_out: int, pack_bytes: int) -> DataFrame:
     """Documents in packs of about ``pack_bytes``: pack, doc_ids, held, learn, tokens, words (the
     lower-cased words of the texts, compressed)."""
+    small_batches(docs.sparkSession)
     rest = remainder(F.col("doc_id"), modulus)
     flags = [F.coalesce(rest == held_out, F.lit(False)).alias("held"), F.coalesce(rest != held_out, F.lit(False)).alias("learn")]
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", *flags, "text")

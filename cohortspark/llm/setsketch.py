@@ -22,7 +22,8 @@ BASE, RATE, MOST = 1.001, 20.0, (1 << 16) - 2  # b, a and q of the sketch
 SURE = 18.0  # a candidate goes if its likelihood at the bound is e^18 times smaller than at its best
 BLOCK = 1024  # members of a bucket that are compared at once,
 BLOCK_SHINGLES = 1_000_000  # or fewer where their sets are large
-COLUMNS = 4096  # shingles that are multiplied at once
+COLUMNS = 2048  # shingles that are multiplied at once
+PAIRS = 4096  # pairs of sketches that are judged at once
 MULTIPLIERS = mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -142,8 +143,8 @@ def _likely(pairs: DataFrame, sketches: DataFrame, at_least: float) -> DataFrame
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for i in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(i, PAIRS)
                 n_a, n_b = (part.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b"))
                 good = plausible(_stacked(part, "s_a"), _stacked(part, "s_b"), n_a, n_b, at_least)
                 yield part.select(["a", "b"]).filter(pa.array(good))
@@ -230,15 +231,18 @@ def _partners(group: pa.Table, at_least: float) -> np.ndarray:
     found = np.zeros(len(key), bool)
     left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
     hashes = band_hashes(s)
-    band = int(np.flatnonzero(hashes[0] == h)[0])
-    for i in left.tolist():
-        j = right[(label[right] != label[i]) & ((key[right] > key[i]) if p == q else True)]
-        j = j[np.minimum(n[j], n[i]) >= (at_least - 1e-9) * np.maximum(n[j], n[i])]
-        j = j[(hashes[j, :band] != hashes[i, :band]).all(axis=1)]
-        if len(j):
-            j = j[plausible(np.broadcast_to(s[i], (len(j), REGISTERS)), s[j], np.full(len(j), n[i]), n[j], at_least)]
-            found[j] = True
-            found[i] |= len(j) > 0
+    small, large = (f(n[left][:, None], n[right][None, :]) for f in (np.minimum, np.maximum))
+    pairs = (label[left][:, None] != label[right][None, :]) & (small >= (at_least - 1e-9) * large)
+    if p == q:
+        pairs &= key[left][:, None] < key[right][None, :]
+    for earlier in range(int(np.flatnonzero(hashes[0] == h)[0])):
+        pairs &= hashes[left, earlier][:, None] != hashes[right, earlier][None, :]
+    i, j = np.nonzero(pairs)
+    i, j = left[i], right[j]
+    for begin in range(0, len(i), PAIRS):
+        a, b = i[begin : begin + PAIRS], j[begin : begin + PAIRS]
+        good = plausible(s[a], s[b], n[a], n[b], at_least)
+        found[a[good]] = found[b[good]] = True
     return found
 
 
@@ -367,7 +371,6 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def kept_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that near dedup keeps, with all their columns."""
-    columns = docs.columns
-    keyed = Keyed(docs, tuple(c for c in columns if c != "doc_id"), nulls="last")
+    keyed = Keyed(docs, whole=True, nulls="last")
     keep = _classes(keyed, size, percent).filter("_key = component").select("_key")
-    return keyed.frame.join(materialize(keep, "kept").hint("merge"), "_key", "left_semi").select(*columns)
+    return keyed.rows(materialize(keep, "kept"), "left_semi")

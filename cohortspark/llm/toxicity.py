@@ -62,12 +62,22 @@ def chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first, counts) + within // CHAIN, within % CHAIN
 
 
-def marginals(emission: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over rows of emissions (log odds of state 1), all rows at once.
+def marginals(emission: np.ndarray, length: np.ndarray, trans: np.ndarray, rows: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over rows of emissions (log odds of state 1), ``rows`` rows at once.
 
     Returns the probability of state 1 at each token and the expected number of each
-    transition; ``length`` is the tokens of each row. Messages are scaled at each step.
+    transition; ``length`` is the tokens of each row.
     """
+    p, pairs = np.empty(emission.shape), np.zeros((2, 2))
+    for i in range(0, len(emission), rows):
+        part = slice(i, i + rows)
+        p[part], more = _forward_backward(emission[part], length[part], trans)
+        pairs += more
+    return p, pairs
+
+
+def _forward_backward(emission: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The marginals and transitions of some rows; messages are scaled at each step."""
     n, t = emission.shape
     a = np.exp(trans)
     odds = np.exp(np.clip(emission, -30, 30))
@@ -226,7 +236,7 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 40, rate: float =
 
 def train_tagger(
     docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2,
-    rows: tuple[int, int] = (2400, 1200), pieces: int = 8, size: int = 1024,
+    rows: tuple[int, int] = (1600, 1000), pieces: int = 6, size: int = 1024,
 ) -> SpanTagger:
     """Trains on at most ``rows`` labelled documents of class 0 and 1 whose crc32 remainder is
     not ``held_out``, and of each at most ``pieces`` slices of ``size`` bytes."""
