@@ -98,8 +98,14 @@ class ByteNet:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 7) -> ByteNet:
-    """Fits the filters and the head by Adam on the log loss; the gradient goes through the maxima."""
+def train(
+    texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 7, steps: int = 700,
+) -> ByteNet:
+    """Fits the filters and the head by Adam on the log loss; the gradient goes through the maxima.
+
+    Takes at least ``steps`` steps: a small sample is gone through more often.
+    """
+    epochs = max(epochs, -(-steps * batch // max(1, len(texts))))
     rng = np.random.default_rng(seed)
     net = ByteNet(rng.normal(0, 0.1, (WIDTH, 256, FILTERS)), rng.normal(0.1, 0.1, FILTERS),
                   np.zeros(FILTERS), rng.normal(0, 0.1, 2 * FILTERS), 0.0)
