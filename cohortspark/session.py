@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,9 @@ SETTINGS = {
 }
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def get_session(app_name: str = "cohortspark", **settings: str) -> SparkSession:
     """A session with the library's settings; ``settings`` override them (use "__" for dots)."""
     builder = SparkSession.builder.appName(app_name)
@@ -27,21 +29,29 @@ def get_session(app_name: str = "cohortspark", **settings: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local master gets a folder of its own when the setting is absent: driver and
-    executors are then one process.
+    Where that is not set, a folder in the warehouse, which executors share as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="cohortspark-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what ``materialize`` and ``new_path`` wrote in this application so far.
+
+    Frames that read it cannot be used any more, so call it when their results are stored.
+    """
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

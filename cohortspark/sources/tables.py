@@ -33,6 +33,8 @@ BILLING_COLUMNS = {
     "sale_order_line": "order_id bigint, external_id string",
     "sale_order": "id bigint, amount_total double, care_setting string",
 }
+# Tables that one task should not read.
+LARGE_TABLES = ("obs", "encounter", "sale_order_line")
 
 
 def tables_named_in(query: str) -> list[str]:
@@ -65,9 +67,20 @@ class Tables:
 
     def sql(self, query: str) -> DataFrame:
         """A raw SQL query over the tables it names."""
-        for name in tables_named_in(query):
+        names = tables_named_in(query)
+        catalog = self.spark.catalog
+        views = {table.name for table in catalog.listTables() if table.isTemporary}
+        before = {name: self.spark.table(name) for name in names if name in views}
+        for name in names:
             self.read(name).createOrReplaceTempView(name)
-        return self.spark.sql(query)
+        try:
+            return self.spark.sql(query)
+        finally:
+            # the query is resolved by now: the user's own views come back, no other stays
+            for name in names:
+                catalog.dropTempView(name)
+                if name in before:
+                    before[name].createOrReplaceTempView(name)
 
 
 class ParquetTables(Tables):
@@ -101,15 +114,16 @@ class FrameTables(Tables):
 class JdbcSource:
     """Connection options of one database and how its tables are split into reads.
 
-    ``splits`` maps a table to ``(column, lower, upper, partitions)``; a table without an
-    entry is read by one task, so every large table should have one.
+    ``splits`` maps a table to ``(column, lower, upper, partitions)``, or to ``(column, partitions)``
+    to have the bounds looked up. A table without an entry is read by one task, which the
+    tables in ``LARGE_TABLES`` refuse.
     """
 
     url: str
     user: str
     password: str = field(repr=False)
     driver: str
-    splits: dict[str, tuple[str, int, int, int]] = field(default_factory=dict)
+    splits: dict[str, tuple] = field(default_factory=dict)
     fetch_size: int = 10_000
 
     def options(self) -> dict[str, str]:
@@ -122,19 +136,27 @@ class JdbcSource:
             "preferTimestampNTZ": "true",
         }
 
-    def table_options(self, name: str) -> dict[str, str]:
+    def table_options(self, name: str, bounds: tuple[int, int] | None = None) -> dict[str, str]:
+        """``bounds`` go with a split that has none of its own."""
         options = self.options() | {"dbtable": name}
         if name in self.splits:
-            column, lower, upper, partitions = self.splits[name]
-            options |= {
-                "partitionColumn": column,
-                "lowerBound": str(lower),
-                "upperBound": str(upper),
-                "numPartitions": str(partitions),
-            }
+            split = self.splits[name]
+            column, partitions = split[0], split[-1]
+            options |= split_options(column, *(split[1:3] if len(split) == 4 else bounds), partitions)
+        elif name in LARGE_TABLES:
+            raise ValueError(f"{name!r} is too large for one task; give it an entry in splits")
         return options
 
 
+def split_options(column: str, lower: int, upper: int, partitions: int) -> dict[str, str]:
+    return {
+        "partitionColumn": column,
+        "lowerBound": str(lower),
+        "upperBound": str(upper),
+        "numPartitions": str(partitions),
+    }
+
+
 class JdbcTables(Tables):
     """Clinical tables from one database, billing tables from an optional second one."""
 
@@ -154,12 +176,26 @@ class JdbcTables(Tables):
         return self.billing_source
 
     def read(self, name: str) -> DataFrame:
-        options = self.source_of(name).table_options(name)
-        return self.spark.read.format("jdbc").options(**options).load()
-
-    def sql(self, query: str) -> DataFrame:
-        """Runs in the billing database when the query names one of its tables."""
+        source = self.source_of(name)
+        bounds = None
+        if len(source.splits.get(name, ())) == 2:
+            column = source.splits[name][0]
+            least = f"select min({column}) as least, max({column}) as greatest from {name}"
+            found = self._load(source.options() | {"query": least}).first()
+            bounds = (found[0] or 0, found[1] or 0)
+        return self._load(source.table_options(name, bounds))
+
+    def sql(self, query: str, split: tuple[str, int, int, int] | None = None) -> DataFrame:
+        """Runs in the billing database when the query names one of its tables.
+
+        ``split``: a column of the result with its bounds and the number of reads; without one
+        the result comes through one task.
+        """
         billing = any(name in BILLING_COLUMNS for name in tables_named_in(query))
         source = self.source_of("sale_order" if billing else "obs")
-        options = source.options() | {"query": query}
+        if split is None:
+            return self._load(source.options() | {"query": query})
+        return self._load(source.options() | {"dbtable": f"({query}) as result"} | split_options(*split))
+
+    def _load(self, options: dict[str, str]) -> DataFrame:
         return self.spark.read.format("jdbc").options(**options).load()

@@ -1,10 +1,12 @@
 """Sources and exports."""
 
+from pathlib import Path
+
 import pytest
 from clinical import TABLES, clinical_tables
 
 from cohortspark.operators.crosstab import crosstab_wide
-from cohortspark.session import materialize, new_path, shared_dir
+from cohortspark.session import materialize, new_path, release, shared_dir
 from cohortspark.sources import JdbcSource, JdbcTables, ParquetTables, export_csv, read_exported_csv
 
 
@@ -16,7 +18,13 @@ def test_parquet_tables(spark, rows):
     tables = ParquetTables(spark, folder)
     assert tables.clinical("person").count() == 4
     assert tables.billing("sale_order").count() == 5
+    spark.range(3).createOrReplaceTempView("sale_order_line")
     assert len(rows(tables.sql("SELECT distinct order_id, external_id from sale_order_line"))) == 6
+    assert tables.sql("select count(person.person_id) as n from person").first().n == 5
+    views = [t.name for t in spark.catalog.listTables() if t.isTemporary]
+    assert "sale_order_line" in views and "person" not in views
+    assert spark.table("sale_order_line").count() == 3
+    spark.catalog.dropTempView("sale_order_line")
     assert ParquetTables(spark, folder, has_billing=False).billing("sale_order").count() == 0
     with pytest.raises(ValueError, match="no clinical table"):
         tables.clinical("sale_order")
@@ -58,21 +66,40 @@ def test_jdbc_options():
     assert query["url"] == "jdbc:postgresql://h/b" and "dbtable" not in query
     assert tables.sql("select count(*) as n from obs")["url"] == "jdbc:mysql://h/c"
     assert "secret" not in repr(clinical)
+    with pytest.raises(ValueError, match="too large"):
+        tables.read("encounter")
+    split = tables.sql("select id, amount_total from sale_order", ("id", 1, 9, 3))
+    assert split["dbtable"] == "(select id, amount_total from sale_order) as result"
+    assert (split["partitionColumn"], split["numPartitions"]) == ("id", "3") and "query" not in split
     with pytest.raises(ValueError, match="billing"):
         JdbcTables(Recorder(), clinical).read("sale_order")
 
 
+def test_jdbc_bounds_are_looked_up():
+    class Bounds(Recorder):
+        def load(self):
+            query = self.used.get("query")
+            return self if query == "select min(obs_id) as least, max(obs_id) as greatest from obs" else self.used
+
+        def first(self):
+            return (5, 500)
+
+    source = JdbcSource("jdbc:mysql://h/c", "u", "p", "d", splits={"obs": ("obs_id", 16)})
+    options = JdbcTables(Bounds(), source).read("obs")
+    assert (options["lowerBound"], options["upperBound"], options["numPartitions"]) == ("5", "500", "16")
+
+
 def test_exported_csv_reads_back(spark, rows):
     df = spark.createDataFrame(
-        [("a,b", 1.5, None), ('say "x"', None, "line\nbreak"), ("", 2.0, "ü")],
+        [("a,b", 1.5, None), ('say "x"', None, "line\nbreak"), ("", 2.0, "ü"), (" lead", 3.0, "trail\t "),
+         ("\r\n", 4.0, '"'), (None, None, "\\")],
         "`Care Setting` string, n double, t string",
     )
     path = new_path(spark, "csv")
     export_csv(df, path)
     text = "".join(row.value for row in spark.read.text(path, wholetext=True).collect())
     assert "Care Setting" in text and "NA" in text
-    back = spark.read.options(multiLine=True, header=True, nullValue="NA", escape='"').schema(df.schema).csv(path)
-    assert [row[:2] for row in rows(back)] == [row[:2] for row in rows(df)]
+    assert rows(read_exported_csv(spark, path, df.schema)) == rows(df)
 
 
 def test_exported_crosstab(spark, rows):
@@ -88,3 +115,28 @@ def test_written_tables_go_to_the_shared_folder(spark, rows):
     stored = materialize(df, "label")
     assert stored.inputFiles()[0].startswith(f"file://{shared_dir(spark)}/label-")
     assert rows(stored, "`a b`") == [(i,) for i in range(5)]
+
+
+def test_release_leaves_nothing_behind(spark):
+    release(spark)
+    stored = materialize(spark.range(5), "label")
+    place = Path(stored.inputFiles()[0].removeprefix("file://")).parent
+    assert stored.count() == 5 and place.exists()
+    release(spark)
+    assert not place.exists()
+
+
+class Settings:
+    """Stands in for a session; keeps its settings."""
+
+    def __init__(self, **settings):
+        self.settings = {key.replace("__", "."): value for key, value in settings.items()}
+        self.conf = self
+
+    def get(self, key, *default):
+        return self.settings.get(key, *default)
+
+
+def test_without_a_shared_folder_the_warehouse_is_used():
+    assert shared_dir(Settings(spark__checkpoint__dir="hdfs:/c/")) == "hdfs:/c"
+    assert shared_dir(Settings(spark__sql__warehouse__dir="hdfs:/w")) == "hdfs:/w/intermediate"
