@@ -46,7 +46,9 @@ ORACLE["sql_source"] = sql("select distinct order_id, external_id from sale_orde
 FLAT = """id as "ID", gender as "Gender", district as "District", state as "State",
   visit_date as "Visit Date", diagnosis as "Diagnosis", care_setting as "Care Setting",
   amount as "Amount" """
-ORACLE["export_csv"] = sql(f"select {FLAT} from v")
+ORACLE["export_csv"] = sql(
+    f"""select {FLAT}, '  ' || district || chr(10) || '"quoted", ' || gender || ' ' || chr(9) as "Note" from v"""
+)
 ORACLE["export_crosstab_csv"] = sql(
     """select diagnosis as "Diagnosis", count(case when gender = 'F' then 1 end) as "F",
     count(case when gender = 'M' then 1 end) as "M" from v group by diagnosis"""
@@ -88,6 +90,7 @@ ORACLE["select_numeric_columns"] = " union all ".join(
 ORACLE["table_view"] = sql(
     f"""select {FLAT} from v where diagnosis ilike '%high%' and gender in ('F', 'M')
     and amount between 1000 and 450000 and visit_date >= timestamp '1996-01-01'
+    and visit_date < timestamp '1998-01-01'
     order by state nulls first, amount desc nulls last, id nulls first, gender nulls first,
     district nulls first, visit_date nulls first, diagnosis nulls first,
     care_setting nulls first limit 25 offset 50"""
@@ -270,16 +273,16 @@ ORACLE["summary_line_percentage"] = summaries("percentage")
 
 def boxes(keys: str) -> str:
     return f"""select {keys}, q1, median, q3,
-      min(case when y between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) then y end) as lower,
-      max(case when y between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) then y end) as upper
+      least(q1, min(case when y between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) then y end)) as lower,
+      greatest(q3, max(case when y between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) then y end)) as upper
       from fenced group by {keys}, q1, median, q3"""
 
 
-def fences(keys: str) -> str:
+def fences(keys: str, quantile: str = "quantile_cont") -> str:
     on = " and ".join(f"points.{key} is not distinct from q.{key}" for key in keys.split(", "))
     return f"""select points.*, q1, median, q3 from points join (
-      select {keys}, quantile_cont(y, 0.25) as q1, quantile_cont(y, 0.5) as median,
-        quantile_cont(y, 0.75) as q3 from points group by {keys}) q on {on}"""
+      select {keys}, {quantile}(y, 0.25) as q1, {quantile}(y, 0.5) as median,
+        {quantile}(y, 0.75) as q3 from points group by {keys}) q on {on}"""
 
 
 FOUR = "round(q1, 4) as q1, round(median, 4) as median, round(q3, 4) as q3, round(lower, 4) as lower, round(upper, 4) as upper"
@@ -291,6 +294,13 @@ ORACLE["box_stats"] = sql(
     fenced=fences('"Months"'),
     boxes=boxes('"Months"'),
 )
+# exact in rank as long as a group has fewer values than the sketch's accuracy
+ORACLE["box_stats_approximate"] = sql(
+    f'select "Months", {FOUR} from boxes',
+    points=f'select {start_of("Months")} as "Months", amount as y from v',
+    fenced=fences('"Months"', "quantile_disc"),
+    boxes=boxes('"Months"'),
+)
 ORACLE["box_stats_filled"] = sql(
     f"select {FILLED}, {FOUR} from boxes", points=EVENTS, fenced=fences(FILLED), boxes=boxes(FILLED)
 )
@@ -341,7 +351,13 @@ ORACLE["scatter_points"] = """select l_quantity, l_discount, l_returnflag, count
 ORACLE["latest_with_ties"] = """select o_custkey, o_orderkey, o_orderdate from (
   select *, rank() over (partition by o_custkey order by o_orderdate desc) as k from orders)
   where k = 1"""
-ORACLE["latest_with_many_ties"] = ORACLE["latest_with_ties"]
+ORACLE["latest_with_many_ties"] = sql(
+    """select grp, o_orderkey, yr from (
+      select *, max(yr) over (partition by grp) as newest from (
+        select o_orderkey, o_orderkey % 2 * (o_custkey % 9) as grp,
+          cast(date_trunc('year', o_orderdate) as timestamp) as yr from orders))
+    where yr = newest"""
+)
 ORACLE["share_denominator"] = sql(
     f"""select *, {whole('Quarters')} as "countT" from cells""",
     cells=interval_counts(["diagnosis", "gender"], "Quarters"),
@@ -523,7 +539,10 @@ ORACLE["run_dashboard"] = sql(
             measured("Amounts", "amounts", ["center", "n"], f2="care_setting"),
             measured("Amount by year", "boxes", ["q1", "median", "q3", "lower", "upper"],
                      f2='"State"', at='"Years"'),
+            measured("Amount by year / outliers", "outliers", ["Amount"], f2='"State"', at='"Years"'),
             measured("Districts", "districts", ["total", "lat", "lon"], "place"),
+            measured("Districts / center", "center", ["total", "lat", "lon"], "place"),
+            measured("Districts / to look up", "missing", ["unknown"], "place", "lookup"),
         ]
     ),
     flat=f"select * from v where {in_range('visit_date')}",
@@ -539,8 +558,12 @@ ORACLE["run_dashboard"] = sql(
     points=f'select {start_of("Years")} as "Years", state as "State", amount as y from flat',
     fenced=fences('"Years", "State"'),
     boxes=boxes('"Years", "State"'),
+    outliers="""select "Years", "State", y as "Amount" from fenced
+      where y < q1 - 1.5 * (q3 - q1) or y > q3 + 1.5 * (q3 - q1)""",
     districts=f"""select place, total, lat, lon from (select district as place, count(*) as total
-      from flat group by district) c left join {GEO} g on c.place = g.address""",
+      from flat where district is not null group by district) c left join {GEO} g on c.place = g.address""",
+    center="select * from districts order by total desc, place limit 1",
+    missing="""select place, 'India ' || place as lookup, 1 as unknown from districts where lat is null""",
 )
 ORACLE["chart_bar"] = sql(
     f"""select "Diagnosis", "State", "Quarters", percentage from

@@ -75,9 +75,11 @@ def sql_source(t):
 
 @query_named("export_csv")
 def export_csv_table(t):
+    note = F.concat(F.lit("  "), F.col("District"), F.lit('\n"quoted", '), F.col("Gender"), F.lit(" \t"))
+    noted = t.visits.withColumn("Note", note)
     path = new_path(t.spark, "export")
-    export_csv(t.visits, path)
-    return read_exported_csv(t.spark, path, t.visits.schema)
+    export_csv(noted, path)
+    return read_exported_csv(t.spark, path, noted.schema)
 
 
 @query
@@ -152,7 +154,7 @@ def table_view(t):
             "Diagnosis": "HIGH",
             "Gender": ["F", "M"],
             "Amount": (1000.0, 450000.0),
-            "Visit Date": (date(1996, 1, 1), None),
+            "Visit Date": (date(1996, 1, 1), date(1997, 12, 31)),
         },
         order_by=[("State", True), ("Amount", False)],
         page=3,
@@ -292,12 +294,12 @@ def crosstab_one(t):
 
 @query
 def crosstab_two(t):
-    return crosstab.crosstab(t.visits, "ID", "Gender")
+    return crosstab.crosstab(t.visits, "ID", "Gender", dense=True)
 
 
 @query
 def crosstab_proportional(t):
-    return crosstab.crosstab(t.visits, "Diagnosis", "Gender", proportional=True)
+    return crosstab.crosstab(t.visits, "Diagnosis", "Gender", proportional=True, dense=True)
 
 
 def _summaries(t, y):
@@ -389,8 +391,10 @@ def latest_with_ties(t):
 
 @query
 def latest_with_many_ties(t):
-    newest = latest.latest(t.base("orders"), ["o_custkey"], "o_orderdate", many_ties=True)
-    return newest.select("o_custkey", "o_orderkey", "o_orderdate")
+    """Nearly all rows of a group are tied: few dates, and half of all rows in one group."""
+    orders = t.base("orders").selectExpr("o_orderkey", "o_orderkey % 2 * (o_custkey % 9) as grp",
+                                         "cast(date_trunc('year', o_orderdate) as timestamp_ntz) as yr")
+    return latest.latest(orders, ["grp"], "yr").select("grp", "o_orderkey", "yr")
 
 
 @query

@@ -1,8 +1,8 @@
 """Contingency tables over one or two factors.
 
-Rows that miss a factor are not counted. Every combination of the levels present is a cell,
-also those without rows: that is the table's definition, so its size is the product of the
-two numbers of levels. ``dense=False`` leaves the empty cells out.
+Rows that miss a factor are not counted. The cells that have rows come first; ``dense=True``
+adds the empty ones, so that every combination of the levels present is a cell and the size
+is the product of the two numbers of levels.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cohortspark.operators.filters import quoted
 from cohortspark.session import materialize
 
-BLOCKS = 32
+LEVELS_PER_BLOCK = 1024
 
 
 def crosstab(
@@ -23,9 +23,12 @@ def crosstab(
     factor1: str,
     factor2: str | None = None,
     proportional: bool = False,
-    dense: bool = True,
+    dense: bool = False,
 ) -> DataFrame:
-    """``factor1 [, factor2], n [, prop]``; ``prop`` is the share of the grand total."""
+    """``factor1 [, factor2], n [, prop]``; ``prop`` is the share of the grand total.
+
+    ``dense`` gives levels of factor1 x levels of factor2 rows.
+    """
     factors = [factor1] + ([factor2] if factor2 else [])
     counted = df.groupBy(*map(quoted, factors)).agg(F.count(F.lit(1)).alias("n"))
     if factor2 and dense:
@@ -75,15 +78,14 @@ def _fill(counted: DataFrame, cells: DataFrame, factor1: str, factor2: str) -> D
     """All pairs of levels with their count, 0 where there is none.
 
     The pairs come from an equality join on a grid of blocks: each level falls in one block
-    of its factor and is copied to every block of the other. The grid's keys share the work
-    evenly, and neither list of levels has to fit into one task.
+    of its factor and is copied to every block of the other. A factor has one block per
+    ``LEVELS_PER_BLOCK`` levels, so a short one costs the other no copies, and neither list of
+    levels has to fit into one task.
     """
-    rows = _levels(counted, factor1, "level_1").withColumns(
-        {"block_1": _block("level_1"), "block_2": _every_block()}
-    )
-    columns = _levels(counted, factor2, "level_2").withColumns(
-        {"block_2": _block("level_2"), "block_1": _every_block()}
-    )
+    rows, columns = _levels(counted, factor1, "level_1"), _levels(counted, factor2, "level_2")
+    blocks_1, blocks_2 = _blocks(rows), _blocks(columns)
+    rows = rows.withColumns({"block_1": _block("level_1", blocks_1), "block_2": _every(blocks_2)})
+    columns = columns.withColumns({"block_2": _block("level_2", blocks_2), "block_1": _every(blocks_1)})
     pairs = rows.join(columns, ["block_1", "block_2"])
     match = (pairs.level_1 == cells[f"`{factor1}`"]) & (pairs.level_2 == cells[f"`{factor2}`"])
     return pairs.join(cells, match, "left").select(
@@ -98,9 +100,14 @@ def _levels(counted: DataFrame, factor: str, name: str) -> DataFrame:
     return known.select(quoted(factor).alias(name)).distinct()
 
 
-def _block(level: str) -> Column:
-    return F.pmod(F.xxhash64(level), F.lit(BLOCKS)).cast("int")
+def _blocks(levels: DataFrame) -> Column:
+    n = F.ceil(F.count(F.lit(1)) / LEVELS_PER_BLOCK)
+    return levels.agg(F.greatest(n, F.lit(1)).cast("long").alias("blocks")).scalar()
+
+
+def _block(level: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(level), blocks)
 
 
-def _every_block() -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+def _every(blocks: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))

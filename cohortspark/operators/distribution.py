@@ -19,9 +19,6 @@ WIDTH_OF_CONSTANT = 0.1
 EDGE_TOLERANCE = 1e-8
 WHISKER = 1.5
 QUARTILES = (0.25, 0.5, 0.75)
-# Rows of a group per slice of a bracket, and the most slices of one bracket.
-ROWS_PER_SLICE = 10_000
-MOST_SLICES = 10_000
 
 
 def histogram(
@@ -40,30 +37,25 @@ def histogram(
         raise ValueError("the bin width must be positive")
     values = df.where(_finite(x))
     value = quoted(x).cast("double")
-    size = F.lit(float(width)) if width is not None else _bin_width(values, value, bins)
     keys = [quoted(fill)] if fill else []
-    binned = (
-        values.select(*keys, value.alias("x"), size.alias("width"))
-        .withColumn("bin", F.ceil((F.col("x") - F.col("width") / 2) / F.col("width") - EDGE_TOLERANCE))
-        .groupBy("bin", "width", *keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"))
-    )
+    # One row first: the width, and the lowest bin, which follows from the minimum.
+    size = F.lit(float(width)) if width is not None else _bin_width(value, bins)
+    facts = values.agg(F.struct(F.min(value).alias("least"), size.alias("width")).alias("facts")).scalar()
     # The lowest edge is closed too: a minimum that lies on an edge belongs to the bin above.
-    edge = F.floor((F.min("least") - F.max("width") / 2) / F.max("width"))
-    lowest = binned.agg(edge.alias("below")).scalar() + 1
+    lowest = F.floor((F.col("facts.least") - F.col("facts.width") / 2) / F.col("facts.width")) + 1
+    bin_of = F.ceil((F.col("x") - F.col("facts.width") / 2) / F.col("facts.width") - EDGE_TOLERANCE)
     return (
-        binned.withColumn("bin", F.greatest("bin", lowest))
-        .groupBy((F.col("bin") * F.col("width")).alias("center"), *keys)
-        .agg(F.sum("n").alias("n"))
+        values.select(*keys, value.alias("x"), facts.alias("facts"))
+        .groupBy((F.greatest(bin_of, lowest) * F.col("facts.width")).alias("center"), *keys)
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def _bin_width(values: DataFrame, value: Column, bins: int) -> Column:
+def _bin_width(value: Column, bins: int) -> Column:
     if bins < 2:
         raise ValueError("at least two bins are needed")
     spread = F.max(value) - F.min(value)
-    width = F.when(spread > 0, spread / (bins - 1)).otherwise(WIDTH_OF_CONSTANT)
-    return values.agg(width.alias("width")).scalar()
+    return F.when(spread > 0, spread / (bins - 1)).otherwise(WIDTH_OF_CONSTANT)
 
 
 def group_quantiles(
@@ -146,7 +138,7 @@ def _slices_with_quantiles(
     counted: DataFrame, names: Sequence[str], probabilities: Sequence[float]
 ) -> DataFrame:
     """``names, bracket, slice, start``: the slices a quantile lies in, and the number of
-    values of the group before each. A group has at most ``MOST_SLICES + 2`` slices a bracket."""
+    values of the group before each."""
     totals = counted.groupBy(*names, "size", "bracket", "slice").agg(F.sum("n").alias("n"))
     in_order = Window.partitionBy(*names).orderBy("bracket", "slice")
     in_order = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -201,7 +193,8 @@ def _brackets(
             f"if({whole} or {low}D = 0, least, sketch[{i}]) as low_{i}",
             f"if({whole} or {high}D = 1, greatest, sketch[{len(lows) + i}]) as high_{i}",
         ]
-    slices = f"least(ceil(size / {ROWS_PER_SLICE}), {MOST_SLICES}) as slices"
+    # the root of the group's size: neither the slices nor the rows in one grow in proportion
+    slices = "cast(ceil(sqrt(size)) as int) as slices"
     return grouped.selectExpr(*names, "size", slices, *ends)
 
 
@@ -216,17 +209,10 @@ def box_stats(
     """``interval [, fill], q1, median, q3, lower, upper``: one box per group.
 
     ``lower`` and ``upper`` are the extreme values within 1.5 interquartile ranges of the
-    box. Rows without a value or date are left out. ``approximate`` takes the quartiles
-    from a sketch, in one pass less.
+    box, and never inside it. Rows without a value or date are left out. ``approximate`` takes
+    the quartiles from a sketch, in one pass less.
     """
-    values, keys = _box_values(df, y, interval, fill, ts)
-    quartiles = _quartiles(values, keys, y, approximate)
-    fenced = _join_boxes(values, quartiles, keys)
-    inside = ~_outlying(y)
-    return fenced.groupBy(*map(quoted, keys), "q1", "median", "q3").agg(
-        F.min(F.when(inside, quoted(y))).cast("double").alias("lower"),
-        F.max(F.when(inside, quoted(y))).cast("double").alias("upper"),
-    )
+    return boxes_and_outliers(df, y, interval, fill, ts, approximate)[0]
 
 
 def box_outliers(
@@ -238,11 +224,32 @@ def box_outliers(
     approximate: bool = False,
 ) -> DataFrame:
     """``interval [, fill], y``: the values outside the whiskers."""
+    return boxes_and_outliers(df, y, interval, fill, ts, approximate)[1]
+
+
+def boxes_and_outliers(
+    df: DataFrame,
+    y: str,
+    interval: str,
+    fill: str | None = None,
+    ts: str = VISIT_DATE,
+    approximate: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The boxes and the outliers of the same values.
+
+    The values, two or three columns, are needed several times with all joins behind them, so
+    they are written once.
+    """
     values, keys = _box_values(df, y, interval, fill, ts)
-    quartiles = _quartiles(values, keys, y, approximate)
-    return _join_boxes(values, quartiles, keys).where(_outlying(y)).select(
-        *map(quoted, keys), quoted(y)
+    values = materialize(values, "values")
+    fenced = _join_boxes(values, _quartiles(values, keys, y, approximate), keys)
+    inside = ~_outlying(y)
+    least = F.min(F.when(inside, quoted(y))).cast("double")
+    greatest = F.max(F.when(inside, quoted(y))).cast("double")
+    boxes = fenced.groupBy(*map(quoted, keys), "q1", "median", "q3").agg(
+        F.least("q1", least).alias("lower"), F.greatest("q3", greatest).alias("upper")
     )
+    return boxes, fenced.where(_outlying(y)).select(*map(quoted, keys), quoted(y))
 
 
 def _box_values(

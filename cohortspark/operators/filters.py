@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,7 +126,8 @@ def table_view(
 ) -> DataFrame:
     """One page of a filtered and sorted table.
 
-    A filter is a ``(low, high)`` pair for numbers and dates (None leaves a side open), a
+    A filter is a ``(low, high)`` pair for numbers and dates (None leaves a side open; a date as
+    upper end of a timestamp includes its day), a
     list for a set of accepted values, or text to be found anywhere, ignoring case.
     ``order_by`` holds ``(column, ascending)`` pairs; every other column follows as a
     tie-break, so the pages of a table neither overlap nor miss rows.
@@ -153,6 +154,9 @@ def _accepts(df: DataFrame, name: str, wanted: object) -> Column:
     accepted = value.isNotNull()
     if low is not None:
         accepted &= value >= F.lit(low)
-    if high is not None:
-        accepted &= value <= F.lit(high)
-    return accepted
+    if high is None:
+        return accepted
+    whole_day = isinstance(high, date) and not isinstance(high, datetime)
+    if whole_day and isinstance(kind, (TimestampType, TimestampNTZType)):
+        return accepted & (value < F.lit(high + timedelta(days=1)))
+    return accepted & (value <= F.lit(high))

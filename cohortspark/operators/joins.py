@@ -6,13 +6,12 @@ below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles both sides
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.operators.filters import full_concept_names
 
 SPREAD = 64
-LITERAL_IDS = 100
 
 
 def with_concept_name(obs: DataFrame, concepts: DataFrame, on: str = "value_coded") -> DataFrame:
@@ -30,40 +29,51 @@ def keep_matching(df: DataFrame, keys: DataFrame, on: str, key: str | None = Non
 def where_concept(df: DataFrame, on: str, concepts: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``on`` is the id of one of ``concepts``.
 
-    A short list of ids is looked up right away: literals reach the scan of ``df``, also in
-    a database. A longer one is matched by a join.
+    The ids are looked up right away: literals reach the scan of ``df``, also in a database.
+    This is for the handful of concepts that a caller names; ``keep_matching`` takes any
+    number.
     """
-    found = concepts.select("concept_id").limit(LITERAL_IDS + 1).collect()
-    if len(found) > LITERAL_IDS:
-        return keep_matching(df, concepts, on, "concept_id")
-    return df.where(F.col(on).isin(sorted({row[0] for row in found})))
+    found = concepts.select("concept_id").distinct().collect()
+    return df.where(F.col(on).isin(sorted(row[0] for row in found)))
 
 
 def left_null_safe(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Left outer join in which NULL matches NULL.
 
-    Rows of ``right`` without a key all fall into one group, and usually no row of ``left``
-    is without one. They only take part when there is such a row, which a Parquet scan can
-    tell from its footers.
+    Rows of ``right`` without a key all match the same rows of ``left``, and usually there are
+    none. They only take part when there is such a row, which a Parquet scan can tell from its
+    footers. Rows of ``left`` without a key are then dealt out over ``SPREAD`` parts, each of
+    which gets the rows of ``right`` without one.
     """
     left_has_null = left.where(left[left_key].isNull()).limit(1)
     needed = left_has_null.agg(F.count(F.lit(1)) > 0).scalar()
-    right = right.where(F.col(right_key).isNotNull() | needed)
-    return left.join(right, left[left_key].eqNullSafe(right[right_key]), "left")
+    part = F.when(F.col(left_key).isNull(), F.pmod(_row_hash(left), F.lit(SPREAD))).otherwise(F.lit(0))
+    left = left.withColumn("left_part", part.cast("int"))
+    parts = F.when(F.col(right_key).isNull(), F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    right = right.where(F.col(right_key).isNotNull() | needed).withColumn(
+        "right_part", F.explode(parts.otherwise(F.array(F.lit(0))))
+    )
+    match = left[left_key].eqNullSafe(right[right_key]) & (left.left_part == right.right_part)
+    return left.join(right, match, "left").drop("left_part", "right_part")
 
 
 def left_on(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Left outer join in which a NULL key matches nothing.
 
-    Rows without a key get a random-looking second key, so that they do not all land in one
-    partition.
+    A second key deals out the rows without a key by their other columns. Elsewhere it is a
+    hash of the key on both sides; a constant would be folded away, and all rows without a key
+    would land in one partition.
     """
-    others = [F.col("`" + name + "`") for name in left.columns if name != left_key]
-    spread = F.pmod(F.xxhash64(*others), F.lit(SPREAD)) if others else F.lit(0)
-    left = left.withColumn("spread", F.when(F.col(left_key).isNull(), spread).otherwise(F.lit(0)))
-    right = right.withColumn("spread_0", F.lit(0).cast("bigint"))
-    match = (left[left_key] == right[right_key]) & (left.spread == right.spread_0)
-    return left.join(right, match, "left").drop("spread", "spread_0")
+    kind = left.schema[left_key].dataType
+    spread = F.when(F.col(left_key).isNull(), _row_hash(left)).otherwise(F.xxhash64(F.col(left_key)))
+    left = left.withColumn("left_spread", spread)
+    right = right.withColumn("right_spread", F.xxhash64(F.col(right_key).cast(kind)))
+    match = (left[left_key] == right[right_key]) & (left.left_spread == right.right_spread)
+    return left.join(right, match, "left").drop("left_spread", "right_spread")
+
+
+def _row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*["`" + name.replace("`", "``") + "`" for name in df.columns])
 
 
 def with_geocodes(counts: DataFrame, geocodes: DataFrame, place: str = "place") -> DataFrame:

@@ -14,35 +14,32 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.filters import quoted
 
+PARTS = 16
 
-def latest(
-    df: DataFrame, keys: Sequence[str], ts: str, many_ties: bool = False
-) -> DataFrame:
+
+def latest(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """Rows with the greatest ``ts`` of their group, ties included.
 
     A group with a missing ``ts`` has no known latest row and is left out: the missing one
     ranks first and is then dropped.
 
-    All ties of a group pass through one task. ``many_ties`` is for data where they may be
-    a large share of all rows: the times are then looked up by a join, whose hot keys Spark
-    splits, at the price of shuffling every row.
+    A group is ranked in ``PARTS`` parts, dealt out by a hash of the row, so that the ties of a
+    hot group do not meet in one task; what is latest in its part then has to be latest in
+    the group.
     """
-    if many_ties:
-        return _at_their_latest(df, keys, ts)
-    newest = Window.partitionBy(*map(quoted, keys)).orderBy(quoted(ts).desc_nulls_first())
-    ranked = df.withColumn("latest_rank", F.rank().over(newest))
-    return ranked.where((F.col("latest_rank") == 1) & quoted(ts).isNotNull()).drop("latest_rank")
-
-
-def _at_their_latest(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    part = F.pmod(F.xxhash64(*map(quoted, df.columns)), F.lit(PARTS))
+    newest = Window.partitionBy(*map(quoted, keys), "latest_part").orderBy(quoted(ts).desc_nulls_first())
+    ranked = df.withColumn("latest_part", part).withColumn("latest_rank", F.rank().over(newest))
+    best = ranked.where(F.col("latest_rank") == 1).drop("latest_part", "latest_rank")
+    # from all rows rather than from the ranked ones, which would be ranked a second time
     times = df.groupBy(*[quoted(key).alias(f"latest_{i}") for i, key in enumerate(keys)]).agg(
         F.max(quoted(ts)).alias("latest_ts"), F.bool_or(quoted(ts).isNull()).alias("undated")
     )
     times = times.where(~F.col("undated"))
-    match = df[f"`{ts}`"] == times.latest_ts
+    match = best[f"`{ts}`"] == times.latest_ts
     for i, key in enumerate(keys):
-        match &= df[f"`{key}`"].eqNullSafe(times[f"latest_{i}"])
-    return df.join(times, match, "left_semi")
+        match &= best[f"`{key}`"].eqNullSafe(times[f"latest_{i}"])
+    return best.join(times, match, "left_semi")
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -11,16 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions import INTERVALS
+from cohortspark.operators.counts import VISIT_DATE
 from cohortspark.operators.derive import ColumnDefinition, derive_column, stack
-from cohortspark.operators.distribution import box_stats, histogram, scatter
+from cohortspark.operators.distribution import boxes_and_outliers, histogram, scatter
 from cohortspark.operators.filters import quoted
-from cohortspark.operators.joins import with_geocodes
-from cohortspark.operators.places import place_counts
-from cohortspark.plans.charts import chart_bar
+from cohortspark.operators.places import busiest_place, place_counts
+from cohortspark.plans.charts import chart_bar, chart_map
 from cohortspark.plans.datasets import fetch
 from cohortspark.session import materialize
 from cohortspark.sources.tables import Tables
 
+OUTLIERS, CENTER, TO_LOOK_UP = "outliers", "center", "to look up"
+
 # The chart types a saved plot can have.
 TYPES = ("Table", "Bar Chart", "Histogram", "Scatter Plot", "Map Plot", "Line Chart", "Box Plot")
 
@@ -78,14 +80,46 @@ def run_dashboard(
     columns: dict[str, ColumnDefinition] | None = None,
     geocodes: DataFrame | None = None,
     as_of: date | None = None,
+    ranges: dict[str, tuple[date, date]] | None = None,
 ) -> dict[str, DataFrame]:
     """Title -> chart table, for every saved plot that is drawn (a "Table" is not).
 
-    The dataset is fetched once and written as a table; each plot then reads its columns.
+    A box plot also has a table of its outliers, a map one of its centre and one of the places to
+    look up; their keys are ``part_of(title, OUTLIERS)`` and so on. ``ranges`` gives plots, by
+    title, a date range of their own. The dataset is fetched once per distinct range and what the
+    plots read of it is written as a table; ``cohortspark.session.release`` deletes those tables.
     """
-    flat = materialize(fetch(dataset, tables, start, end, as_of=as_of), "dashboard")
+    columns = columns or {}
     drawn = [plot for plot in plots if plot.type != "Table"]
-    return {plot.title: run_plot(flat, plot, columns or {}, geocodes) for plot in drawn}
+    by_range: dict[tuple[date, date], list[PlotSpec]] = {}
+    for plot in drawn:
+        by_range.setdefault((ranges or {}).get(plot.title, (start, end)), []).append(plot)
+    kept = {}
+    for (first, last), group in by_range.items():
+        flat = fetch(dataset, tables, first, last, as_of=as_of)
+        read = set().union(*(_columns_read(plot, columns) for plot in group))
+        kept[first, last] = materialize(flat.select(*[quoted(c) for c in flat.columns if c in read]), "dashboard")
+    charts = {}
+    for plot in drawn:
+        flat = kept[(ranges or {}).get(plot.title, (start, end))]
+        for part, chart in run_plot(flat, plot, columns, geocodes).items():
+            charts[part_of(plot.title, part)] = chart
+    return charts
+
+
+def part_of(title: str, part: str = "") -> str:
+    """The key of a part of a chart; its main table goes by the title alone."""
+    return f"{title} / {part}" if part else title
+
+
+def _columns_read(plot: PlotSpec, columns: dict[str, ColumnDefinition]) -> set[str]:
+    """Columns of the dataset that a plot needs; time charts read the visit date, scatter plots
+    are coloured by gender."""
+    read = {VISIT_DATE, "Gender"}
+    for factor in plot.factors:
+        found = columns.get(factor)
+        read |= {found.first, found.second} - {None} if found else {factor}
+    return read
 
 
 def run_plot(
@@ -93,34 +127,41 @@ def run_plot(
     plot: PlotSpec,
     columns: dict[str, ColumnDefinition],
     geocodes: DataFrame | None = None,
-) -> DataFrame:
-    """The chart table of one plot, without item filter or summary line."""
+) -> dict[str, DataFrame]:
+    """The tables of one plot by part ("" is the chart), without item filter or summary line."""
     for factor in plot.factors:
         if factor in columns:
             flat = derive_column(flat, columns[factor])
     if plot.type in ("Bar Chart", "Line Chart"):
-        return chart_bar(flat, plot.factors, plot.interval, plot.proportional)
+        return {"": chart_bar(flat, plot.factors, plot.interval, plot.proportional)}
     if plot.type == "Histogram":
-        return histogram(flat, plot.factor1, fill=plot.factor2)
+        return {"": histogram(flat, plot.factor1, fill=plot.factor2)}
     if plot.type == "Scatter Plot":
-        return scatter(flat, plot.factor1, plot.factor2)
+        return {"": scatter(flat, plot.factor1, plot.factor2)}
     if plot.type == "Box Plot":
-        return box_stats(flat, plot.factor1, plot.interval, plot.factor2)
+        boxes, outliers = boxes_and_outliers(flat, plot.factor1, plot.interval, plot.factor2)
+        return {"": boxes, OUTLIERS: outliers}
     if plot.type == "Map Plot":
-        counts = place_counts(flat, plot.factor1)
         if geocodes is not None:
-            return with_geocodes(counts, geocodes)
+            chart = chart_map(flat, plot.factor1, geocodes)
+            return {"": chart.places, CENTER: chart.center, TO_LOOK_UP: chart.unresolved}
         unknown = F.lit(None).cast("double")
-        return counts.withColumns({"lat": unknown, "lon": unknown})
+        places = place_counts(flat, plot.factor1).withColumns({"lat": unknown, "lon": unknown})
+        return {"": places, CENTER: busiest_place(places)}
     raise ValueError(f"a plot of type {plot.type!r} is not drawn")
 
 
 def dashboard_rows(plots: Sequence[PlotSpec], charts: dict[str, DataFrame]) -> DataFrame:
     """All charts as one table ``title, factor1, factor2, bucket, measure, value``."""
-    return stack([_long(plot, charts[plot.title]) for plot in plots if plot.title in charts])
+    rows = []
+    for plot in plots:
+        for part in ("", OUTLIERS, CENTER, TO_LOOK_UP):
+            if (title := part_of(plot.title, part)) in charts:
+                rows.append(_long(plot, part, charts[title]))
+    return stack(rows)
 
 
-def _long(plot: PlotSpec, chart: DataFrame) -> DataFrame:
+def _long(plot: PlotSpec, part: str, chart: DataFrame) -> DataFrame:
     text, none = "string", F.lit(None)
     factor1, factor2, bucket = none, none, none
     if plot.type in ("Bar Chart", "Line Chart"):
@@ -135,14 +176,17 @@ def _long(plot: PlotSpec, chart: DataFrame) -> DataFrame:
         measures = [plot.factor1, plot.factor2, "n"]
         factor1 = quoted("Gender")
     elif plot.type == "Box Plot":
-        measures = ["q1", "median", "q3", "lower", "upper"]
+        measures = [plot.factor1] if part == OUTLIERS else ["q1", "median", "q3", "lower", "upper"]
         factor2 = quoted(plot.factor2) if plot.factor2 else none
         bucket = quoted(plot.interval)
+    elif part == TO_LOOK_UP:
+        chart = chart.withColumn("unknown", F.lit(1))
+        measures, factor1, factor2 = ["unknown"], quoted("place"), quoted("lookup")
     else:
         measures = ["total", "lat", "lon"]
         factor1 = quoted("place")
     return chart.select(
-        F.lit(plot.title).alias("title"),
+        F.lit(part_of(plot.title, part)).alias("title"),
         factor1.cast(text).alias("factor1"),
         factor2.cast(text).alias("factor2"),
         bucket.cast("timestamp_ntz").alias("bucket"),

@@ -59,8 +59,6 @@ PATIENT_SCHEMA = (
     "`Visit Date` timestamp_ntz, Amount double, `Care Setting` string"
 )
 PATIENT_ID_TYPE = 3
-# Diagnoses up to which a cohort is broadcast: 8 bytes each, a few megabytes.
-SMALL_COHORT = 500_000
 
 
 def dataset(name: str) -> Callable[[DatasetFunction], DatasetFunction]:
@@ -172,8 +170,7 @@ def visit_payments(encounters: DataFrame, lines: DataFrame, orders: DataFrame) -
     An order counts once per visit. The amount is NULL when one of them is unknown;
     encounters without an order give their visit a row without care setting and amount.
     """
-    links = lines.select("order_id", "external_id").distinct()
-    billed = left_null_safe(encounters, links, "uuid", "external_id")
+    billed = left_null_safe(encounters, lines.select("order_id", "external_id"), "uuid", "external_id")
     ordered = billed.select("visit_id", "order_id").distinct()
     priced = left_on(ordered, orders.select("id", "amount_total", "care_setting"), "order_id", "id")
     return priced.groupBy("visit_id", "care_setting").agg(
@@ -187,11 +184,13 @@ def cohort_visits(tables: Tables, cohort: DataFrame) -> DataFrame:
     diagnosed = keep_matching(encounters, cohort, "encounter_id")
     # Used twice below: written once, so the encounters are not matched to the cohort again.
     visits = materialize(diagnosed.select("visit_id", "patient_id").distinct(), "visits")
-    payments = visit_payments(
-        keep_matching(encounters, visits, "visit_id").select("visit_id", "uuid"),
-        tables.billing("sale_order_line"),
-        tables.billing("sale_order"),
-    )
+    # Billing is narrowed step by step: own encounters, their order lines, their orders.
+    own = keep_matching(encounters, visits, "visit_id").select("visit_id", "uuid")
+    own = materialize(own, "encounters")
+    lines = tables.billing("sale_order_line").select("order_id", "external_id")
+    lines = materialize(lines.join(own, lines.external_id.eqNullSafe(own.uuid), "left_semi"), "order-lines")
+    orders = keep_matching(tables.billing("sale_order"), lines, "id", "order_id")
+    payments = visit_payments(own, lines, orders)
     dates = tables.clinical("visit").select("visit_id", "date_started")
     return visits.join(dates, "visit_id").join(payments, "visit_id").select(
         "patient_id",
@@ -246,13 +245,13 @@ def patient_visit_pairs(tables: Tables, cohort: DataFrame, variables: Sequence[s
     A patient row is a visit of a cohort patient with one of their addresses and
     identifiers. The pairs themselves are never formed: the counts multiply.
     """
-    observed = observations(tables, variables).groupBy("person_id", "name").agg(
-        F.count(F.lit(1)).alias("observations")
-    )
+    own = keep_matching(observations(tables, variables), cohort, "person_id")
+    observed = own.groupBy("person_id", "name").agg(F.count(F.lit(1)).alias("observations"))
     visits = _count_by(cohort_visits(tables, cohort), "patient_id", "visits")
     persons = keep_matching(tables.clinical("person"), cohort, "person_id").select("person_id")
-    addresses = _count_by(tables.clinical("person_address"), "person_id", "addresses")
-    identifiers = _count_by(_identifiers(tables), "person_id", "identifiers")
+    addresses = keep_matching(tables.clinical("person_address"), cohort, "person_id")
+    addresses = _count_by(addresses, "person_id", "addresses")
+    identifiers = _count_by(keep_matching(_identifiers(tables), cohort, "person_id"), "person_id", "identifiers")
     return (
         observed.join(persons, "person_id")
         .join(visits.withColumnRenamed("patient_id", "person_id"), "person_id")
@@ -279,27 +278,25 @@ def cohort_dataset(
     pair, so the first visit and the first address are chosen before the join. "First" is
     by visit date, care setting, amount, district and state, missing ones last.
     """
+    # Written, so Spark knows its size: every table is narrowed to the cohort first, while it is
+    # read where the cohort is small.
     cohort = materialize(cohort, "cohort")
-    size = cohort.count()
-    if size == 0:
+    if cohort.limit(1).count() == 0:
         return _nobody(tables.spark, variables)
-    observed = observations(tables, list(variables))
-    if size <= SMALL_COHORT:
-        # The cohort fits into every task, so others' observations are dropped while they
-        # are read. For a larger one they are reduced to one row per person first.
-        observed = keep_matching(observed, F.broadcast(cohort.select("person_id")), "person_id")
+    observed = keep_matching(observations(tables, list(variables)), cohort, "person_id")
     values = pick_values(observed, list(variables))
     visits = _first_of(
         cohort_visits(tables, cohort).withColumnRenamed("patient_id", "person_id"),
         ["Visit Date", "Care Setting", "Amount"],
     )
-    addresses = _first_of(_addresses(tables), ["District", "State"])
+    addresses = _first_of(keep_matching(_addresses(tables), cohort, "person_id"), ["District", "State"])
     persons = keep_matching(_persons(tables, as_of), cohort, "person_id")
     patients = persons.join(visits, "person_id").join(addresses, "person_id")
-    measured = values.join(patients, "person_id").join(_identifiers(tables), "person_id")
+    identifiers = keep_matching(_identifiers(tables), cohort, "person_id")
+    measured = values.join(patients, "person_id").join(identifiers, "person_id")
     # One value per identifier and variable, also when persons share an identifier. The
     # pivot that follows keeps the partitioning by identifier, so it needs no shuffle.
-    described = ["person_id", *PATIENT_COLUMNS]
+    described = list(PATIENT_COLUMNS)
     chosen = [
         F.min(
             F.when(
@@ -331,8 +328,15 @@ def _nobody(spark: SparkSession, variables: dict[str, str]) -> DataFrame:
 
 def observations(tables: Tables, variables: Sequence[str]) -> DataFrame:
     """The observations of the named variables, with the name of each."""
-    names = _named(tables, variables)
-    return where_concept(tables.clinical("obs"), "concept_id", names).join(names, "concept_id").select(
+    named: dict[int, list[str]] = {}
+    for concept_id, name in _named(tables, variables).collect():
+        named.setdefault(concept_id, []).append(name)
+    obs = tables.clinical("obs").where(F.col("concept_id").isin(sorted(named)))
+    # A handful of names, looked up above: a literal map in place of a join on a few hot keys.
+    cases = F.array().cast("array<string>")
+    for concept_id, names in sorted(named.items()):
+        cases = F.when(F.col("concept_id") == concept_id, F.array(*map(F.lit, sorted(names)))).otherwise(cases)
+    return obs.withColumn("name", F.explode(cases)).select(
         "person_id", "concept_id", "name", "obs_id", "obs_datetime", "value_numeric", "value_text"
     )
 

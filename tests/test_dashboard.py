@@ -22,7 +22,9 @@ def tables(spark):
 
 def test_dashboard_equals_the_charts_run_directly(spark, tables, rows):
     charts = run_dashboard(tables, "visits", PLOTS, START, END, {"Price": PRICES}, known_geocodes(tables))
-    assert list(charts) == [plot.title for plot in PLOTS if plot.type != "Table"]
+    extra = {"Amount by year / outliers", "Districts / center", "Districts / to look up"}
+    assert set(charts) == {plot.title for plot in PLOTS if plot.type != "Table"} | extra
+    assert charts["Districts / center"].count() == 1 and charts["Districts / to look up"].count() == 1
     flat = fetch("visits", tables, START, END)
     direct = {
         "Visits": chart_bar(flat, ["Diagnosis", "Gender"], "Months"),
@@ -39,6 +41,15 @@ def test_dashboard_equals_the_charts_run_directly(spark, tables, rows):
     assert long.where("title = 'Visits'").count() == direct["Visits"].count()
 
 
+def test_plots_have_ranges_of_their_own(spark, tables):
+    plots = [PlotSpec("all", "Bar Chart", "Gender"), PlotSpec("day", "Bar Chart", "Gender")]
+    day = (date(1995, 3, 1), date(1995, 3, 31))
+    charts = run_dashboard(tables, "visits", plots, START, END, ranges={"day": day})
+    total = {title: sum(row.total for row in chart.collect()) for title, chart in charts.items()}
+    assert total["all"] == fetch("visits", tables, START, END).count()
+    assert total["day"] == fetch("visits", tables, *day).count()
+
+
 def test_scatter_and_map_without_positions(spark, tables, rows):
     plots = [
         PlotSpec("s", "Scatter Plot", "Amount", "Amount"),
