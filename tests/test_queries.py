@@ -105,6 +105,22 @@ def test_a_planted_pairing_below_a_subquery_is_found(spark):
     assert any("NestedLoop" in line or "Cartesian" in line for line in problems(hidden))
 
 
+def test_cohort_plans_narrow_their_tables(spark, folder):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {key: spark.conf.get(key) for key in keys}
+    spark.conf.set(keys[0], "-1")
+    spark.conf.set(keys[1], "false")
+    try:
+        for name in ("dataset_diabetes", "dataset_hypertension"):
+            plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") < 28
+            # observations, addresses, persons, identifiers and orders
+            assert plan.count("LeftSemi") >= 5, name
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_values_are_binned_once(spark, folder):
     plan = final_plan(QUERIES["histogram_default"](spark, folder))
     assert sum("hashpartitioning" in line and "center" not in line and "facts" in line for line in plan.splitlines()) <= 1
