@@ -172,7 +172,7 @@ def context_totals(docs: DataFrame, contexts: DataFrame) -> DataFrame:
 def learned(graph: DataFrame, totals: DataFrame, least_seeds: int, confidence: float, rounds: int) -> DataFrame:
     """Values that patterns vouch for: value, kind.
 
-    ``graph``: kind (-1: not known), context, value, one row per mention. In each round a
+    ``graph``: kind (-1: not known), context, value, n (mentions). In each round a
     context is trusted for a kind if at least ``least_seeds`` different values of that kind
     stand in it and they are at least ``confidence`` of all that follows it; unknown values in a
     trusted context take its kind (the most confident one) and are seeds of the next round.
@@ -183,7 +183,7 @@ def learned(graph: DataFrame, totals: DataFrame, least_seeds: int, confidence: f
     for _ in range(rounds):
         seeds = reduce(DataFrame.unionByName, [known, *added]).select("value", F.col("kind").alias("seed")).distinct()
         hits = graph.join(seeds, "value").groupBy("context", "seed").agg(
-            F.count(F.lit(1)).alias("hits"), F.count_distinct("value").alias("values")
+            F.sum("n").alias("hits"), F.count_distinct("value").alias("values")
         )
         share = F.col("hits") / F.greatest("total", "hits")
         trusted = hits.join(totals, "context").withColumn("trust", share).filter(
@@ -216,7 +216,8 @@ def find_pii(docs: DataFrame, least_seeds: int = 4, confidence: float = 0.5, rou
     keyed = Keyed(docs)
     found = materialize(_found(keyed), "found")
     graph = found.select("_key", F.explode("mentions").alias("m")).select("_key", "m.*")
-    in_context = graph.filter("context is not null").select("kind", "context", "value")
+    in_context = graph.filter("context is not null").groupBy("kind", "context", "value").agg(F.count(F.lit(1)).alias("n"))
+    in_context = materialize(in_context, "graph")  # a value or context in very many texts is a few rows
     # others cannot be trusted in any round
     contexts = in_context.groupBy("context").agg(F.count_distinct("value").alias("n"))
     contexts = materialize(contexts.filter(F.col("n") >= least_seeds).select("context"), "contexts")
