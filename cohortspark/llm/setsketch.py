@@ -24,6 +24,7 @@ BLOCK = 1024  # members of a bucket that are compared at once,
 BLOCK_SHINGLES = 1_000_000  # or fewer where their sets are large
 COLUMNS = 2048  # shingles that are multiplied at once
 PAIRS = 4096  # pairs of sketches that are judged at once
+ROWS_AT_ONCE = 512  # members of a block against all of the other one
 MULTIPLIERS = mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -229,23 +230,27 @@ def _partners(group: pa.Table, at_least: float) -> np.ndarray:
     n = group["n_shingles"].to_numpy().astype(np.float64)
     s = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
     found = np.zeros(len(key), bool)
-    left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-    hashes = band_hashes(s)
-    small, large = (f(n[left][:, None], n[right][None, :]) for f in (np.minimum, np.maximum))
-    pairs = (label[left][:, None] != label[right][None, :]) & (small >= (at_least - 1e-9) * large)
-    if p == q:
-        pairs &= key[left][:, None] < key[right][None, :]
-    for earlier in range(int(np.flatnonzero(hashes[0] == h)[0])):
-        pairs &= hashes[left, earlier][:, None] != hashes[right, earlier][None, :]
-    i, j = np.nonzero(pairs)
-    i, j = left[i], right[j]
-    for begin in range(0, len(i), PAIRS):
-        a, b = i[begin : begin + PAIRS], j[begin : begin + PAIRS]
-        good = plausible(s[a], s[b], n[a], n[b], at_least)
-        found[a[good]] = found[b[good]] = True
+    right, hashes = np.flatnonzero(own == q), band_hashes(s)
+    band = int(np.flatnonzero(hashes[0] == h)[0])
+    for left in _in_slices(np.flatnonzero(own == p)):
+        small, large = (f(n[left][:, None], n[right][None, :]) for f in (np.minimum, np.maximum))
+        pairs = (label[left][:, None] != label[right][None, :]) & (small >= (at_least - 1e-9) * large)
+        if p == q:
+            pairs &= key[left][:, None] < key[right][None, :]
+        for earlier in range(band):
+            pairs &= hashes[left, earlier][:, None] != hashes[right, earlier][None, :]
+        i, j = np.nonzero(pairs)
+        for begin in range(0, len(i), PAIRS):
+            a, b = left[i[begin : begin + PAIRS]], right[j[begin : begin + PAIRS]]
+            good = plausible(s[a], s[b], n[a], n[b], at_least)
+            found[a[good]] = found[b[good]] = True
     return found
 
 
+def _in_slices(members: np.ndarray) -> list[np.ndarray]:
+    return [members[i : i + ROWS_AT_ONCE] for i in range(0, len(members), ROWS_AT_ONCE)]
+
+
 def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of each left with each right set, by products of 0/1 matrices."""
     sizes = np.array([len(x) for x in sets])
@@ -261,7 +266,9 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
         a, b = np.searchsorted(column, [first, first + COLUMNS])
         dense = np.zeros((len(sets), COLUMNS), np.float32)
         dense[owner[a:b], column[a:b] - first] = 1
-        total += dense[left] @ dense[right].T
+        other = dense[right].T
+        for k, part in enumerate(_in_slices(left)):
+            total[k * ROWS_AT_ONCE : (k + 1) * ROWS_AT_ONCE] += dense[part] @ other
     return total
 
 
@@ -274,10 +281,14 @@ def _matches(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     n = group["n_shingles"].to_numpy()
     left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
     shared = shared_counts(sets, left, right)
-    union = n[left][:, None] + n[right][None, :] - shared
-    good = (100 * shared >= percent * union) & (label[left][:, None] != label[right][None, :])
-    i, j = np.nonzero(good)
-    a, b = key[left[i]], key[right[j]]
+    ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k, part in enumerate(_in_slices(left)):
+        both = shared[k * ROWS_AT_ONCE : (k + 1) * ROWS_AT_ONCE]
+        union = n[part][:, None] + n[right][None, :] - both
+        i, j = np.nonzero((100 * both >= percent * union) & (label[part][:, None] != label[right][None, :]))
+        ends[0].append(key[part[i]])
+        ends[1].append(key[right[j]])
+    a, b = map(np.concatenate, ends)
     return np.minimum(a, b), np.maximum(a, b)
 
 
