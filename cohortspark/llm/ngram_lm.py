@@ -37,8 +37,9 @@ def restored(codes: np.ndarray) -> np.ndarray:
 
 
 def packs(docs: DataFrame, modulus: int, held_out: int, pack_bytes: int) -> DataFrame:
-    """Documents in packs of about ``pack_bytes``: pack, doc_ids, held, learn, tokens, words (the
-    lower-cased words of the texts, compressed)."""
+    """Documents in packs of about ``pack_bytes``: pack, doc_ids, held, learn, counts (words of each),
+    tokens (of all), hashes (of the distinct lower-cased words) and codes (which of them stands at
+    each place, compressed)."""
     small_batches(docs.sparkSession)
     rest = remainder(F.col("doc_id"), modulus)
     flags = [F.coalesce(rest == held_out, F.lit(False)).alias("held"), F.coalesce(rest != held_out, F.lit(False)).alias("learn")]
@@ -50,11 +51,19 @@ def packs(docs: DataFrame, modulus: int, held_out: int, pack_bytes: int) -> Data
         rows: list[tuple] = []
 
         def packed() -> pa.RecordBatch:
-            data = zstandard.compress(b"\n".join(b" ".join(words) for *_, words in rows), 5)
-            columns = [[first + number], *([[r[i] for r in rows]] for i in range(3)), [sum(len(r[3]) for r in rows)], [data]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.int64(), pa.binary()]
-            names = ["pack", "doc_ids", "held", "learn", "tokens", "words"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            counts = [len(r[3]) for r in rows]
+            column = np.empty(sum(counts), dtype=object)
+            column[:] = [w for r in rows for w in r[3]]
+            codes, distinct = pd.factorize(column)
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
+            # words come in the order they are first met, so the upper bytes are mostly zeros
+            planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            columns = [first + number, *([r[i] for r in rows] for i in range(3)), counts, sum(counts),
+                       hashes.astype("<u8").tobytes(), zstandard.compress(planes, 3)]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int64()),
+                     pa.int64(), pa.binary(), pa.binary()]
+            names = ["pack", "doc_ids", "held", "learn", "counts", "tokens", "hashes", "codes"]
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("doc_id", "held", "learn"))
@@ -67,7 +76,10 @@ def packs(docs: DataFrame, modulus: int, held_out: int, pack_bytes: int) -> Data
         if rows:
             yield packed()
 
-    schema = "pack long, doc_ids array<long>, held array<boolean>, learn array<boolean>, tokens long, words binary"
+    schema = (
+        "pack long, doc_ids array<long>, held array<boolean>, learn array<boolean>, counts array<long>, tokens long, "
+        "hashes binary, codes binary"
+    )
     return picked.mapInArrow(pack, schema)
 
 
@@ -75,13 +87,10 @@ class Pack:
     """The words of a pack as numbers of distinct words, which are sorted by hash."""
 
     def __init__(self, row: dict):
-        texts = zstandard.decompress(row["words"]).split(b"\n")
-        own = [t.split() for t in texts]
-        self.counts = np.array([len(w) for w in own])
-        column = np.empty(self.counts.sum(), dtype=object)
-        column[:] = [w for words in own for w in words]
-        codes, distinct = pd.factorize(column)
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
+        self.counts = np.array(row["counts"], np.int64)
+        planes = np.frombuffer(zstandard.decompress(row["codes"]), np.uint8).reshape(4, -1)
+        codes = np.ascontiguousarray(planes.T).view("<u4").ravel()
+        hashes = np.frombuffer(row["hashes"], "<u8")
         order = np.argsort(hashes)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
