@@ -160,13 +160,17 @@ def full_set(text: bytes, size: int) -> set:
     return set(zip(*(words[i:] for i in range(size)), strict=False))
 
 
+def _held(batch: pa.RecordBatch, wanted: Sieve) -> pa.RecordBatch:
+    return batch.filter(pa.array(wanted.may_hold(batch.column("_key").to_numpy(zero_copy_only=False))))
+
+
 def _texts_of(keys: DataFrame, keyed: Keyed) -> DataFrame:
     """_key, text of the documents whose key a filter made of ``keys`` may hold."""
     wanted = Sieve(keys, "_key")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(wanted.may_hold(batch.column("_key").to_numpy(zero_copy_only=False))))
+            yield _held(batch, wanted)
 
     return keyed.frame.select("_key", "text").mapInArrow(pick, "_key long, text string")
 
@@ -308,14 +312,17 @@ def _cross_links(members: DataFrame, sketches: DataFrame, keyed: Keyed, size: in
     some = rows.mapInArrow(likely, "h long, p long, q long, own long, _key long, label long, n_shingles long")
     some = materialize(some, "likely")
 
+    wanted = Sieve(some.select("_key").distinct(), "_key")
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # picks texts and hashes them in one worker; two functions in a row would hold two
         for batch in batches:
+            batch = _held(batch, wanted)
             sets = (s for part in by_size(raw_texts(batch)) for s in shingle_hashes(part, size))
             data = pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("_key"), data], ["_key", "hashes"])
 
-    texts = _texts_of(some.select("_key").distinct(), keyed)
-    sets = materialize(texts.mapInArrow(hashed, "_key long, hashes binary"), "sets")
+    sets = materialize(keyed.frame.select("_key", "text").mapInArrow(hashed, "_key long, hashes binary"), "sets")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs_of(batches, PAIR_OF_BLOCKS):
