@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import raw_texts
+from cohortspark.llm.common import raw_texts, small_batches
 from cohortspark.llm.labelled import labelled_sample, remainder
 from cohortspark.llm.quality import by_size
 
@@ -118,6 +118,7 @@ class SpanTagger:
     bias: float
     trans: np.ndarray
     curve: np.ndarray
+    trained: bool = True
 
     def tagged(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The marginal of every token, and tokens per text."""
@@ -199,9 +200,10 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 40, rate: float =
     """Fits the field to the token labels by Adagrad on its likelihood, then the document curve."""
     codes, words, counts = factorised(texts)
     base = float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
-    tagger = SpanTagger(np.zeros(BUCKETS), -4.0, np.zeros((2, 2)), np.array([base, 0, 0, 0, 0]))
+    tagger = SpanTagger(np.zeros(BUCKETS), -4.0, np.zeros((2, 2)), np.array([base, 0, 0, 0, 0]), trained=False)
     if not words or len(set(labels.tolist())) < 2:
         return tagger
+    tagger.trained = True
     y = token_labels(codes, words, counts, labels)
     bucket, owner = feature_table(words)
     row, column = chains(counts)
@@ -283,7 +285,12 @@ def _scored(docs: DataFrame, tagger: SpanTagger, modulus: int, held_out: int, cu
 
 
 def without_toxic(docs: DataFrame, tagger: SpanTagger, cutoff: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score below ``cutoff``, with all their columns."""
+    """The rows of ``docs`` that score below ``cutoff``, with all their columns. A tagger that had
+    no labels of both classes to learn from rejects nothing."""
+    if not tagger.trained:
+        return docs
+    small_batches(docs.sparkSession)
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [s < cutoff for part in by_size(raw_texts(batch)) for s in tagger.score(part)]

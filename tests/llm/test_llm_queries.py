@@ -68,3 +68,17 @@ def test_pipeline_stages_equal_brute_force(spark, folder):
     mixed = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
     assert set(mixed) == set(results["decontamination"])
     assert all(r.taken <= 3 * r.size for r in mixed.values())
+
+
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, _key string, h string, label int"
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (None, "a b"), (None, None), (3, "x y " * 3000), (3, "x y " * 3000)]])
+def test_stages_take_odd_rows(spark, folder, rows):
+    docs = spark.createDataFrame([(i, t, None, None, None, "k", None, 1) for i, t in rows], ODD)
+    left = {"toxicity": 6, "exact_dedup": 3, "near_dedup": 5, "decontamination": 6, "mixing": 6}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, folder)
+        assert got.count() == (left[name] if rows else 0), name
+        if name != "mixing":
+            assert got.columns == docs.columns and {r["_key"] for r in got.collect()} <= {"k"}
