@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import mmap
 import struct
-import tempfile
 
 import numpy as np
 
@@ -70,13 +69,13 @@ class TrieLevel:
 
 
 class MappedLevel:
-    """A trie level with one byte per successor, in a memory-mapped file that has no name."""
+    """A trie level with one byte per successor in an anonymous memory map: nothing is left on the
+    machine, and the map goes as a whole when it is closed. The kept form of a level is its row."""
 
     def __init__(self, level: bytes, codes: bytes, vocabulary: int):
-        self.file = tempfile.TemporaryFile()
-        self.file.write(level + codes)
-        self.file.flush()
-        self.map = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
+        self.map = mmap.mmap(-1, len(level) + len(codes))
+        self.map.write(level)
+        self.map.write(codes)
         self.vocabulary = vocabulary
         self.contexts, at = decode(self.map)
         self.pointers, at = decode(self.map, at)
@@ -97,4 +96,3 @@ class MappedLevel:
     def close(self) -> None:
         del self.codes
         self.map.close()
-        self.file.close()
