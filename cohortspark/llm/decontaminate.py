@@ -19,7 +19,7 @@ from cohortspark.session import materialize
 WINDOW = 8  # words
 LEAST_WORDS = 13  # words of an item in a row of windows that make a document a leak
 SHORTEST = 5  # items with fewer words cannot be told from ordinary text
-MOST_SLOTS = 4  # a window with more placeholders is compared word by word instead
+SALTS = 32  # parts of the windows that are placeholders only: a table of numbers has very many equal ones
 EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NUMBER = re.compile(rb"[0-9][0-9.,:/]*")
 NUMBER_UNIT = re.compile(rb"[0-9][0-9.,]*([a-z]{1,5})")
@@ -30,6 +30,7 @@ UNITS = frozenset(
     b"dollars cents euros pounds w kw kwh hz khz mhz ghz b kb mb gb tb v a mph kmh".split()
 )
 PLAIN, NUM, UNIT, CAPITAL, BOTH = range(5)
+WAYS = 2  # to set placeholders: none, typed values
 SLOT_NAMES = {NUM: "num", UNIT: "unit", CAPITAL: "name", BOTH: "num_unit"}
 
 
@@ -82,43 +83,43 @@ class Templates:
         after_number = np.zeros(len(kind), bool)
         after_number[1:] = kind[:-1] == NUM
         kind[(kind == UNIT) & ~after_number] = PLAIN
-        self.kind = kind
+        self.kinds = [np.full(len(kind), PLAIN, np.int8), kind]
         self.plain = mix64(hashes[self.codes])
-        self.template = np.where(kind == PLAIN, self.plain, mix64(kind.astype(np.uint64) + np.uint64(1)))
         self.first = np.searchsorted(self.doc, np.arange(len(texts)))
         self.counts = np.bincount(self.doc, minlength=len(texts))
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts (in all words) and hashes of the windows of ``size`` words within one text."""
+    def windows(self, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Starts (in all words) of the windows of ``size`` words within one text, and their hashes
+        under each of ``kinds``."""
         n = len(self.codes) - size + 1
         if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        slots = np.concatenate([[0], np.cumsum(self.kind != PLAIN)])
-        crowded = slots[size:] - slots[:-size] > MOST_SLOTS
-        total, plain = np.full(n, size, np.uint64), np.full(n, size, np.uint64)
-        for j in range(size):
-            total = (total * np.uint64(0x9E3779B97F4A7C15)) ^ self.template[j : j + n]
-            total ^= total >> np.uint64(29)
-            if crowded.any():
-                plain = (plain * np.uint64(0x9E3779B97F4A7C15)) ^ self.plain[j : j + n]
-                plain ^= plain >> np.uint64(29)
-        total = np.where(crowded, plain, total)
+            return np.empty(0, np.int64), [np.empty(0, np.int64) for _ in self.kinds]
         at = np.flatnonzero(self.doc[:n] == self.doc[size - 1 :])
-        return at, total[at].view(np.int64)
-
-    def slots(self, start: int, size: int) -> list[str]:
-        """Values that placeholders of a window stand for, as kind=value."""
+        hashes = []
+        for kind in self.kinds:
+            word = np.where(kind == PLAIN, self.plain, mix64(kind.astype(np.uint64) + np.uint64(1)))
+            total = np.full(n, size, np.uint64)
+            for j in range(size):
+                total = (total * np.uint64(0x9E3779B97F4A7C15)) ^ word[j : j + n]
+                total ^= total >> np.uint64(29)
+            hashes.append(total[at].view(np.int64))
+        return at, hashes
+
+    def slots(self, kind: np.ndarray, start: int, size: int) -> list[str]:
+        """Values that placeholders of a window stand for under one of ``kinds``, as kind=value."""
         return [
             f"{SLOT_NAMES[int(k)]}={self.words[c].decode('utf-8', 'replace')}"
-            for k, c in zip(self.kind[start : start + size], self.codes[start : start + size], strict=True) if k != PLAIN
+            for k, c in zip(kind[start : start + size], self.codes[start : start + size], strict=True) if k != PLAIN
         ]
 
 
 def template_windows(frame: DataFrame, key: str, sizes: list[int] | None, sieve: Sieve | None = None) -> DataFrame:
-    """Windows of the texts in ``frame``: key, pos (word), n_words (of the text), size, h, slots.
+    """Windows of the texts in ``frame``: key, pos (word), n_words (of the text), size, h, ways, slots.
 
-    ``sizes`` None: of WINDOW words, or the whole text where it is shorter (but not shorter
-    than SHORTEST). With a sieve only windows that it may hold are returned.
+    A window has a row for each different hash it has under the ways to set placeholders
+    (``Templates.kinds``); bit i of ``ways`` is set if way i gives this hash. ``sizes`` None: of
+    WINDOW words, or the whole text where it is shorter (but not shorter than SHORTEST). With a
+    sieve only windows that it may hold are returned.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,27 +127,33 @@ def template_windows(frame: DataFrame, key: str, sizes: list[int] | None, sieve:
             keys, done = batch.column(0).to_numpy(zero_copy_only=False), 0
             for part in by_size(raw_texts(batch)):
                 t = Templates(part)
-                out: dict[str, list] = {"key": [], "pos": [], "n_words": [], "size": [], "h": [], "slots": []}
+                out: dict[str, list] = {"key": [], "pos": [], "n_words": [], "size": [], "h": [], "ways": [], "slots": []}
                 for size in sizes or range(SHORTEST, WINDOW + 1):
-                    at, h = t.windows(size)
+                    every, hashes = t.windows(size)
+                    good = np.ones(len(every), bool)
                     if sizes is None:
-                        good = t.counts[t.doc[at]] >= WINDOW if size == WINDOW else t.counts[t.doc[at]] == size
-                        at, h = at[good], h[good]
-                    if sieve is not None:
-                        may = sieve.may_hold(h)
-                        at, h = at[may], h[may]
-                    doc = t.doc[at]
-                    out["key"].append(keys[done + doc])
-                    out["pos"].append((at - t.first[doc]).astype(np.int32))
-                    out["n_words"].append(t.counts[doc].astype(np.int32))
-                    out["size"].append(np.full(len(at), size, np.int32))
-                    out["h"].append(h)
-                    out["slots"] += [t.slots(i, size) for i in at.tolist()]
+                        good = t.counts[t.doc[every]] >= WINDOW if size == WINDOW else t.counts[t.doc[every]] == size
+                    for way, kind in enumerate(t.kinds):
+                        new = good.copy()
+                        for before in hashes[:way]:
+                            new &= hashes[way] != before
+                        new = np.flatnonzero(new)
+                        if sieve is not None:
+                            new = new[sieve.may_hold(hashes[way][new])]
+                        at, h = every[new], hashes[way][new]
+                        doc = t.doc[at]
+                        out["key"].append(keys[done + doc])
+                        out["pos"].append((at - t.first[doc]).astype(np.int32))
+                        out["n_words"].append(t.counts[doc].astype(np.int32))
+                        out["size"].append(np.full(len(at), size, np.int32))
+                        out["h"].append(h)
+                        out["ways"].append(sum((x[new] == h).astype(np.int32) << i for i, x in enumerate(hashes)))
+                        out["slots"] += [t.slots(kind, i, size) for i in at.tolist()]
                 done += len(part)
-                columns = [pa.array(np.concatenate(out[c])) for c in ("key", "pos", "n_words", "size", "h")]
+                columns = [pa.array(np.concatenate(out[c])) for c in ("key", "pos", "n_words", "size", "h", "ways")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(out["slots"], pa.list_(pa.string()))], list(out))
 
-    schema = "key long, pos int, n_words int, size int, h long, slots array<string>"
+    schema = "key long, pos int, n_words int, size int, h long, ways int, slots array<string>"
     return frame.select(key, "text").mapInArrow(cut, schema).withColumnRenamed("key", key)
 
 
@@ -156,10 +163,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Returns doc_id, item_id, matched_windows, item_windows, share (of the item's windows),
     same_values (no number, name or unit was changed). Both sides are cut into words without
     punctuation, in lower case; numbers, units behind numbers and capitalised words inside a
-    sentence become typed placeholders. Windows of WINDOW words are joined by hash. Along one
+    sentence become typed placeholders. Windows of WINDOW words are joined by hash, once with
+    placeholders, however many, and once word by word. Along one
     alignment of document and item, every value of the item must always be replaced by the same
     value; where it is not, only windows with unchanged values count. A pair is returned if
-    the matched windows make up LEAST_WORDS words, or the whole item where it is shorter.
+    the matched windows make up LEAST_WORDS words, or the whole item where it is shorter. A window of
+    the document counts for one window of the item only, so that a few numbers in a row
+    are not taken for a long row of them.
     Items of fewer than SHORTEST words, null and empty texts match nothing; repeated rows are
     items and documents of their own. No pair is dropped; documents without a match have no row.
     """
@@ -174,23 +184,34 @@ def _pairs(keyed: Keyed, benchmark: DataFrame) -> DataFrame:
     windows = template_windows(items, "_item", None)
     windows = materialize(
         windows.withColumn("item_windows", F.col("n_words") - F.col("size") + 1)
-        .withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"}).drop("n_words"), "item-windows",
+        .withColumnsRenamed({"pos": "item_pos", "slots": "item_slots", "ways": "item_ways"}).drop("n_words"), "item-windows",
     )
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect()) or [WINDOW]
     sieve = Sieve(windows, "h", bits=1 << 24)
     found = template_windows(keyed.frame, "_key", sizes, sieve).drop("n_words")
-    matches = found.join(windows, ["h", "size"])
+    full = lambda slots: F.size(slots) == F.col("size")
+    salts = F.when(full("item_slots"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(full("slots"), F.pmod(F.hash("_key", "pos"), F.lit(SALTS))).otherwise(F.lit(0))
+    matches = found.withColumn("salt", salt).join(windows.withColumn("salt", F.explode(salts)), ["h", "size", "salt"])
+    # a window may match in several ways; values are to agree among the matches of one way
+    ways = range(1, WAYS)
+    both = {(i, j): (F.getbit("item_ways", F.lit(i)) + F.getbit("ways", F.lit(j))) == 2 for i in ways for j in ways}
     line = matches.groupBy("_key", "_item", (F.col("pos") - F.col("item_pos")).alias("line")).agg(
-        F.collect_set("item_pos").alias("all_at"),
         F.collect_set(F.when(F.col("slots") == F.col("item_slots"), F.col("item_pos"))).alias("same_at"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("values"),
+        *(F.collect_set(F.when(b, F.col("item_pos"))).alias(f"at_{i}_{j}") for (i, j), b in both.items()),
+        *(F.array_distinct(F.flatten(F.collect_set(F.when(b, F.arrays_zip("item_slots", "slots"))))).alias(f"values_{i}_{j}")
+          for (i, j), b in both.items()),
         F.first("item_windows").alias("item_windows"), F.first("size").alias("size"),
     )
-    consistent = F.size("values") == F.size(F.array_distinct(F.col("values.item_slots")))
-    line = line.withColumn("at", F.when(consistent, F.col("all_at")).otherwise(F.col("same_at")))
+    consistent = lambda v: F.size(v) == F.size(F.array_distinct(F.col(f"{v}.item_slots")))
+    at = [F.when(consistent(f"values_{i}_{j}"), F.col(f"at_{i}_{j}")).otherwise(F.array().cast("array<int>")) for i, j in both]
+    line = line.withColumn("at", F.array_distinct(F.concat("same_at", *at)))
+    moved = lambda c: F.transform(c, lambda x: x + F.col("line"))
+    line = line.withColumns({"doc_at": moved("at"), "doc_same": moved("same_at")})
+    number = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
     pairs = line.groupBy("_key", "_item").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched_windows"),
-        F.bool_and(F.size("at") == F.size("same_at")).alias("same_values"),
+        F.least(number("at"), number("doc_at")).alias("matched_windows"),
+        (number("doc_at") == number("doc_same")).alias("same_values"),
         F.first("item_windows").alias("item_windows"), F.first("size").alias("size"),
     )
     needed = F.least(F.col("item_windows"), F.greatest(F.lit(1), LEAST_WORDS - F.col("size") + 1))

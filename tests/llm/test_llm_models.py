@@ -248,6 +248,18 @@ def test_short_items_count_as_a_whole_and_long_ones_in_part(spark):
     assert set(got) == {(1, 1), (3, 2)} and got[3, 2].matched_windows == 6
 
 
+def test_items_full_of_numbers_are_found_with_other_numbers(spark):
+    train = "A train goes 120 km in 3 h and 45 km in 2 h so how many km does it go in 7 h"
+    digits = "Compute 12 + 35 * 4 - 6 / 2 + 9 * 17 - 8 + 21 / 3 + 5 - 11"
+    other = re.sub("[0-9]+", lambda m: str(int(m.group()) + 100), digits)
+    docs = [(1, re.sub("[0-9]+", lambda m: str(int(m.group()) + 1), train)), (2, "Before. " + other),
+            (3, " ".join(str(i) for i in range(100, 109))), (4, "9 9 9 apples"), (5, digits)]
+    got = leaks(spark, docs, [(1, train), (2, digits)])
+    assert set(got) == {(1, 1), (2, 2), (5, 2)}
+    assert got[1, 1].matched_windows == got[1, 1].item_windows and got[1, 1].same_values is False
+    assert got[5, 2].share == 1 and got[5, 2].same_values is True and got[2, 2].same_values is False
+
+
 def test_leaking_documents_go_with_their_columns(spark, rows):
     benchmark = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
     docs = frame(spark, [(1, ITEM), (2, "clean"), (2, "clean"), (None, ITEM), (None, "fine")])
