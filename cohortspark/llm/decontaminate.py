@@ -30,7 +30,8 @@ UNITS = frozenset(
     b"dollars cents euros pounds w kw kwh hz khz mhz ghz b kb mb gb tb v a mph kmh".split()
 )
 PLAIN, NUM, UNIT, CAPITAL, BOTH = range(5)
-WAYS = 2  # to set placeholders: none, typed values
+# ways to set placeholders: none, numbers and units, names inside sentences too, all capitalised words too
+NONE, VALUES, INNER, ALL = range(4)
 SLOT_NAMES = {NUM: "num", UNIT: "unit", CAPITAL: "name", BOTH: "num_unit"}
 
 
@@ -79,11 +80,12 @@ class Templates:
         keep = ~empty[codes] if len(raw) else np.empty(0, bool)
         self.codes, self.doc = codes[keep], doc[keep]
         kind = kinds[self.codes]
-        kind[(kind == CAPITAL) & start[keep]] = PLAIN
         after_number = np.zeros(len(kind), bool)
-        after_number[1:] = kind[:-1] == NUM
+        after_number[1:] = (kind[:-1] == NUM) & (self.doc[1:] == self.doc[:-1])
         kind[(kind == UNIT) & ~after_number] = PLAIN
-        self.kinds = [np.full(len(kind), PLAIN, np.int8), kind]
+        capital = kind == CAPITAL
+        self.kinds = [np.full(len(kind), PLAIN, np.int8), np.where(capital, PLAIN, kind).astype(np.int8),
+                      np.where(capital & start[keep], PLAIN, kind).astype(np.int8), kind]
         self.plain = mix64(hashes[self.codes])
         self.first = np.searchsorted(self.doc, np.arange(len(texts)))
         self.counts = np.bincount(self.doc, minlength=len(texts))
@@ -163,10 +165,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Returns doc_id, item_id, matched_windows, item_windows, share (of the item's windows),
     same_values (no number, name or unit was changed). Both sides are cut into words without
     punctuation, in lower case; numbers, units behind numbers and capitalised words inside a
-    sentence become typed placeholders. Windows of WINDOW words are joined by hash, once with
-    placeholders, however many, and once word by word. Along one
+    sentence become typed placeholders. Windows of WINDOW words are joined by hash: with these
+    placeholders, however many; with those of numbers and units only and word by word, which do
+    not depend on case or line breaks; and with all capitalised words as names, so that names at
+    the start of a sentence or line are found too. What matches in any way counts. Along one
     alignment of document and item, every value of the item must always be replaced by the same
-    value; where it is not, only windows with unchanged values count. A pair is returned if
+    value; where it is not, only windows with unchanged values count (first words of sentences
+    are values only where they are matched as such). A pair is returned if
     the matched windows make up LEAST_WORDS words, or the whole item where it is shorter. A window of
     the document counts for one window of the item only, so that a few numbers in a row
     are not taken for a long row of them.
@@ -193,18 +198,23 @@ def _pairs(keyed: Keyed, benchmark: DataFrame) -> DataFrame:
     salts = F.when(full("item_slots"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salt = F.when(full("slots"), F.pmod(F.hash("_key", "pos"), F.lit(SALTS))).otherwise(F.lit(0))
     matches = found.withColumn("salt", salt).join(windows.withColumn("salt", F.explode(salts)), ["h", "size", "salt"])
-    # a window may match in several ways; values are to agree among the matches of one way
-    ways = range(1, WAYS)
-    both = {(i, j): (F.getbit("item_ways", F.lit(i)) + F.getbit("ways", F.lit(j))) == 2 for i in ways for j in ways}
+    # a window may match in several ways; names are to agree among the matches of one way, numbers among all
+    ways = [(VALUES, VALUES), (INNER, INNER), (INNER, ALL), (ALL, INNER), (ALL, ALL)]
+    both = {(i, j): (F.getbit("item_ways", F.lit(i)) + F.getbit("ways", F.lit(j))) == 2 for i, j in ways}
+    zipped = F.arrays_zip("item_slots", "slots")
+    numbers = F.filter(zipped, lambda x: ~x.item_slots.startswith("name="))
+    distinct = lambda x: F.array_distinct(F.flatten(F.collect_set(x)))
     line = matches.groupBy("_key", "_item", (F.col("pos") - F.col("item_pos")).alias("line")).agg(
         F.collect_set(F.when(F.col("slots") == F.col("item_slots"), F.col("item_pos"))).alias("same_at"),
         *(F.collect_set(F.when(b, F.col("item_pos"))).alias(f"at_{i}_{j}") for (i, j), b in both.items()),
-        *(F.array_distinct(F.flatten(F.collect_set(F.when(b, F.arrays_zip("item_slots", "slots"))))).alias(f"values_{i}_{j}")
-          for (i, j), b in both.items()),
+        *(distinct(F.when(b, zipped)).alias(f"values_{i}_{j}") for (i, j), b in both.items()),
+        distinct(numbers).alias("numbers"),
         F.first("item_windows").alias("item_windows"), F.first("size").alias("size"),
     )
     consistent = lambda v: F.size(v) == F.size(F.array_distinct(F.col(f"{v}.item_slots")))
-    at = [F.when(consistent(f"values_{i}_{j}"), F.col(f"at_{i}_{j}")).otherwise(F.array().cast("array<int>")) for i, j in both]
+    all_same = consistent("numbers") & consistent(f"values_{INNER}_{INNER}")
+    none = F.array().cast("array<int>")
+    at = [F.when(all_same & consistent(f"values_{i}_{j}"), F.col(f"at_{i}_{j}")).otherwise(none) for i, j in both]
     line = line.withColumn("at", F.array_distinct(F.concat("same_at", *at)))
     moved = lambda c: F.transform(c, lambda x: x + F.col("line"))
     line = line.withColumns({"doc_at": moved("at"), "doc_same": moved("same_at")})

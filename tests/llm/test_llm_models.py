@@ -260,6 +260,23 @@ def test_items_full_of_numbers_are_found_with_other_numbers(spark):
     assert got[5, 2].share == 1 and got[5, 2].same_values is True and got[2, 2].same_values is False
 
 
+def test_names_at_sentence_starts_and_other_case_are_found(spark):
+    names = "Alice has 3 apples. Bob buys 5 pears. Carol eats 2 plums. Who of them is still hungry?"
+    renamed = names.replace("Alice", "Dora").replace("Bob", "Emil").replace("Carol", "Fay").replace("5", "8")
+    short = "we went from France to old Spain by slow train"
+    wrapped = "I heard that " + ITEM.replace("before Anna", "before\nPeter").replace("A train", "a train")
+    docs = [(1, renamed), (2, short.lower()), (3, "SO " + short.upper()), (4, short.replace(" ", "\n")), (5, wrapped),
+            (6, names.lower().replace("3", "4")), (7, renamed.replace("Who of", "who of all")), (8, "5"), (9, "minutes " + short)]
+    got = leaks(spark, docs, [(1, names), (2, short), (3, ITEM)])
+    assert {(1, 1), (2, 2), (3, 2), (4, 2), (5, 3), (6, 1), (9, 2)} <= set(got) <= {(1, 1), (2, 2), (3, 2), (4, 2), (5, 3), (6, 1), (9, 2), (7, 1)}
+    assert all(got[i, 2].same_values for i in (2, 3, 4, 9)) and not got[1, 1].same_values and not got[6, 1].same_values
+
+
+def test_a_unit_after_another_text_is_a_word():
+    alone, behind = decontaminate.Templates([b"km of road"]), decontaminate.Templates([b"it is 5", b"km of road"])
+    assert [k[3:].tolist() for k in behind.kinds] == [k.tolist() for k in alone.kinds]
+
+
 def test_leaking_documents_go_with_their_columns(spark, rows):
     benchmark = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
     docs = frame(spark, [(1, ITEM), (2, "clean"), (2, "clean"), (None, ITEM), (None, "fine")])
