@@ -22,18 +22,26 @@ from cohortspark.session import materialize
 PACK_BYTES = 8 << 20  # of texts in a pack
 SHARD_TOKENS = 2_500_000  # tokens per shard of the trie
 PRIOR = 10.0  # weight of the unigram model in a context
-STEP = 1.06  # ratio of adjacent quantised counts
+STEP = 1.06  # least ratio of adjacent quantised counts
 EDGE = 0  # the id that ends every text and is the context of its first word
 
 
-def quantised(counts: np.ndarray) -> np.ndarray:
-    """Counts as one byte: 0 for none, else 1 + the rounded logarithm to base STEP."""
-    codes = 1 + np.rint(np.log(np.maximum(counts, 1)) / np.log(STEP))
-    return np.where(counts > 0, np.minimum(codes, 255), 0).astype(np.uint8)
+def step_for(largest: int) -> float:
+    """The ratio with which one byte reaches counts up to ``largest``: STEP, or more where it ends
+    below (1.06 up to 2.6 million, 1.08 up to 300 million, 1.11 up to 3e11)."""
+    return max(STEP, float(max(largest, 1)) ** (1 / 254))
 
 
-def restored(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, STEP ** (codes.astype(np.float64) - 1), 0.0)
+def quantised(counts: np.ndarray, step: float = STEP) -> np.ndarray:
+    """Counts as one byte: 0 for none, else 1 + the rounded logarithm to base ``step``."""
+    codes = np.where(counts > 0, 1 + np.rint(np.log(np.maximum(counts, 1)) / np.log(step)), 0)
+    if len(codes) and codes.max() > 255:
+        raise ValueError(f"step {step} is too small for a count of {counts.max()}")
+    return codes.astype(np.uint8)
+
+
+def restored(codes: np.ndarray, step: float = STEP) -> np.ndarray:
+    return np.where(codes > 0, step ** (codes.astype(np.float64) - 1), 0.0)
 
 
 def packs(docs: DataFrame, modulus: int, held_out: int, pack_bytes: int) -> DataFrame:
@@ -154,7 +162,8 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def unigram_level(packed: DataFrame, shards: int) -> DataFrame:
     """Level 1: for each pack and shard the rank (Elias-Fano) and training count of the pack's words
     among all words of the shard. One row per shard has pack -1 with its words known from
-    training (size), their tokens (total) and its number of words (ranks)."""
+    training (size), their tokens (total), its number of words (ranks) and their largest count
+    (numbers)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +184,7 @@ def unigram_level(packed: DataFrame, shards: int) -> DataFrame:
             ranks = at[begin : begin + len(part)]
             begin += len(part)
             rows.append((shard, pack, elias_fano.encode(ranks), _small(total[ranks]), None, None))
-        rows.append((shard, -1, elias_fano.encode(np.array([len(distinct)])), b"", int((total > 0).sum()), int(total.sum())))
+        rows.append((shard, -1, elias_fano.encode(np.array([len(distinct)])), _small(total.max(initial=0, keepdims=True)), int((total > 0).sum()), int(total.sum())))
         return pa.Table.from_batches([_rows(rows, ANSWER)])
 
     return packed.mapInArrow(send, PART).groupBy("shard").applyInArrow(count, ANSWER)
@@ -209,7 +218,7 @@ def _sorted_pairs(pack: Pack, ids: np.ndarray, shards: int) -> tuple[np.ndarray,
     return shard[order], context[order], word[order], learned[order], place[at]
 
 
-def bigram_level(packed: DataFrame, shards: int, vocabulary: int) -> DataFrame:
+def bigram_level(packed: DataFrame, shards: int, vocabulary: int, step: float) -> DataFrame:
     """Level 2: for each pack and shard one byte for each of the pack's pairs: the quantised
     training count in the whole corpus, found in the shard's trie. The trie itself is the row
     with pack -1 (ranks: the level, numbers: its codes)."""
@@ -234,7 +243,7 @@ def bigram_level(packed: DataFrame, shards: int, vocabulary: int) -> DataFrame:
         new = np.ones(len(c), bool)
         new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
         total = np.add.reduceat(n[order], np.flatnonzero(new)) if len(c) else np.empty(0, np.int64)
-        level, codes = TrieLevel.build(c[new], w[new], vocabulary), quantised(total).tobytes()
+        level, codes = TrieLevel.build(c[new], w[new], vocabulary), quantised(total, step).tobytes()
         trie = MappedLevel(level, codes, vocabulary)
         shard, rows = group["shard"][0].as_py(), []
         for pack, (own_context, own_word) in zip(group["pack"].to_pylist(), parts, strict=True):
@@ -255,7 +264,7 @@ def score_documents(
     all texts whose crc32 remainder is not ``held_out``; base_score is the add-one unigram
     log10 probability and score that of the bigram model: in a context that was seen c times, a
     word that followed it k times has (k + PRIOR * base) / (c + PRIOR), with k quantised to
-    one byte. Null counts as the empty text (one end); a null doc_id is neither held out nor
+    one byte whose steps (``step_for``) reach the most frequent word of the corpus. Null counts as the empty text (one end); a null doc_id is neither held out nor
     learned from; repeated rows are learned from each; an empty table gives no rows.
 
     Texts are packed. A pack sends its distinct words and pairs, coded as small tries, to
@@ -271,11 +280,12 @@ def score_documents(
     shards = max(8, -(-tokens // shard_tokens))
     words = materialize(unigram_level(packed, shards), "words")
     last = lambda x: elias_fano.decode(x)[0]
-    largest, known, total = _shard_sums(words, last)
+    largest, known, total, most = _shard_sums(words, last)
+    step = step_for(max(most, ends))  # a pair is no more frequent than its words
     vocabulary = int(largest + 1) * shards + 1
     train_tokens, distinct = total + ends, known + (ends > 0)
     both = packed.join(_answers(words, "words_known").hint("merge"), "pack", "left")
-    pairs = materialize(bigram_level(both, shards, vocabulary), "pairs")
+    pairs = materialize(bigram_level(both, shards, vocabulary, step), "pairs")
     all_three = both.join(_answers(pairs.drop("ranks"), "pairs_known").hint("merge"), "pack", "left")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +296,7 @@ def score_documents(
                 n[EDGE] = ends
                 answers = sorted(row["pairs_known"] or [], key=lambda x: x["shard"])
                 _, context, word, _, place = _sorted_pairs(pack, ids, shards)
-                followed = restored(np.frombuffer(b"".join(a["numbers"] for a in answers), np.uint8))
+                followed = restored(np.frombuffer(b"".join(a["numbers"] for a in answers), np.uint8), step)
                 by_id = np.argsort(ids)
                 seen = n[by_id[np.searchsorted(ids[by_id], context)]]
                 count = n[by_id[np.searchsorted(ids[by_id], word)]]
@@ -305,13 +315,16 @@ def score_documents(
     return all_three.mapInArrow(score, schema)
 
 
-def _shard_sums(words: DataFrame, decode) -> tuple[int, int, int]:
-    """Words of the largest shard, words and tokens known from training."""
+def _shard_sums(words: DataFrame, decode) -> tuple[int, int, int, int]:
+    """Words of the largest shard, words and tokens known from training, the largest count."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [int(decode(x)[0]) for x in batch.column("ranks").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), batch.column("size"), batch.column("total")], ["n", "size", "total"])
+            most = [int(_large(x)[0]) for x in batch.column("numbers").to_pylist()]
+            columns = [pa.array(n, pa.int64()), batch.column("size"), batch.column("total"), pa.array(most, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["n", "size", "total", "most"])
 
-    own = words.filter("pack = -1").select("ranks", "size", "total").mapInArrow(sizes, "n long, size long, total long")
-    return tuple(x or 0 for x in own.agg(F.max("n"), F.sum("size"), F.sum("total")).first())
+    own = words.filter("pack = -1").select("ranks", "size", "total", "numbers")
+    own = own.mapInArrow(sizes, "n long, size long, total long, most long")
+    return tuple(x or 0 for x in own.agg(F.max("n"), F.sum("size"), F.sum("total"), F.max("most")).first())

@@ -164,6 +164,22 @@ def test_language_model_equals_brute_force(spark, pack_bytes, shard_tokens):
     assert ngram_lm.score_documents(frame(spark, [])).count() == 0
 
 
+def test_counts_above_the_reach_of_the_least_step_are_not_clamped(spark, monkeypatch):
+    counts = np.array([1, 50, 3_000_000, 25_000_000, 10**12])
+    step = ngram_lm.step_for(10**12)
+    assert abs(np.log(ngram_lm.restored(ngram_lm.quantised(counts, step), step) / counts)).max() < 0.06
+    assert ngram_lm.step_for(2_600_000) == ngram_lm.STEP
+    monkeypatch.setattr(ngram_lm, "STEP", 1.01)  # one byte reaches 12
+    rows = [(i, "the " * 300) for i in range(4)]
+    for r in ngram_lm.score_documents(frame(spark, rows)).collect():
+        learned = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(4))
+        one, ends = 300 * learned, learned
+        base = lambda n: (n + 1) / (one + ends + 3)
+        parts = [(ends, ends, one), *[(299 * learned, one, one)] * 299, (ends, one, ends)]
+        want = sum(math.log10((k + ngram_lm.PRIOR * base(n)) / (c + ngram_lm.PRIOR)) for k, c, n in parts)
+        assert r.score == pytest.approx(want, abs=0.01 * r.n_tokens)
+
+
 # --- personal data -------------------------------------------------------------------
 
 BASE = (
