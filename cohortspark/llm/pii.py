@@ -28,6 +28,7 @@ TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 HINT = re.compile(r"[0-9@]|\[at\]|\(at\)")
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 AROUND = 400  # characters in which the two words before a mention are looked for
+TABLES = 8  # of learned values, one a round, before they become one table
 LEAST_CHARS = 6  # of a token that may be an identifier
 
 
@@ -169,18 +170,18 @@ def context_totals(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     return counted.groupBy("context").agg(F.sum("n").alias("total")).join(contexts, "context", "left_semi")
 
 
-def learned(graph: DataFrame, totals: DataFrame, least_seeds: int, confidence: float, rounds: int) -> DataFrame:
+def learned(graph: DataFrame, totals: DataFrame, least_seeds: int, confidence: float) -> DataFrame:
     """Values that patterns vouch for: value, kind.
 
     ``graph``: kind (-1: not known), context, value, n (mentions). In each round a
     context is trusted for a kind if at least ``least_seeds`` different values of that kind
     stand in it and they are at least ``confidence`` of all that follows it; unknown values in a
     trusted context take its kind (the most confident one) and are seeds of the next round.
-    Ends when a round finds nothing new, at the latest after ``rounds``.
+    Ends when a round finds nothing new, as it must: each adds at least one of finitely many values.
     """
     known = graph.filter("kind >= 0").select("value", "kind").distinct()
     added: list[DataFrame] = []
-    for _ in range(rounds):
+    while True:
         seeds = reduce(DataFrame.unionByName, [known, *added]).select("value", F.col("kind").alias("seed")).distinct()
         hits = graph.join(seeds, "value").groupBy("context", "seed").agg(
             F.sum("n").alias("hits"), F.count_distinct("value").alias("values")
@@ -193,23 +194,25 @@ def learned(graph: DataFrame, totals: DataFrame, least_seeds: int, confidence: f
             F.max(F.struct("trust", -F.col("seed"))).alias("best")
         )
         new = candidates.select("value", (-F.element_at(F.array("best.*"), 2)).cast("int").alias("kind"))
-        for before in added:
-            new = new.join(before, "value", "left_anti")
+        if added:
+            new = new.join(reduce(DataFrame.unionByName, added), "value", "left_anti")
         new = materialize(new, "learned")
         if new.limit(1).count() == 0:
             break
         added.append(new)
+        if len(added) == TABLES:
+            added = [materialize(reduce(DataFrame.unionByName, added), "learned")]
     if not added:
         return known.limit(0)
     return reduce(DataFrame.unionByName, added)
 
 
-def find_pii(docs: DataFrame, least_seeds: int = 4, confidence: float = 0.5, rounds: int = 4) -> DataFrame:
+def find_pii(docs: DataFrame, least_seeds: int = 4, confidence: float = 0.5) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Counts and base_sha256 are of the fixed patterns. ``spans`` also holds what was learned:
     tokens with a digit or an at sign whose two preceding words are a trusted context, or whose
-    value stood in one elsewhere. Spans are kind:start:end in code points, by kind in the
+    value stood in one elsewhere, over as many steps as there are. Spans are kind:start:end in code points, by kind in the
     order of KINDS, then start. Null counts as the empty text; repeated rows get equal rows; an
     empty table gives none. Only doc_id and text are read.
     """
@@ -222,7 +225,7 @@ def find_pii(docs: DataFrame, least_seeds: int = 4, confidence: float = 0.5, rou
     contexts = in_context.groupBy("context").agg(F.count_distinct("value").alias("n"))
     contexts = materialize(contexts.filter(F.col("n") >= least_seeds).select("context"), "contexts")
     totals = materialize(context_totals(keyed.frame, contexts), "totals")
-    values = learned(in_context, totals, least_seeds, confidence, rounds)
+    values = learned(in_context, totals, least_seeds, confidence)
     values = values.withColumnRenamed("kind", "found_kind")
     more = graph.filter("kind < 0").join(values, "value").groupBy("_key").agg(
         F.collect_list(F.struct(F.col("found_kind").cast("int").alias("kind"), "s", "e")).alias("more")

@@ -233,6 +233,15 @@ def test_contexts_of_known_identifiers_find_others(spark, rows):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_chains_of_contexts_are_followed_to_their_end(spark):
+    steps = 11
+    value = lambda i, j: f"+1 555 010 {1000 + j}" if i == 0 else f"id-{i:02d}{j}-xyz"
+    rows = [(100 * i + 10 * own + j, f"then {chr(97 + i) * 3} {chr(97 + i) * 4}: {value(i + own, j)} end")
+            for i in range(steps) for own in (0, 1) for j in range(4)]
+    got = {r.doc_id: r.spans for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert [i for i, s in sorted(got.items()) if not s.startswith("phone:")] == []
+
+
 # --- leaks ---------------------------------------------------------------------------
 
 ITEM = "A train leaves the station at 9 am with 120 passengers and travels 60 km before Anna leaves it near the old mill."
