@@ -277,17 +277,19 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 
 
 def _matches(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) of a group in different components that are linked by their sets of 32-bit
-    hashes, which never share less than the full sets do."""
+    """Pairs (a, b) of a group in different components that may be linked, by their sets of 32-bit
+    hashes. Shingles of one set may have equal hashes; two sets share at most as many more
+    shingles as the one with fewer of these has, so no link is left out."""
     key, label, own = (group[c].to_numpy() for c in ("_key", "label", "own"))
     p, q = group["p"][0].as_py(), group["q"][0].as_py()
     sets = [np.frombuffer(x, np.uint32) for x in group["hashes"].to_pylist()]
     n = group["n_shingles"].to_numpy()
+    equal = n - np.array([len(np.unique(x)) for x in sets])
     left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
     shared = shared_counts(sets, left, right)
     ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for k, part in enumerate(_in_slices(left)):
-        both = shared[k * ROWS_AT_ONCE : (k + 1) * ROWS_AT_ONCE]
+        both = shared[k * ROWS_AT_ONCE : (k + 1) * ROWS_AT_ONCE] + np.minimum(equal[part][:, None], equal[right][None, :])
         union = n[part][:, None] + n[right][None, :] - both
         i, j = np.nonzero((100 * both >= percent * union) & (label[part][:, None] != label[right][None, :]))
         ends[0].append(key[part[i]])

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortspark.llm import exact, lines, repeats, setsketch
@@ -174,6 +175,14 @@ def test_near_dedup_equals_all_pairs(spark, monkeypatch, size, block):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
 
 
+def test_equal_short_hashes_drop_no_link():
+    # ten and eight shingles, eight shared: 80%; two of the shared ones have one 32-bit hash
+    sets = [np.array([1, 1, 2, 3, 4, 5, 6, 7, 8, 9], np.uint32), np.array([1, 1, 2, 3, 4, 5, 6, 7], np.uint32)]
+    group = pa.table({"_key": [5, 3], "label": [5, 3], "own": [0, 0], "p": [0, 0], "q": [0, 0],
+                      "n_shingles": [10, 8], "hashes": [x.tobytes() for x in sets]})
+    assert (3, 5) in set(zip(*(x.tolist() for x in setsketch._matches(group, 80)), strict=True))
+
+
 def test_near_dedup_of_repeated_rows_and_missing_ids(spark, rows):
     docs = frame(spark, [(5, "a b c"), (5, "a b c"), (None, "a b c"), (3, "x y"), (None, None), (None, None)])
     got = rows(setsketch.near_dedup(docs, 2), "doc_id", "n_shingles", "component_id", "kept")
