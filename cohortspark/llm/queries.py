@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortspark.llm import decontaminate, exact, lines, mixing, ngram_lm, pii, quality, repeats, setsketch, toxicity
+from cohortspark.llm import (
+    alignment, decontaminate, exact, lines, mixing, ngram_lm, periods, pieces, pii, quality, repeats, setsketch, toxicity,
+)
 from cohortspark.llm.common import table
 
 
@@ -51,9 +56,48 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.Alignment(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256))
+    return found.documents(found.measures().withColumn("groups_sha256", digest).drop("groups"))
+
+
+def with_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Of a tenth of the documents, by a hash of the id, the words from one place on repeat with a period."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op12_period_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(table(spark, sf_dir, "documents"), with_period)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    shown = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("top.length * 1000 div top.period").alias("exponent_milli"),
+        F.sha2(shown, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "agrees",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_byte_network, op2_block_naming, op3_set_sketch, op4_suffix_shards, op5_contextual_pii, op6_water_filling, op7_random_field, op8_sorted_runs,
-        op9_ngram_trie, op10_template_leaks,
+        op9_ngram_trie, op10_template_leaks, op11_token_alignment, op12_period_tiles, op13_piece_agenda,
     )
 }
