@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,14 +47,16 @@ def likely_boundaries(codes: np.ndarray, step: int) -> np.ndarray:
     here = np.concatenate([behind[:PROBE] - 1, codes, behind - 1])  # another filler: beyond the text nothing is equal
     found = np.zeros(many, bool)
     at = PROBE + step * np.arange(many)
-    strides = (ahead.strides[0] * step, ahead.strides[0])
     for side in (range(probe), range(-1, -probe - 1, -1)):
         match = True
         for k in side[:2]:
-            shifted = np.lib.stride_tricks.as_strided(ahead[PROBE + low + k :], (many, wide), strides, writeable=False)
-            match = match & (shifted == here[at + k][:, None])
-        r, q = np.nonzero(match)
+            # row r, column c: the word that is a period of low + c words after word r * step + k
+            shifted = np.ndarray((many, wide), ahead.dtype, ahead, ahead.itemsize * (PROBE + low + k), (ahead.itemsize * step, ahead.itemsize))
+            match = match & (shifted == here[at[0] + k :: step][:many, None])
+        r, q = np.divmod(np.flatnonzero(match), wide)
         for k in side[2:]:
+            if not len(r):
+                break
             same = here[at[r] + k] == ahead[at[r] + low + q + k]
             r, q = r[same], q[same]
         found[r] = True
@@ -81,10 +84,10 @@ def z_function(s: list[int]) -> list[int]:
     return z
 
 
-_PRIMES: dict[int, np.ndarray] = {}
+_PRIMES: dict[int, list[int]] = {}
 
 
-def smallest_primes(below: int) -> np.ndarray:
+def smallest_primes(below: int) -> list[int]:
     """The smallest prime factor of each number."""
     if below not in _PRIMES:
         least = np.arange(below)
@@ -92,43 +95,43 @@ def smallest_primes(below: int) -> np.ndarray:
             if least[p] == p:
                 multiples = least[p * p :: p]
                 multiples[multiples == np.arange(p * p, below, p)] = p
-        _PRIMES[below] = least
+        _PRIMES[below] = least.tolist()
     return _PRIMES[below]
 
 
-def fragments_at(words: list[int], t: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fragments_at(words: list[int], t: int, step: int) -> Iterator[tuple[int, int, int]]:
     """Periods of the octave, and from where to where (within ``step`` of ``t``) words equal those a period later.
 
     Forward and backward Z-functions at the boundary ``t`` give both ends for all periods. Left
     out are stretches shorter than ``step`` and periods that are multiples of one there.
     """
     low, top = (1 if step == FIRST else step), 2 * step
-    right, left = np.zeros(top, np.int64), np.zeros(top, np.int64)
-    forward = z_function(words[t : t + 3 * step])
-    right[1 : len(forward)] = forward[1:top]
+    right = z_function(words[t : t + 3 * step])
     pattern = words[max(0, t - step) : t][::-1]
     stop = min(len(words), t + top - 1)
-    backward = z_function([*pattern, -3, *words[max(0, t - step) : stop][::-1]])
-    shifts = np.arange(1, min(top, stop - t + 1))
-    left[shifts] = np.array(backward, np.int64)[len(pattern) + 1 + stop - t - shifts]
-    reach = np.minimum(right, step)
-    q = np.arange(low, top)
-    q = q[reach[q] + left[q] >= step]
-    multiple, rest = np.zeros(len(q), bool), q.copy()
+    left = z_function([*pattern, -3, *words[max(0, t - step) : stop][::-1]])
+    base = len(pattern) + 1 + stop - t  # left[base - d]: how far words before t equal those d later
     primes = smallest_primes(top)
-    while (rest > 1).any():
-        d = np.where(rest > 1, q // np.maximum(primes[rest], 1), 0)
-        multiple |= (d > 0) & (left[d] >= left[q]) & (right[d] >= reach[q] + q - d)
-        rest = np.where(rest > 1, rest // np.maximum(primes[rest], 1), rest)
-    q = q[~multiple]
-    return q, t - left[q], t + reach[q]
+    for q in range(low, min(top, stop - t + 1)):
+        ahead = min(right[q], step) if q < len(right) else 0
+        behind = left[base - q]
+        if ahead + behind < step:
+            continue
+        rest = q
+        while rest > 1:
+            d = q // primes[rest]
+            if left[base - d] >= behind and right[d] >= ahead + q - d:
+                break
+            rest //= primes[rest]
+        else:
+            yield q, t - behind, t + ahead
 
 
 def tile_fragments(words: list[int], begin: int, step: int, boundaries: list[int]) -> list[tuple[int, int, int]]:
     """(period, from, to) of a tile whose first word is word ``begin`` of the text, stitched within the tile."""
     found: dict[int, list[list[int]]] = {}
     for r in boundaries:
-        for q, lo, hi in zip(*(x.tolist() for x in fragments_at(words, r * step - begin, step)), strict=True):
+        for q, lo, hi in fragments_at(words, r * step - begin, step):
             of_period = found.setdefault(q, [])
             if of_period and begin + lo <= of_period[-1][1]:
                 of_period[-1][1] = max(of_period[-1][1], begin + hi)
@@ -159,9 +162,10 @@ def _codes(words: list[bytes]) -> np.ndarray:
     return pd.factorize(column)[0].astype(np.int32)
 
 
-EXPLODED = "_key long, doc_id long, text string, step int, begin long, boundaries int, words binary"
-RUNS = "array<struct<start: long, length: long, period: long>>"
-FOUND = f"doc_id long, n_words long, runs {RUNS}, top struct<start: long, length: long, period: long>, collapsed string"
+EXPLODED = "_key long, doc_id long, n_words long, sha string, text string, step int, begin long, boundaries int, words binary"
+ONE_RUN = "struct<start: long, length: long, period: long>"
+RUNS = f"array<{ONE_RUN}>"
+FOUND = f"doc_id long, n_words long, runs {RUNS}, top {ONE_RUN}, collapsed_sha256 string, collapsed string"
 
 
 def stitched(fragments: DataFrame) -> DataFrame:
@@ -199,14 +203,14 @@ def _best(runs: list[dict]) -> dict | None:
     return best
 
 
-def periodic_runs(docs: DataFrame, rewrite: Rewrite | None = None) -> DataFrame:
-    """One row per document: doc_id, n_words, runs, top, collapsed.
+def periodic_runs(docs: DataFrame, rewrite: Rewrite | None = None, texts: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_words, runs, top, collapsed_sha256 and, with ``texts``, collapsed.
 
     Words are separated by ASCII white space. A run is a stretch of words with smallest period q (words q
     apart are equal) of at least max(24, 3 * q) words that no neighbour extends. ``runs`` has start, length
     and period of all, by start and then period; ``top`` is the one with the greatest exact length / period
-    (ties: first), null without runs; ``collapsed`` the words that no run holds after its
-    first q words, joined by one space. ``rewrite`` (doc_id, words) may change the words first.
+    (ties: first), null without runs; ``collapsed`` has the words that no run holds after its
+    first q words, joined by one space, ``collapsed_sha256`` their UTF-8 bytes' SHA-256. ``rewrite`` (doc_id, words) may change the words first.
 
     Documents are exploded into overlapping tiles of GROUP steps per octave of periods, as far as runs may
     cross them. Tiles are spread over the cluster and solved by themselves; what they find of an
@@ -219,23 +223,20 @@ def periodic_runs(docs: DataFrame, rewrite: Rewrite | None = None) -> DataFrame:
     rows = keyed.frame.select("_key", "doc_id", "text")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_key", "doc_id", "text", "step", "begin", "boundaries", "words"]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["_key", "doc_id", "n_words", "sha", "text", "step", "begin", "boundaries", "words"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
+            out, held = [], 0
             for key, doc_id, words in zip(batch.column("_key").to_pylist(), batch.column("doc_id").to_pylist(), _words(batch, rewrite), strict=True):
-                out = [(key, None, None, *tile[:3], tile[3].tobytes()) for tile in _tiles(_codes(words))]
-                if out:
-                    out.append((key, doc_id, b" ".join(words).decode("utf-8", "replace"), None, None, None, None))
-                    columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc_id, words in zip(batch.column("doc_id").to_pylist(), _words(batch, rewrite), strict=True):
-                if next(_tiles(_codes(words)), None) is None:
-                    out.append((doc_id, len(words), [], None, b" ".join(words).decode("utf-8", "replace")))
-            yield _as_batch(out)
+                tiles = [(key, None, None, None, None, *tile[:3], tile[3].tobytes()) for tile in _tiles(_codes(words))]
+                text = b" ".join(words)
+                sha = None if tiles else hashlib.sha256(text).hexdigest()
+                out += [(key, doc_id, len(words), sha, text if tiles or texts else None, None, None, None, None), *tiles]
+                held += len(text) + sum(len(t[-1]) for t in tiles)
+                if held > 1 << 21:
+                    yield _as_batch(out, names, types)
+                    out, held = [], 0
+            yield _as_batch(out, names, types)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,27 +249,34 @@ def periodic_runs(docs: DataFrame, rewrite: Rewrite | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_key", "period", "lo", "hi"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_words", "runs", "top", "collapsed_sha256", "collapsed"]
+        types = [pa.int64(), pa.int64(), pa.list_(RUN), RUN, pa.string(), pa.binary()]
         for batch in batches:
             out = []
             for doc_id, text, runs in zip(batch.column("doc_id").to_pylist(), raw_texts(batch), batch.column("runs").to_pylist(), strict=True):
                 words, runs = text.split(), sorted(runs or [], key=lambda r: (r["start"], r["period"]))
-                out.append((doc_id, len(words), runs, _best(runs), collapse(words, runs).decode("utf-8", "replace")))
-            yield _as_batch(out)
+                kept = collapse(words, runs)
+                out.append((doc_id, len(words), runs, _best(runs), hashlib.sha256(kept).hexdigest(), kept if texts else None))
+            yield _as_batch(out, names, types)
 
     exploded = materialize(rows.mapInArrow(explode, EXPLODED), "tiles")
     tiles = exploded.filter("step is not null").select("_key", "step", "begin", "boundaries", "words")
     fragments = tiles.repartition("_key", "step", "begin").mapInArrow(solve, "_key long, period long, lo long, hi long")
     runs = stitched(fragments).groupBy("_key").agg(F.collect_list(F.struct("start", "length", "period")).alias("runs"))
-    some = exploded.filter("step is null").select("_key", "doc_id", "text")
-    some = some.join(materialize(runs, "runs").hint("merge"), "_key", "left")
-    return rows.mapInArrow(without, FOUND).union(some.select("doc_id", "text", "runs").mapInArrow(cut, FOUND))
+    some = exploded.filter("step is null and sha is null").select("_key", "doc_id", "text")
+    some = some.join(materialize(runs, "runs").hint("merge"), "_key", "left").select("doc_id", "text", "runs")
+    rest = exploded.filter("sha is not null").select(
+        "doc_id", "n_words", F.array().cast(RUNS).alias("runs"), F.lit(None).cast(ONE_RUN).alias("top"),
+        F.col("sha").alias("collapsed_sha256"), F.col("text").alias("collapsed"),
+    )
+    found = rest.union(some.mapInArrow(cut, FOUND))
+    return found if texts else found.drop("collapsed")
 
 
 RUN = pa.struct([(name, pa.int64()) for name in ("start", "length", "period")])
 
 
-def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["doc_id", "n_words", "runs", "top", "collapsed"]
-    types = [pa.int64(), pa.int64(), pa.list_(RUN), RUN, pa.string()]
+def _as_batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+    arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+    return pa.RecordBatch.from_arrays([x.cast(pa.string(), safe=False) if n in ("text", "collapsed") else x for n, x in zip(names, arrays, strict=True)], names)

@@ -82,7 +82,7 @@ def op12_period_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
         F.expr("top.length * 1000 div top.period").alias("exponent_milli"),
-        F.sha2(shown, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        F.sha2(shown, 256).alias("runs_sha256"), "collapsed_sha256",
     )
 
 
