@@ -96,6 +96,12 @@ ORACLE["table_view"] = sql(
     care_setting nulls first limit 25 offset 50"""
 )
 
+ORACLE["table_view_deep"] = """select l_orderkey, l_linenumber, l_shipdate, l_extendedprice from lineitem
+  order by l_shipdate desc nulls last, l_extendedprice nulls first, l_orderkey nulls first, l_linenumber nulls first
+  limit 25 offset 4975"""
+ORACLE["table_view_after"] = """select o_orderkey, o_orderdate, o_totalprice from orders
+  where o_orderdate >= '1996-01-01' order by o_orderdate, o_totalprice desc, o_orderkey limit 40"""
+
 # --- joins ---------------------------------------------------------------------------
 
 NAMES = """(select concept_id, name from concept_name
@@ -346,6 +352,21 @@ ORACLE["interval_domain"] = sql(
 ORACLE["scatter_points"] = """select l_quantity, l_discount, l_returnflag, count(*) as n
   from lineitem where l_quantity is not null and l_discount is not null group by all"""
 
+# the finest of the grids of 1, 2, 4 ... 512 cells a side with at most 500 filled cells
+ORACLE["scatter_thinned"] = """
+  with points as (select l_extendedprice::double as x, l_quantity::double as y, l_returnflag as c from lineitem
+    where l_extendedprice is not null and l_quantity is not null),
+  edges as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from points),
+  cells as (select least(floor((x - x0) / (x1 - x0) * 512), 511)::bigint as i,
+    least(floor((y - y0) / (y1 - y0) * 512), 511)::bigint as j, c, count(*) as n from points, edges group by all),
+  levels as (select unnest(range(0, 10)) as level),
+  grids as (select level, i // (2 ** (9 - level))::bigint as i, j // (2 ** (9 - level))::bigint as j, c, sum(n)::bigint as n
+    from cells, levels group by all),
+  chosen as (select max(level) as level from (select level from grids group by level having count(*) <= 500))
+  select x0 + (i + 0.5) * (x1 - x0) / (2 ** level)::double as l_extendedprice,
+    y0 + (j + 0.5) * (y1 - y0) / (2 ** level)::double as l_quantity, c as l_returnflag, n
+  from grids join chosen using (level), edges"""
+
 # --- window, ranking, de-duplication -------------------------------------------------
 
 ORACLE["latest_with_ties"] = """select o_custkey, o_orderkey, o_orderdate from (

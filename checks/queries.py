@@ -162,6 +162,20 @@ def table_view(t):
     )
 
 
+@query
+def table_view_deep(t):
+    lines = t.base("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    return filters.table_view(lines, order_by=[("l_shipdate", False), ("l_extendedprice", True)], page=200, size=25)
+
+
+@query
+def table_view_after(t):
+    """The page after the last row of 1995."""
+    orders = t.base("orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    ends = orders.where("o_orderdate < '1996-01-01'").orderBy(F.desc("o_orderdate"), "o_totalprice", F.desc("o_orderkey")).first()
+    return filters.table_view(orders, order_by=[("o_orderdate", True), ("o_totalprice", False)], size=40, after=ends.asDict())
+
+
 # --- joins ---------------------------------------------------------------------------
 
 
@@ -380,6 +394,11 @@ def scatter_points(t):
     return distribution.scatter(t.base("lineitem"), "l_quantity", "l_discount", "l_returnflag")
 
 
+@query
+def scatter_thinned(t):
+    return distribution.scatter(t.base("lineitem"), "l_extendedprice", "l_quantity", "l_returnflag", max_points=500)
+
+
 # --- window, ranking, de-duplication -------------------------------------------------
 
 

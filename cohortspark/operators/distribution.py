@@ -293,7 +293,51 @@ def _outlying(y: str) -> Column:
     return (quoted(y) < F.col("q1") - reach) | (quoted(y) > F.col("q3") + reach)
 
 
-def scatter(df: DataFrame, x: str, y: str, color: str = "Gender") -> DataFrame:
-    """``x, y, color, n``: the points to draw, those drawn on top of each other merged."""
+def scatter(df: DataFrame, x: str, y: str, color: str = "Gender", max_points: int | None = None) -> DataFrame:
+    """``x, y, color, n``: the points to draw, those drawn on top of each other merged.
+
+    With ``max_points``, points in the same cell of a grid are merged as well where there are more: the finest of
+    the grids of 1, 2, 4 ... cells a side with at most so many points, each drawn in the middle of its cell. Colours
+    are never merged, so a single cell with more of them exceeds the limit.
+    """
     points = df.where(_finite(x) & _finite(y))
-    return points.groupBy(quoted(x), quoted(y), quoted(color)).agg(F.count(F.lit(1)).alias("n"))
+    merged = points.groupBy(quoted(x), quoted(y), quoted(color)).agg(F.count(F.lit(1)).alias("n"))
+    if max_points is None:
+        return merged
+    if max_points < 1:
+        raise ValueError("max_points starts at 1")
+    merged = materialize(merged, "points")
+    if merged.limit(max_points + 1).count() <= max_points:
+        return merged
+    return _thinned(merged, x, y, color, max_points)
+
+
+def _thinned(points: DataFrame, x: str, y: str, color: str, max_points: int) -> DataFrame:
+    """Counts per cell. The points are read once, for the finest grid; the counts of each coarser grid are
+    sums of those of the finer one."""
+    finest = max_points.bit_length()
+    edges = points.agg(*[f(quoted(c).cast("double")).alias(f"{f.__name__}_{i}") for i, c in enumerate((x, y)) for f in (F.min, F.max)])
+    edges = [float(v) for v in edges.first()]  # one row
+    cells = points.groupBy(
+        *[_cell(quoted(c).cast("double"), *edges[2 * i : 2 * i + 2], 2**finest).alias(f"cell_{i}") for i, c in enumerate((x, y))],
+        quoted(color).alias("cell_color"),
+    )
+    cells = materialize(cells.agg(F.sum("n").alias("n")), "cells")
+    level = F.explode(F.sequence(F.lit(0), F.lit(finest))).alias("level")
+    coarser = lambda i, by: F.expr(f"shiftright(cell_{i}, {finest} - {by})")
+    seen = cells.select(level, "cell_0", "cell_1", "cell_color")
+    seen = seen.groupBy("level", coarser(0, "level"), coarser(1, "level"), "cell_color").agg(F.count(F.lit(1)).alias("n"))
+    fits = seen.groupBy("level").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_points).agg(F.max("level"))
+    chosen = fits.first()[0] or 0
+    side = 2**chosen
+    middle = lambda i: F.lit(edges[2 * i]) + (F.col(f"cell_{i}") + 0.5) * F.lit(edges[2 * i + 1] - edges[2 * i]) / F.lit(float(side))
+    grid = cells.select(coarser(0, chosen).alias("cell_0"), coarser(1, chosen).alias("cell_1"), "cell_color", "n")
+    grid = grid.groupBy("cell_0", "cell_1", "cell_color").agg(F.sum("n").alias("n"))
+    return grid.select(middle(0).alias(x), middle(1).alias(y), F.col("cell_color").alias(color), "n")
+
+
+def _cell(value: Column, least: float, greatest: float, side: int) -> Column:
+    if greatest == least:
+        return F.lit(0).cast("long")
+    at = F.floor((value - F.lit(least)) / F.lit(greatest - least) * F.lit(float(side)))
+    return F.least(at, F.lit(side - 1).cast("long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -123,23 +123,33 @@ def table_view(
     order_by: Sequence[tuple[str, bool]] = (),
     page: int = 1,
     size: int = 10,
+    after: Mapping[str, object] | None = None,
+    shown: int = 1,
 ) -> DataFrame:
-    """One page of a filtered and sorted table.
+    """One page of a filtered and sorted table, by its number or after the last row seen.
 
     A filter is a ``(low, high)`` pair for numbers and dates (None leaves a side open; a date as
     upper end of a timestamp includes its day), a
     list for a set of accepted values, or text to be found anywhere, ignoring case.
     ``order_by`` holds ``(column, ascending)`` pairs; every other column follows as a
     tie-break, so the pages of a table neither overlap nor miss rows.
+
+    The first page, and the page after the row ``after`` (a value per column; ``shown`` rows equal to it were
+    shown already), keep the least ``size`` rows. Any other page sorts and writes the table, and reads
+    its own rows; ``SortedPages`` does that once for many pages.
     """
+    # the pages module builds on this one
+    from cohortspark.operators.pages import SortedPages, page_after, sort_keys, total_order
+
     if page < 1 or size < 1:
         raise ValueError("page and size start at 1")
     for name, wanted in (filters or {}).items():
         df = df.where(_accepts(df, name, wanted))
-    named = [name for name, _ in order_by]
-    keys = [quoted(name).asc() if up else quoted(name).desc() for name, up in order_by]
-    keys += [quoted(name).asc() for name in df.columns if name not in named]
-    return df.orderBy(*keys).offset((page - 1) * size).limit(size)
+    if after is not None:
+        return page_after(df, after, size, order_by, shown)
+    if page == 1:
+        return df.orderBy(*sort_keys(total_order(df, order_by))).limit(size)
+    return SortedPages(df, order_by).page(page, size)
 
 
 def _accepts(df: DataFrame, name: str, wanted: object) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.filters import full_concept_names
 
-SPREAD = 64
+PAIRS_AT_ONCE = 10_000  # of rows without a key, aimed at in one part of a join
+PARTS_PER_TASK = 4  # at most, for each shuffle partition
 
 
 def with_concept_name(obs: DataFrame, concepts: DataFrame, on: str = "value_coded") -> DataFrame:
@@ -26,6 +27,16 @@ def keep_matching(df: DataFrame, keys: DataFrame, on: str, key: str | None = Non
     return df.join(wanted, df[on] == wanted.wanted_key, "left_semi")
 
 
+def keep_matching_null_safe(df: DataFrame, keys: DataFrame, on: str, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` occurs in column ``key`` of ``keys``, where NULL occurs if a key is NULL.
+
+    Rows without ``on`` are not shuffled: they are all kept or all dropped, by a condition of one row.
+    """
+    has_null = keys.where(F.col(key).isNull()).limit(1).agg(F.count(F.lit(1)) > 0).scalar()
+    known = keep_matching(df.where(F.col(on).isNotNull()), keys, on, key)
+    return known.unionByName(df.where(F.col(on).isNull() & has_null))
+
+
 def where_concept(df: DataFrame, on: str, concepts: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``on`` is the id of one of ``concepts``.
 
@@ -42,15 +53,19 @@ def left_null_safe(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
     Rows of ``right`` without a key all match the same rows of ``left``, and usually there are
     none. They only take part when there is such a row, which a Parquet scan can tell from its
-    footers. Rows of ``left`` without a key are then dealt out over ``SPREAD`` parts, each of
-    which gets the rows of ``right`` without one.
+    footers. Rows of ``left`` without a key are dealt out over parts, each of which gets the rows of
+    ``right`` without one. There are as many parts as their pairs fill with PAIRS_AT_ONCE, but no more than
+    such rows of ``left`` or than tasks can use; where one side has none, nothing is copied.
     """
-    left_has_null = left.where(left[left_key].isNull()).limit(1)
-    needed = left_has_null.agg(F.count(F.lit(1)) > 0).scalar()
-    part = F.when(F.col(left_key).isNull(), F.pmod(_row_hash(left), F.lit(SPREAD))).otherwise(F.lit(0))
+    missing = [side.where(F.col(key).isNull()).agg(F.count(F.lit(1))).scalar() for side, key in ((left, left_key), (right, right_key))]
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows without a match go wherever there is room
+    dealt = F.when(missing[1] == 0, missing[0]).otherwise(F.ceil(missing[0].cast("double") * missing[1] / PAIRS_AT_ONCE))
+    spread = F.greatest(F.lit(1), F.least(dealt, missing[0], F.lit(PARTS_PER_TASK * tasks))).cast("int")
+    part = F.when(F.col(left_key).isNull(), F.pmod(_row_hash(left), spread)).otherwise(F.lit(0))
     left = left.withColumn("left_part", part.cast("int"))
-    parts = F.when(F.col(right_key).isNull(), F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-    right = right.where(F.col(right_key).isNotNull() | needed).withColumn(
+    parts = F.when(F.col(right_key).isNull(), F.sequence(F.lit(0), spread - 1))
+    right = right.where(F.col(right_key).isNotNull() | (missing[0] > 0)).withColumn(
         "right_part", F.explode(parts.otherwise(F.array(F.lit(0))))
     )
     match = left[left_key].eqNullSafe(right[right_key]) & (left.left_part == right.right_part)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.filters import quoted
 
-PARTS = 16
+PARTS_PER_TASK = 4  # parts of a group for each shuffle partition
 
 
 def latest(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
@@ -23,23 +23,30 @@ def latest(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     A group with a missing ``ts`` has no known latest row and is left out: the missing one
     ranks first and is then dropped.
 
-    A group is ranked in ``PARTS`` parts, dealt out by a hash of the row, so that the ties of a
-    hot group do not meet in one task; what is latest in its part then has to be latest in
-    the group.
+    A group is ranked in parts, dealt out by a hash of the row, so that the ties of a hot group do not meet
+    in one task. The greatest time of each part is found beside them, and of these the ones that are the
+    greatest of their group: a row per part that exists, as the small side of a join on group and part. So no
+    step brings the rows of a group together, and a group has at most as many copies as rows.
     """
-    part = F.pmod(F.xxhash64(*map(quoted, df.columns)), F.lit(PARTS))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64(*map(quoted, df.columns)), F.lit(PARTS_PER_TASK * tasks))
     newest = Window.partitionBy(*map(quoted, keys), "latest_part").orderBy(quoted(ts).desc_nulls_first())
     ranked = df.withColumn("latest_part", part).withColumn("latest_rank", F.rank().over(newest))
-    best = ranked.where(F.col("latest_rank") == 1).drop("latest_part", "latest_rank")
+    best = ranked.where(F.col("latest_rank") == 1).drop("latest_rank")
     # from all rows rather than from the ranked ones, which would be ranked a second time
-    times = df.groupBy(*[quoted(key).alias(f"latest_{i}") for i, key in enumerate(keys)]).agg(
-        F.max(quoted(ts)).alias("latest_ts"), F.bool_or(quoted(ts).isNull()).alias("undated")
-    )
-    times = times.where(~F.col("undated"))
-    match = best[f"`{ts}`"] == times.latest_ts
-    for i, key in enumerate(keys):
-        match &= best[f"`{key}`"].eqNullSafe(times[f"latest_{i}"])
-    return best.join(times, match, "left_semi")
+    names = [f"latest_{i}" for i in range(len(keys))]
+    parts = (
+        df.select(*[quoted(key).alias(name) for key, name in zip(keys, names, strict=True)],
+                  quoted(ts).alias("latest_ts"), part.alias("part"))
+        .groupBy(*names, "part").agg(F.max("latest_ts").alias("latest_ts"), F.bool_or(F.col("latest_ts").isNull()).alias("undated"))
+    )
+    group = Window.partitionBy(*names)
+    parts = parts.withColumn("group_ts", F.max("latest_ts").over(group)).withColumn("undated", F.bool_or("undated").over(group))
+    parts = parts.where(~F.col("undated") & (F.col("latest_ts") == F.col("group_ts"))).drop("undated", "group_ts", "latest_ts")
+    match = best.latest_part == parts.part
+    for key, name in zip(keys, names, strict=True):
+        match &= best[f"`{key}`"].eqNullSafe(parts[name])
+    return best.join(parts, match, "left_semi").drop("latest_part")
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -23,6 +23,7 @@ from cohortspark.operators.filters import (
 )
 from cohortspark.operators.joins import (
     keep_matching,
+    keep_matching_null_safe,
     left_null_safe,
     left_on,
     where_concept,
@@ -101,9 +102,10 @@ def general(
     """The latest occurrence in range of every coded diagnosis of every patient."""
     coded = _coded_diagnoses(tables)
     seen = in_range_unless_all(coded, "obs_datetime", start, end, fetch_all)
-    diagnoses = _latest_counted(seen, ["person_id", "value_coded"])
+    # Written, so its size is known before persons, addresses and identifiers are narrowed to it.
+    diagnoses = materialize(_latest_counted(seen, ["person_id", "value_coded"]), "diagnoses")
     named = with_concept_name(diagnoses, tables.clinical("concept_name"))
-    described = patient_dim(tables, as_of).join(named, "person_id")
+    described = patient_dim(tables, as_of, diagnoses).join(named, "person_id")
     return repeat_rows(described, "n").select(
         F.col("identifier").alias("ID"),
         "Gender",
@@ -141,14 +143,16 @@ def hypertension(
     return cohort_dataset(tables, cohort, latest_values, HYPERTENSION_VARIABLES, as_of)
 
 
-def patient_dim(tables: Tables, as_of: date | None = None) -> DataFrame:
+def patient_dim(tables: Tables, as_of: date | None = None, within: DataFrame | None = None) -> DataFrame:
     """``person_id, Gender, Age, District, State, identifier``.
 
-    Several addresses or identifiers give several rows; a person without either has none.
+    Several addresses or identifiers give several rows; a person without either has none. ``within``:
+    only persons whose ``person_id`` it holds; each table is then narrowed before it is joined.
     """
-    return _persons(tables, as_of).join(_addresses(tables), "person_id").join(
-        _identifiers(tables), "person_id"
-    )
+    parts = [_persons(tables, as_of), _addresses(tables), _identifiers(tables)]
+    if within is not None:
+        parts = [keep_matching(part, within, "person_id") for part in parts]
+    return parts[0].join(parts[1], "person_id").join(parts[2], "person_id")
 
 
 def find_cohort(
@@ -188,7 +192,7 @@ def cohort_visits(tables: Tables, cohort: DataFrame) -> DataFrame:
     own = keep_matching(encounters, visits, "visit_id").select("visit_id", "uuid")
     own = materialize(own, "encounters")
     lines = tables.billing("sale_order_line").select("order_id", "external_id")
-    lines = materialize(lines.join(own, lines.external_id.eqNullSafe(own.uuid), "left_semi"), "order-lines")
+    lines = materialize(keep_matching_null_safe(lines, own, "external_id", "uuid"), "order-lines")
     orders = keep_matching(tables.billing("sale_order"), lines, "id", "order_id")
     payments = visit_payments(own, lines, orders)
     dates = tables.clinical("visit").select("visit_id", "date_started")

@@ -29,11 +29,14 @@ def get_session(app_name: str = "cohortspark", **settings: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Where that is not set, a folder in the warehouse, which executors share as well.
+    Where that is not set a local master, whose executors share one machine, takes a folder in the warehouse. On a
+    cluster the warehouse may be a folder of each machine, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
 
 

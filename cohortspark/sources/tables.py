@@ -7,7 +7,10 @@ lists written later reach the files or the database.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from datetime import date, timedelta
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,8 +36,8 @@ BILLING_COLUMNS = {
     "sale_order_line": "order_id bigint, external_id string",
     "sale_order": "id bigint, amount_total double, care_setting string",
 }
-# Tables that one task should not read.
-LARGE_TABLES = ("obs", "encounter", "sale_order_line")
+# Tables that one task may read, unless a source names others.
+SMALL_TABLES = ("concept_name",)
 
 
 def tables_named_in(query: str) -> list[str]:
@@ -110,21 +113,72 @@ class FrameTables(Tables):
         return self.frames[name]
 
 
+@dataclass(frozen=True)
+class EqualShares:
+    """A split into ``partitions`` reads of about as many rows each, by the order of ``column``.
+
+    The database finds where each share begins. Any type that it can sort will do: numbers, dates, text.
+    """
+
+    column: str
+    partitions: int
+
+    def bounds_query(self, table: str) -> str:
+        tiles = f"select {self.column} as bound, ntile({self.partitions}) over (order by {self.column}) as tile from {table}"
+        return f"select min(bound) as bound from ({tiles} where {self.column} is not null) as tiles group by tile order by 1"
+
+    def predicates(self, bounds: Sequence[object]) -> list[str]:
+        return range_predicates(self.column, sorted(set(bounds))[1:])
+
+
+def sql_literal(value: object) -> str:
+    if isinstance(value, bool) or value is None:
+        raise ValueError(f"{value!r} is no bound")
+    if isinstance(value, (int, float, Decimal)):
+        return str(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def range_predicates(column: str, bounds: Sequence[object]) -> list[str]:
+    """Conditions that cut a table at ``bounds``, in ascending order; NULL goes with the first part."""
+    if not bounds:
+        return ["1 = 1"]
+    cuts = [sql_literal(bound) for bound in bounds]
+    inner = [f"{column} >= {low} and {column} < {high}" for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [f"{column} < {cuts[0]} or {column} is null", *inner, f"{column} >= {cuts[-1]}"]
+
+
+def hex_predicates(column: str, partitions: int) -> list[str]:
+    """Conditions that cut a table by the first digits of a hexadecimal text, such as a UUID."""
+    digits = 1
+    while 16**digits < partitions:
+        digits += 1
+    return range_predicates(column, [f"{i * 16**digits // partitions:0{digits}x}" for i in range(1, partitions)])
+
+
+def day_predicates(column: str, start: date, end: date, partitions: int) -> list[str]:
+    """Conditions that cut a table by days, evenly from ``start`` to ``end``; the outer parts are open."""
+    days = (end - start).days + 1
+    cuts = {start + timedelta(days=i * days // partitions) for i in range(1, partitions)}
+    return range_predicates(column, sorted(cut.isoformat() for cut in cuts if cut > start))
+
+
 @dataclass
 class JdbcSource:
     """Connection options of one database and how its tables are split into reads.
 
-    ``splits`` maps a table to ``(column, lower, upper, partitions)``, or to ``(column, partitions)``
-    to have the bounds looked up. A table without an entry is read by one task, which the
-    tables in ``LARGE_TABLES`` refuse.
+    ``splits`` maps a table to a list of conditions, one per read (see ``hex_predicates``, ``day_predicates``), to
+    ``EqualShares``, to ``(column, lower, upper, partitions)``, or to ``(column, partitions)`` to have the
+    bounds looked up. A table without an entry is only read if it is one of ``small``, by one task.
     """
 
     url: str
     user: str
     password: str = field(repr=False)
     driver: str
-    splits: dict[str, tuple] = field(default_factory=dict)
+    splits: dict[str, tuple | list[str] | EqualShares] = field(default_factory=dict)
     fetch_size: int = 10_000
+    small: tuple[str, ...] = SMALL_TABLES
 
     def options(self) -> dict[str, str]:
         return {
@@ -139,12 +193,12 @@ class JdbcSource:
     def table_options(self, name: str, bounds: tuple[int, int] | None = None) -> dict[str, str]:
         """``bounds`` go with a split that has none of its own."""
         options = self.options() | {"dbtable": name}
-        if name in self.splits:
-            split = self.splits[name]
+        split = self.splits.get(name)
+        if isinstance(split, tuple):
             column, partitions = split[0], split[-1]
             options |= split_options(column, *(split[1:3] if len(split) == 4 else bounds), partitions)
-        elif name in LARGE_TABLES:
-            raise ValueError(f"{name!r} is too large for one task; give it an entry in splits")
+        elif split is None and name not in self.small:
+            raise ValueError(f"{name!r} is too large for one task; give it an entry in splits or name it in small")
         return options
 
 
@@ -177,25 +231,38 @@ class JdbcTables(Tables):
 
     def read(self, name: str) -> DataFrame:
         source = self.source_of(name)
-        bounds = None
-        if len(source.splits.get(name, ())) == 2:
-            column = source.splits[name][0]
-            least = f"select min({column}) as least, max({column}) as greatest from {name}"
-            found = self._load(source.options() | {"query": least}).first()
-            bounds = (found[0] or 0, found[1] or 0)
-        return self._load(source.table_options(name, bounds))
-
-    def sql(self, query: str, split: tuple[str, int, int, int] | None = None) -> DataFrame:
+        split = source.splits.get(name)
+        if isinstance(split, EqualShares):
+            found = self._load(source.options() | {"query": split.bounds_query(name)}).collect()
+            return self._load_parts(source, name, split.predicates([row[0] for row in found]))
+        if isinstance(split, list):
+            return self._load_parts(source, name, split)
+        looked_up = isinstance(split, tuple) and len(split) == 2
+        return self._load(source.table_options(name, self._bounds(source, split[0], name) if looked_up else None))
+
+    def sql(self, query: str, split: tuple | None = None) -> DataFrame:
         """Runs in the billing database when the query names one of its tables.
 
-        ``split``: a column of the result with its bounds and the number of reads; without one
-        the result comes through one task.
+        ``split``: a column of the result with its bounds and the number of reads, or with that number alone to
+        have the bounds looked up in the result; without one the result comes through one task.
         """
         billing = any(name in BILLING_COLUMNS for name in tables_named_in(query))
         source = self.source_of("sale_order" if billing else "obs")
         if split is None:
             return self._load(source.options() | {"query": query})
-        return self._load(source.options() | {"dbtable": f"({query}) as result"} | split_options(*split))
+        result = f"({query}) as result"
+        if len(split) == 2:
+            split = (split[0], *self._bounds(source, split[0], result), split[1])
+        return self._load(source.options() | {"dbtable": result} | split_options(*split))
+
+    def _bounds(self, source: JdbcSource, column: str, table: str) -> tuple[int, int]:
+        least = f"select min({column}) as least, max({column}) as greatest from {table}"
+        found = self._load(source.options() | {"query": least}).first()
+        return found[0] or 0, found[1] or 0
 
     def _load(self, options: dict[str, str]) -> DataFrame:
         return self.spark.read.format("jdbc").options(**options).load()
+
+    def _load_parts(self, source: JdbcSource, name: str, predicates: list[str]) -> DataFrame:
+        options = source.options()
+        return self.spark.read.jdbc(options.pop("url"), name, predicates=predicates, properties=options)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark.operators import counts, crosstab, distribution, filters, joins, latest, places, reshape
+from cohortspark.operators import counts, crosstab, distribution, filters, joins, latest, pages, places, reshape
 from cohortspark.session import materialize
 from cohortspark.operators.derive import Category, ColumnDefinition, derive_column, stack
 
@@ -142,13 +142,94 @@ def test_rows_without_a_key_are_spread_over_the_tasks(spark, join):
 
 
 def test_ties_of_a_hot_group_are_spread_over_the_tasks(spark):
-    made = spark.range(20000).selectExpr("id", "if(id % 2 = 0, 0, id) as g", "date'2020-01-01' as ts")
+    made = spark.range(100000).selectExpr(
+        "id", "if(id % 2 = 0, 0, id) as g", "if(id % 2 = 0, date'2020-01-01', date_add(date'2020-01-01', cast(id % 7 as int))) as ts"
+    )
     made = materialize(made, "ties")
     with settings(spark, spark__sql__shuffle__partitions="8", **PLAIN):
         newest = latest.latest(made, ["g"], "ts")
-        assert newest.count() == 20000
-        plan = newest._jdf.queryExecution().executedPlan().toString()
-        assert "latest_part" in plan.split("hashpartitioning(g")[1][:40]
+        counts = per_task(newest)
+        assert sum(counts) == 100000 and max(counts) <= 2 * sum(counts) / 8
+
+
+def test_latest_keeps_ties_and_leaves_undated_groups_out(spark, rows):
+    draw = random.Random(7)
+    data = [(i, draw.choice(["a", "b", None, "u"]), draw.randrange(4)) for i in range(200)]
+    df = spark.createDataFrame([(i, g, None if g == "u" and i % 5 == 0 else t) for i, g, t in data], "id int, g string, ts int")
+    greatest = {g: max(t for _, h, t in data if h == g) for g in ("a", "b", None)}
+    got = rows(latest.latest(df, ["g"], "ts"))
+    assert got == sorted(((i, g, t) for i, g, t in data if greatest.get(g) == t), key=repr) and got
+
+
+def test_many_rows_without_a_key_on_both_sides(spark):
+    left = materialize(spark.range(4000).selectExpr("id", "if(id % 10 = 0, id, null) as k"), "left")
+    right = materialize(spark.range(1000).selectExpr("if(id % 10 = 0, null, id) as rk", "id as v"), "right")
+    with settings(spark, spark__sql__shuffle__partitions="8", **PLAIN):
+        counts = per_task(joins.left_null_safe(left, right, "k", "rk"))
+        assert sum(counts) == 3600 * 100 + 400 and max(counts) <= 2 * sum(counts) / 8
+        few = joins.left_null_safe(left.where("id < 20"), right.where("v < 20"), "k", "rk")
+        assert few.where("k is null").count() == 18 * 2
+
+
+def test_semi_join_with_missing_keys_moves_no_row_without_one(spark, rows):
+    lines = materialize(spark.range(100000).selectExpr("id", "if(id % 10 = 0, cast(id as string), null) as k"), "lines")
+    with settings(spark, spark__sql__shuffle__partitions="8", **PLAIN):
+        for own, wanted in (("uuid in ('10', '20') or uuid is null", 90002), ("uuid in ('10', '20')", 2), ("uuid is null", 90000)):
+            keys = spark.createDataFrame([("10",), ("20",), (None,)], "uuid string").where(own)
+            kept = joins.keep_matching_null_safe(lines, keys, "k", "uuid")
+            counts = per_task(kept)
+            assert sum(counts) == wanted
+            if wanted > 10:
+                assert max(counts) <= 2 * sum(counts) / lines.rdd.getNumPartitions()
+
+
+def test_pages_by_place_and_after_a_row(spark):
+    draw = random.Random(3)
+    data = [(draw.choice([None, 1.5, 2.5, float("nan")]), draw.choice(["x", "y", None]), draw.randrange(9)) for _ in range(3000)]
+    df = materialize(spark.createDataFrame(data, "a double, b string, place int"), "table")
+    for order in ([("b", False), ("a", True)], [("a", False)], []):
+        keys = pages.sort_keys(pages.total_order(df, order))
+        wanted = [repr(r) for r in df.orderBy(*keys).collect()]
+        sorted_once = pages.SortedPages(df, order)
+        last, seen = None, []
+        for page in (1, 2, 37, 300, 301):
+            got = [repr(r) for r in sorted_once.page(page, 10).collect()]
+            assert got == wanted[(page - 1) * 10 : page * 10]
+            assert got == [repr(r) for r in filters.table_view(df, order_by=order, page=page, size=10).collect()]
+        while len(seen) < 200:
+            found = filters.table_view(df, order_by=order, size=20, after=last, shown=shown if last else 1).collect()
+            seen += map(repr, found)
+            last = found[-1].asDict()
+            shown = next((k for k, r in enumerate(reversed(seen)) if r != repr(found[-1])), len(seen))
+        assert seen == wanted[: len(seen)]
+    with pytest.raises(ValueError, match="no place"):
+        filters.table_view(df, after={"a": 1.5, "b": "x"})
+
+
+def test_a_deep_page_reads_its_own_rows(spark):
+    df = materialize(spark.range(90100).selectExpr("(id * 7919) % 90100 as k", "id"), "table")
+    page = filters.table_view(df, order_by=[("k", True)], page=9000)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "GreaterThanOrEqual(place" in plan
+    assert [r.k for r in page.collect()] == list(range(89990, 90000))
+
+
+def test_thinned_scatter_keeps_all_counts(spark):
+    made = spark.range(5000).selectExpr("id % 97 * 1.25 as x", "cast(id * 31 % 89 as int) as y", "if(id % 3 = 0, 'F', null) as Gender")
+    whole = distribution.scatter(made, "x", "y")
+    points = whole.count()
+    assert distribution.scatter(made, "x", "y", max_points=points).count() == points
+    before = 0
+    for most in (2, 10, 100, 1000, points - 1):
+        thinned = distribution.scatter(made, "x", "y", max_points=most)
+        found = thinned.collect()
+        assert sum(r.n for r in found) == 5000 and before <= len(found) <= most
+        assert all(0 <= r.x <= 120 and 0 <= r.y <= 88 for r in found) and thinned.columns == whole.columns
+        before = len(found)
+    assert distribution.scatter(made, "x", "y", max_points=1).count() == 2  # colours are not merged
+    flat = distribution.scatter(made.selectExpr("1 as x", "y", "Gender"), "x", "y", max_points=5)
+    assert flat.agg(F.sum("n")).first()[0] == 5000
+    assert distribution.scatter(made.where("x < 0"), "x", "y", max_points=5).count() == 0
 
 
 def test_levels_are_copied_to_the_blocks_that_exist(spark):
