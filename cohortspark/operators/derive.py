@@ -97,12 +97,16 @@ def derive_column(df: DataFrame, definition: ColumnDefinition) -> DataFrame:
     A row inside several ranges appears once per range, a row inside none is dropped, and
     an existing column of that name is replaced. One narrow pass: nothing is shuffled.
     """
+    return df.withColumn(definition.name, F.explode(range_names(df, definition)))
+
+
+def range_names(df: DataFrame, definition: ColumnDefinition) -> Column:
+    """The names of all ranges that a row is inside, as an array."""
     usable = numeric_columns(df)
     for source in filter(None, (definition.first, definition.second)):
         if source not in usable:
             raise ValueError(f"{source!r} is not a numeric column")
-    names = F.filter(F.array(*definition.matches()), lambda name: name.isNotNull())
-    return df.withColumn(definition.name, F.explode(names))
+    return F.filter(F.array(*definition.matches()), lambda name: name.isNotNull())
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:

@@ -11,10 +11,14 @@ from cohortspark.operators.filters import quoted
 LEVELS = ("State", "District")
 
 
-def place_counts(df: DataFrame, level: str) -> DataFrame:
-    """``place, total``; rows without a place are left out."""
+def check_level(level: str) -> None:
     if level not in LEVELS:
         raise ValueError(f"a map works with one of {list(LEVELS)}, not {level!r}")
+
+
+def place_counts(df: DataFrame, level: str) -> DataFrame:
+    """``place, total``; rows without a place are left out."""
+    check_level(level)
     known = df.where(quoted(level).isNotNull())
     return known.groupBy(quoted(level).alias("place")).agg(F.count(F.lit(1)).alias("total"))
 

@@ -44,10 +44,15 @@ def chart_bar(
     factors = list(factors)
     if not 1 <= len(factors) <= 2:
         raise ValueError("a chart takes one or two factors")
+    return chart_of_counts(interval_counts(df, factors, interval, ts), factors, interval, proportional, items)
+
+
+def chart_of_counts(
+    counts: DataFrame, factors: list[str], interval: str, proportional: bool = False, items: ItemFilter | None = None
+) -> DataFrame:
+    """``chart_bar`` from rows already counted: ``factors, interval, total``."""
     y = "percentage" if proportional else "total"
-    chart = interval_counts(df, factors, interval, ts)
-    if proportional:
-        chart = with_percentage(chart, interval)
+    chart = with_percentage(counts, interval) if proportional else counts
     if items is not None:
         chart = top_items(
             chart,
@@ -89,7 +94,11 @@ class MapChart:
 
 
 def chart_map(df: DataFrame, level: str, geocodes: DataFrame, country: str = "India") -> MapChart:
-    counts = place_counts(df, level)
+    return map_of_counts(place_counts(df, level), geocodes, country)
+
+
+def map_of_counts(counts: DataFrame, geocodes: DataFrame, country: str = "India") -> MapChart:
+    """``chart_map`` from places already counted: ``place, total``."""
     places = with_geocodes(counts, geocodes)
     return MapChart(
         places=places,

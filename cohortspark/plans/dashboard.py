@@ -6,17 +6,18 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions import INTERVALS
-from cohortspark.operators.counts import VISIT_DATE
-from cohortspark.operators.derive import ColumnDefinition, derive_column, stack
+from cohortspark.operators.counts import VISIT_DATE, with_interval
+from cohortspark.operators.derive import ColumnDefinition, derive_column, range_names, stack
 from cohortspark.operators.distribution import boxes_and_outliers, histogram, scatter
 from cohortspark.operators.filters import quoted
-from cohortspark.operators.places import busiest_place, place_counts
-from cohortspark.plans.charts import chart_bar, chart_map
+from cohortspark.operators.places import busiest_place, check_level, place_counts
+from cohortspark.plans.charts import chart_bar, chart_of_counts, map_of_counts
 from cohortspark.plans.datasets import fetch
 from cohortspark.session import materialize
 from cohortspark.sources.tables import Tables
@@ -27,6 +28,9 @@ OUTLIERS, CENTER, TO_LOOK_UP = "outliers", "center", "to look up"
 TYPES = ("Table", "Bar Chart", "Histogram", "Scatter Plot", "Map Plot", "Line Chart", "Box Plot")
 
 
+COUNTED = ("Bar Chart", "Line Chart", "Map Plot")
+
+
 @dataclass(frozen=True)
 class PlotSpec:
     """A saved chart."""
@@ -88,6 +92,7 @@ def run_dashboard(
     look up; their keys are ``part_of(title, OUTLIERS)`` and so on. ``ranges`` gives plots, by
     title, a date range of their own. The dataset is fetched once per distinct range and what the
     plots read of it is written as a table; ``cohortspark.session.release`` deletes those tables.
+    All bar, line and map plots of a range are counted in one pass over it.
     """
     columns = columns or {}
     drawn = [plot for plot in plots if plot.type != "Table"]
@@ -99,10 +104,17 @@ def run_dashboard(
         flat = fetch(dataset, tables, first, last, as_of=as_of)
         read = set().union(*(_columns_read(plot, columns) for plot in group))
         kept[first, last] = materialize(flat.select(*[quoted(c) for c in flat.columns if c in read]), "dashboard")
+    counted = {}
+    for key, group in by_range.items():
+        counted |= count_tables(kept[key], [plot for plot in group if plot.type in COUNTED], columns)
     charts = {}
     for plot in drawn:
         flat = kept[(ranges or {}).get(plot.title, (start, end))]
-        for part, chart in run_plot(flat, plot, columns, geocodes).items():
+        if plot.title in counted:
+            parts = _plot_of_counts(counted[plot.title], plot, geocodes)
+        else:
+            parts = run_plot(flat, plot, columns, geocodes)
+        for part, chart in parts.items():
             charts[part_of(plot.title, part)] = chart
     return charts
 
@@ -122,6 +134,65 @@ def _columns_read(plot: PlotSpec, columns: dict[str, ColumnDefinition]) -> set[s
     return read
 
 
+def count_tables(flat: DataFrame, plots: Sequence[PlotSpec], columns: dict[str, ColumnDefinition]) -> dict[str, DataFrame]:
+    """Title -> the counts of a bar, line or map plot, all from one pass over ``flat``.
+
+    Grouping sets count each combination of factors and interval once, in one shuffle. A derived column gives a row
+    more than once; the plots without that column count its first copy only. The counts are
+    written, so that each plot reads its own.
+    """
+    if not plots:
+        return {}
+    derived = sorted({factor for plot in plots for factor in plot.factors if factor in columns})
+    names = [range_names(flat, columns[name]) for name in derived]
+    wide = flat.withColumns({f"ranges {i}": found for i, found in enumerate(names)})
+    for interval in sorted({plot.interval for plot in plots if plot.type != "Map Plot"}):
+        wide = with_interval(wide, interval)
+    wide = wide.drop(*derived)
+    for i, name in enumerate(derived):
+        others = [quoted(c) for c in wide.columns]
+        wide = wide.select(*others, F.posexplode_outer(quoted(f"ranges {i}")).alias(f"copy {i}", name))
+    keys = {}
+    for plot in plots:
+        if plot.type == "Map Plot":
+            check_level(plot.factor1)
+        keys[plot.title] = [plot.factor1] if plot.type == "Map Plot" else [*dict.fromkeys([*plot.factors, plot.interval])]
+    grouped = sorted({name for key in keys.values() for name in key})
+    sets = sorted({tuple(sorted(key)) for key in keys.values()})
+    own = sorted({tuple(name for name in derived if name in key) for key in keys.values()})
+    first = lambda kept: [F.coalesce(F.col(f"`copy {i}`"), F.lit(0)) == 0 for i, name in enumerate(derived) if name not in kept]
+    totals = [F.count_if(reduce(Column.__and__, first(kept), F.lit(True))).alias(f"total {k}") for k, kept in enumerate(own)]
+    counts = wide.groupingSets([list(map(quoted, s)) for s in sets], *map(quoted, grouped))
+    counts = materialize(counts.agg(F.grouping_id().alias("grouping set"), *totals), "counts")
+    tables = {}
+    for plot in plots:
+        key = keys[plot.title]
+        left_out = sum(1 << (len(grouped) - 1 - i) for i, name in enumerate(grouped) if name not in key)
+        kept = tuple(name for name in derived if name in key)
+        total = quoted(f"total {own.index(kept)}")
+        rows = counts.where((F.col("`grouping set`") == left_out) & (total > 0))
+        for name in kept:  # a row inside no range is not counted
+            rows = rows.where(quoted(name).isNotNull())
+        tables[plot.title] = rows.select(*map(quoted, key), total.alias("total"))
+    return tables
+
+
+def _plot_of_counts(counts: DataFrame, plot: PlotSpec, geocodes: DataFrame | None) -> dict[str, DataFrame]:
+    if plot.type != "Map Plot":
+        return {"": chart_of_counts(counts, plot.factors, plot.interval, plot.proportional)}
+    places = counts.where(quoted(plot.factor1).isNotNull()).select(quoted(plot.factor1).alias("place"), "total")
+    return _map_parts(places, geocodes)
+
+
+def _map_parts(places: DataFrame, geocodes: DataFrame | None) -> dict[str, DataFrame]:
+    if geocodes is not None:
+        chart = map_of_counts(places, geocodes)
+        return {"": chart.places, CENTER: chart.center, TO_LOOK_UP: chart.unresolved}
+    unknown = F.lit(None).cast("double")
+    places = places.withColumns({"lat": unknown, "lon": unknown})
+    return {"": places, CENTER: busiest_place(places)}
+
+
 def run_plot(
     flat: DataFrame,
     plot: PlotSpec,
@@ -142,12 +213,7 @@ def run_plot(
         boxes, outliers = boxes_and_outliers(flat, plot.factor1, plot.interval, plot.factor2)
         return {"": boxes, OUTLIERS: outliers}
     if plot.type == "Map Plot":
-        if geocodes is not None:
-            chart = chart_map(flat, plot.factor1, geocodes)
-            return {"": chart.places, CENTER: chart.center, TO_LOOK_UP: chart.unresolved}
-        unknown = F.lit(None).cast("double")
-        places = place_counts(flat, plot.factor1).withColumns({"lat": unknown, "lon": unknown})
-        return {"": places, CENTER: busiest_place(places)}
+        return _map_parts(place_counts(flat, plot.factor1), geocodes)
     raise ValueError(f"a plot of type {plot.type!r} is not drawn")
 
 

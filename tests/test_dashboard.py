@@ -7,11 +7,13 @@ from clinical import clinical_tables
 
 from checks.queries import END, PLOTS, PRICES, START, known_geocodes
 from cohortspark.operators import counts
-from cohortspark.operators.derive import derive_column
+from cohortspark.operators.derive import Category, ColumnDefinition, derive_column
 from cohortspark.operators.distribution import box_stats, histogram
+from cohortspark.plans import dashboard
 from cohortspark.plans.charts import ItemFilter, chart_bar, chart_line, chart_map
-from cohortspark.plans.dashboard import PlotSpec, dashboard_rows, run_dashboard
+from cohortspark.plans.dashboard import PlotSpec, count_tables, dashboard_rows, run_dashboard, run_plot
 from cohortspark.plans.datasets import fetch
+from cohortspark.session import materialize
 from cohortspark.sources import StarSchemaTables
 
 
@@ -108,3 +110,32 @@ def test_map_chart(spark, tables, rows):
     assert missing[0][1] == f"India {missing[0][0]}"
     most = max(row.total for row in chart.places.collect())
     assert chart.center.first().total == most
+
+
+def test_all_counts_come_from_one_pass(spark, tables, rows):
+    flat = materialize(fetch("visits", tables, START, END), "flat")
+    columns = {
+        "Class": ColumnDefinition("Class", "Amount", (Category("lo", 0, 150000), Category("all", 0, 450000), Category("hi", 120000, 450000))),
+        "Size": ColumnDefinition("Size", "Amount", (Category("s", 0, 100000), Category("m", 50000, 300000))),
+    }
+    plots = [
+        PlotSpec("a", "Bar Chart", "Gender", "State", "Months"), PlotSpec("b", "Line Chart", "Class", None, "Years", True),
+        PlotSpec("c", "Bar Chart", "Class", "Size", "Months"), PlotSpec("d", "Map Plot", "District"),
+        PlotSpec("e", "Bar Chart", "Gender", "Class", "Months"), PlotSpec("f", "Bar Chart", "Gender", None, "Years"),
+    ]
+    counted = count_tables(flat, plots, columns)
+    for plot in plots:
+        one_by_one = run_plot(flat, plot, columns)[""]
+        got = dashboard._plot_of_counts(counted[plot.title], plot, None)[""]
+        assert got.columns == one_by_one.columns and rows(got) == rows(one_by_one), plot.title
+        assert rows(got)
+    with pytest.raises(ValueError, match="map"):
+        count_tables(flat, [PlotSpec("x", "Map Plot", "Gender")], {})
+
+
+def test_the_kept_table_is_scanned_once_for_the_counts(spark, tables):
+    plots = [PlotSpec("a", "Bar Chart", "Gender"), PlotSpec("b", "Line Chart", "State"), PlotSpec("c", "Map Plot", "District")]
+    charts = run_dashboard(tables, "visits", plots, START, END)
+    for chart in charts.values():
+        files = chart.inputFiles()
+        assert files and all("/counts-" in f for f in files)
