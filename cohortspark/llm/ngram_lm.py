@@ -220,8 +220,8 @@ def _sorted_pairs(pack: Pack, ids: np.ndarray, shards: int) -> tuple[np.ndarray,
 
 def bigram_level(packed: DataFrame, shards: int, vocabulary: int, step: float) -> DataFrame:
     """Level 2: for each pack and shard one byte for each of the pack's pairs: the quantised
-    training count in the whole corpus, found in the shard's trie. The trie itself is the row
-    with pack -1 (ranks: the level, numbers: its codes)."""
+    training count in the whole corpus, found in the shard's trie. The trie lives as long as its
+    shard is asked; nothing reads it afterwards, so it is not written."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +249,6 @@ def bigram_level(packed: DataFrame, shards: int, vocabulary: int, step: float) -
         for pack, (own_context, own_word) in zip(group["pack"].to_pylist(), parts, strict=True):
             rows.append((shard, pack, None, trie.find(own_context, own_word).tobytes(), None, None))
         trie.close()
-        rows.append((shard, -1, level, codes, len(total), int(total.sum())))
         return pa.Table.from_batches([_rows(rows, ANSWER)])
 
     return packed.mapInArrow(send, PART).groupBy("shard").applyInArrow(count, ANSWER)
