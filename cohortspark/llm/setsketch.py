@@ -276,33 +276,67 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return total
 
 
+class Forest:
+    """Which labels are joined so far, by paths to a root that are halved when they are walked."""
+
+    def __init__(self, labels: np.ndarray):
+        self.up = {label: label for label in labels.tolist()}
+
+    def root(self, label: int) -> int:
+        up = self.up
+        while up[label] != label:
+            up[label] = label = up[up[label]]
+        return label
+
+    def roots(self, labels: np.ndarray) -> np.ndarray:
+        distinct, at = np.unique(labels, return_inverse=True)
+        return np.array([self.root(x) for x in distinct.tolist()], labels.dtype)[at]
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart until now."""
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
 def _matches(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) of a group in different components that may be linked, by their sets of 32-bit
-    hashes. Shingles of one set may have equal hashes; two sets share at most as many more
-    shingles as the one with fewer of these has, so no link is left out."""
+    """Pairs (a, b) of a group that join its components as far as any pairs do: a spanning forest, with
+    fewer pairs than members, of those that may be linked by their sets of 32-bit hashes. Shingles of one set may
+    have equal hashes; two sets share at most as many more shingles as the one with fewer of these
+    has, so no link is left out. Pairs that were rejected before (column ``apart``) are not tried again."""
     key, label, own = (group[c].to_numpy() for c in ("_key", "label", "own"))
+    apart = {(a, b) for a, others in zip(key.tolist(), group["apart"].to_pylist(), strict=True) for b in others or ()}
     p, q = group["p"][0].as_py(), group["q"][0].as_py()
     sets = [np.frombuffer(x, np.uint32) for x in group["hashes"].to_pylist()]
     n = group["n_shingles"].to_numpy()
     equal = n - np.array([len(np.unique(x)) for x in sets])
     left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
     shared = shared_counts(sets, left, right)
-    ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    forest, found = Forest(label), []
     for k, part in enumerate(_in_slices(left)):
         both = shared[k * ROWS_AT_ONCE : (k + 1) * ROWS_AT_ONCE] + np.minimum(equal[part][:, None], equal[right][None, :])
         union = n[part][:, None] + n[right][None, :] - both
-        i, j = np.nonzero((100 * both >= percent * union) & (label[part][:, None] != label[right][None, :]))
-        ends[0].append(key[part[i]])
-        ends[1].append(key[right[j]])
-    a, b = map(np.concatenate, ends)
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def _cross_links(members: DataFrame, sketches: DataFrame, keyed: Keyed, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between members of one bucket that are in different components.
+        may = 100 * both >= percent * union
+        for row, i in enumerate(part.tolist()):
+            # partners of one member at a time; those it has reached by then are left out at once
+            partners = right[may[row] & (label[right] != label[i])]
+            if len(partners):
+                partners = partners[forest.roots(label[partners]) != forest.root(int(label[i]))]
+            for j in partners.tolist():
+                pair = (int(min(key[i], key[j])), int(max(key[i], key[j])))
+                if pair not in apart and forest.join(int(label[i]), int(label[j])):
+                    found.append(pair)
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return a, b
+
+
+def _cross_links(
+    members: DataFrame, sketches: DataFrame, keyed: Keyed, size: int, percent: int, rejected: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Candidates and links (a, b) between members of one bucket that are in different components.
 
     The sketches leave out members without a likely partner. The others' sets are compared, all
-    of a block with all of another at once, and only links leave the group.
+    of a block with all of another at once, and only a spanning forest leaves the group.
     """
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,8 +366,10 @@ def _cross_links(members: DataFrame, sketches: DataFrame, keyed: Keyed, size: in
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    pairs = _grouped(some.join(sets.hint("merge"), "_key")).mapInArrow(match, "a long, b long")
-    return _confirmed(pairs, keyed, size, percent)
+    apart = rejected.groupBy(F.col("a").alias("_key")).agg(F.collect_set("b").alias("apart"))
+    held = some.join(sets.hint("merge"), "_key").join(apart, "_key", "left")
+    pairs = materialize(_grouped(held).mapInArrow(match, "a long, b long").distinct(), "forest")
+    return pairs, materialize(_confirmed(pairs, keyed, size, percent), "links")
 
 
 def _linked(sketches: DataFrame, keyed: Keyed, size: int, percent: int) -> DataFrame:
@@ -348,12 +384,20 @@ def _linked(sketches: DataFrame, keyed: Keyed, size: int, percent: int) -> DataF
     links = materialize(_confirmed(_likely(stars, sketches, at_least), keyed, size, percent), "links")
     labels = materialize(components(links), "labels")
     # then what is in one bucket but not yet in one component
-    found = members.select("h", "_key").join(labels.withColumnRenamed("node", "_key"), "_key", "left")
-    found = found.withColumn("label", F.coalesce("label", "_key"))
-    more = materialize(_cross_links(found, sketches, keyed, size, percent), "links")
-    if more.limit(1).count() == 0:
-        return labels
-    return materialize(components(links.union(more)), "labels")
+    rejected = links.limit(0)
+    while True:
+        found = members.select("h", "_key").join(labels.withColumnRenamed("node", "_key"), "_key", "left")
+        found = found.withColumn("label", F.coalesce("label", "_key"))
+        tried, more = _cross_links(found, sketches, keyed, size, percent, rejected)
+        n_tried, n_more = tried.count(), more.count()
+        if n_more:
+            links = links.union(more)
+            labels = materialize(components(links), "labels")
+        if n_more == n_tried:
+            return labels
+        # a pair that looked linked by its short hashes was none, and may have stood for another one in its
+        # group: once more without it. Each round rejects at least one more pair.
+        rejected = materialize(rejected.union(tried.exceptAll(more)), "rejected")
 
 
 def _classes(keyed: Keyed, size: int, percent: int) -> DataFrame:

@@ -179,10 +179,51 @@ def test_equal_short_hashes_drop_no_link():
     # ten and eight shingles, eight shared: 80%; two of the shared ones have one 32-bit hash
     sets = [np.array([1, 1, 2, 3, 4, 5, 6, 7, 8, 9], np.uint32), np.array([1, 1, 2, 3, 4, 5, 6, 7], np.uint32)]
     group = pa.table({"_key": [5, 3], "label": [5, 3], "own": [0, 0], "p": [0, 0], "q": [0, 0],
-                      "n_shingles": [10, 8], "hashes": [x.tobytes() for x in sets]})
+                      "n_shingles": [10, 8], "hashes": [x.tobytes() for x in sets], "apart": pa.array([None, None], pa.list_(pa.int64()))})
     assert (3, 5) in set(zip(*(x.tolist() for x in setsketch._matches(group, 80)), strict=True))
 
 
+def variants(n, apart=()):
+    """A group of n sets that are all linked with each other, each a component of its own."""
+    sets = [np.append(np.arange(100, dtype=np.uint32), np.uint32(1000 + i)) for i in range(n)]
+    others = [[b for a, b in apart if a == i] or None for i in range(n)]
+    return pa.table({
+        "_key": range(n), "label": range(n), "own": [0] * n, "p": [0] * n, "q": [0] * n, "n_shingles": [101] * n,
+        "hashes": [x.tobytes() for x in sets], "apart": pa.array(others, pa.list_(pa.int64())),
+    })
+
+
+@pytest.mark.parametrize("n", [200, 400, 800])
+def test_a_group_gives_a_spanning_forest(n):
+    a, b = setsketch._matches(variants(n), 80)
+    assert len(a) == n - 1 and (a < b).all()
+    forest = setsketch.Forest(np.arange(n))
+    assert all(forest.join(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_rejected_pairs_are_replaced_by_others():
+    apart = [(0, j) for j in range(2, 12)]
+    a, b = setsketch._matches(variants(12, apart), 80)
+    assert len(a) == 11 and not set(zip(a.tolist(), b.tolist(), strict=True)) & set(apart)
+    alone = setsketch._matches(variants(3, [(0, 1), (0, 2), (1, 2)]), 80)
+    assert len(alone[0]) == 0
+
+
+def test_links_rejected_on_the_full_sets_start_another_round(spark, monkeypatch):
+    """Filters that let everything pass: only the full sets decide, round after round."""
+    monkeypatch.setattr(setsketch, "_matches", lambda group, percent, own=setsketch._matches: own(group, 1))
+    draw = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(14):
+        words = list(base)
+        for _ in range(draw.randrange(1, 7)):
+            words[draw.randrange(len(words))] = f"new{draw.random()}"
+        texts.append(" ".join(words))
+    got = setsketch.near_dedup(frame(spark, list(enumerate(texts))), 2, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_components(texts, 2, 80)
+
+
 def test_near_dedup_of_repeated_rows_and_missing_ids(spark, rows):
     docs = frame(spark, [(5, "a b c"), (5, "a b c"), (None, "a b c"), (3, "x y"), (None, None), (None, None)])
     got = rows(setsketch.near_dedup(docs, 2), "doc_id", "n_shingles", "component_id", "kept")
