@@ -183,11 +183,9 @@ class MergeVocabulary:
         return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _learn(self, segments: set[str]) -> None:
-        new = segments - self.known.keys()
-        if len(self.known) + len(new) > SEGMENTS:
+        short = [s for s in segments if len(s) <= SHORT]
+        if len(self.known) + len(short) > SEGMENTS:
             self.known.clear()
-            new = segments
-        short = [s for s in new if len(s) <= SHORT]
         if short:
             self.known.update(zip(short, self._ids(*self._merged_side_by_side(short)), strict=True))
 
@@ -198,11 +196,14 @@ class MergeVocabulary:
     def encode(self, texts: list[str], ends: bool = True) -> list[np.ndarray]:
         """The ids of each whole text and, with ``ends``, the end id."""
         cut = [self.cut(self.library.normalize(t)) for t in texts]
-        self._learn({s for segments in cut for s in segments})
+        found = [[*map(self.known.get, segments)] for segments in cut]
+        new = {s for segments, ids in zip(cut, found, strict=True) if None in ids for s, x in zip(segments, ids, strict=True) if x is None}
+        self._learn(new)
         last = [np.int32(self.end).tobytes()] if ends else []
         out = []
-        for segments in cut:
-            ids = [self.known.get(s) or self._by_heap(s) for s in segments]
+        for segments, ids in zip(cut, found, strict=True):
+            if None in ids:
+                ids = [x or self.known.get(s) or self._by_heap(s) for s, x in zip(segments, ids, strict=True)]
             out.append(np.frombuffer(b"".join(ids + last), np.int32))
         return out
 
