@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ from cohortspark.session import materialize
 
 PARTS = 256  # a text with more than 1 / PARTS of all rows is joined apart from the others
 LINKS_AT_ONCE = 1 << 18
+WORDS = 1 << 18  # distinct words whose ids a worker remembers
+# Fixed value: how byte-level vocabularies cut a text into words before they merge bytes.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -48,12 +53,27 @@ class Tokenizers:
             for i, piece in enumerate(map(self.b.id_to_piece, range(self.b.vocab_size())))
         ]
         self.length_a, self.length_b = (np.array([len(t) for t in own], np.int64) for own in (self.bytes_a, self.bytes_b))
+        self.cut = regex.compile(WORD_PATTERN).findall
+        self.known: dict[str, list[int]] = {}
+
+    def ids_a(self, text: str) -> list[int]:
+        """The ids of a text by A. Its words are merged by themselves, so a word that returns is looked up."""
+        words = self.cut(text)
+        found = [*map(self.known.get, words)]
+        if None in found:
+            if len(self.known) > WORDS:
+                self.known.clear()
+            new = list({w for w, ids in zip(words, found, strict=True) if ids is None})
+            made = dict(zip(new, (x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            self.known.update((w, ids) for w, ids in made.items() if len(w) <= 64)
+            found = [ids if ids is not None else made[w] for w, ids in zip(words, found, strict=True)]
+        return [*chain.from_iterable(found)]
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of space + text by A and of text by B; none where their bytes are not space + text."""
         if not text:
             return [], []
-        a = self.a.encode(" " + text, add_special_tokens=False).ids
+        a = self.ids_a(" " + text)
         b = self.b.encode(text)
         whole = b" " + text.encode()
         if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
@@ -61,6 +81,19 @@ class Tokenizers:
         return a, b
 
 
+class Files:
+    """The bytes of both files; a worker makes the tokenizers of them once, for all its tasks."""
+
+    def __init__(self, first_file: str, second_file: str):
+        self.data = Path(first_file).read_bytes(), Path(second_file).read_bytes()
+        self.made: Tokenizers | None = None
+
+    def tokenizers(self) -> Tokenizers:
+        if self.made is None:
+            self.made = Tokenizers(*self.data)
+        return self.made
+
+
 def _lists(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column one after another, and where each row ends."""
     lists = batch.column(column)
@@ -89,7 +122,9 @@ class Alignment:
         spark = docs.sparkSession
         small_batches(spark, 4 << 20)
         # sizes of vocabularies, not of the documents
-        self.files: Broadcast = spark.sparkContext.broadcast((Path(first_file).read_bytes(), Path(second_file).read_bytes()))
+        self.files: Broadcast = spark.sparkContext.broadcast(Files(first_file, second_file))
+        sizes = Tokenizers(*Files(first_file, second_file).data)
+        self.lengths: Broadcast = spark.sparkContext.broadcast((sizes.length_a, sizes.length_b))
         files = self.files
         text = F.coalesce(F.col("text"), F.lit(""))
         key = F.unhex(F.sha2(text, 256)).alias("key")
@@ -97,7 +132,7 @@ class Alignment:
         distinct = docs.select(text.alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
 
         def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            both = Tokenizers(*files.value)
+            both = files.value.tokenizers()
             for batch in batches:
                 at = 0
                 for part in by_size(raw_texts(batch), 1 << 20):
@@ -117,14 +152,13 @@ class Alignment:
         token is at most one token of the other vocabulary (two, where a byte has a token of its own twice).
         So there are at most twice as many pairs as the tokens of both vocabularies have bytes.
         """
-        files = self.files
+        lengths = self.lengths
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            both = Tokenizers(*files.value)
             for batch in batches:
                 a, ends = _lists(batch, "a")
                 b, _ = _lists(batch, "b")
-                i, j = links(a, b, both.length_a, both.length_b)
+                i, j = links(a, b, *lengths.value)
                 copies = batch.column("copies").to_numpy()[np.searchsorted(ends, i, side="right")]
                 codes, place = np.unique(a[i].astype(np.int64) << 32 | b[j], return_inverse=True)
                 n = np.zeros(len(codes), np.int64)
@@ -142,7 +176,7 @@ class Alignment:
 
         ``groups`` has the ids between common ends as ``a1,a2|b1;a3|b2,b3``.
         """
-        files, spark = self.files, self.texts.sparkSession
+        lengths, spark = self.lengths, self.texts.sparkSession
         table = self.pairs().toArrow()  # bounded by the vocabularies, see pairs()
         codes = table["a"].to_numpy().astype(np.int64) << 32 | table["b"].to_numpy()
         order = np.argsort(codes)
@@ -150,13 +184,12 @@ class Alignment:
         known = spark.sparkContext.broadcast((codes[order], table["n"].to_numpy()[order], best[order].astype(bool)))
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            both = Tokenizers(*files.value)
-            size_a = len(both.length_a)
             # an id with what follows it: a comma inside a group, else the sign that ends its side
-            shown = [f"{i}{sign}" for size, signs in ((size_a, ",|"), (len(both.length_b), ",;")) for sign in signs for i in range(size)]
+            sides = zip(lengths.value, (",|", ",;"), strict=True)
+            shown = [f"{i}{sign}" for own, signs in sides for sign in signs for i in range(len(own))]
             for whole in batches:
                 for batch in _slices(whole):
-                    yield _measured(batch, both, known.value, shown)
+                    yield _measured(batch, *lengths.value, known.value, shown)
 
         schema = "key binary, copies long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
         return self.texts.mapInArrow(measure, schema)
@@ -187,11 +220,11 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         begin = end
 
 
-def _measured(batch: pa.RecordBatch, both: Tokenizers, known: tuple, shown: list[str]) -> pa.RecordBatch:
+def _measured(batch: pa.RecordBatch, length_a: np.ndarray, length_b: np.ndarray, known: tuple, shown: list[str]) -> pa.RecordBatch:
     rows = batch.num_rows
     a, ends_a = _lists(batch, "a")
     b, ends_b = _lists(batch, "b")
-    i, j = links(a, b, both.length_a, both.length_b)
+    i, j = links(a, b, length_a, length_b)
     row = np.searchsorted(ends_a, i, side="right")
     codes, counts, best = known
     at = np.searchsorted(codes, a[i].astype(np.int64) << 32 | b[j])
@@ -204,7 +237,7 @@ def _measured(batch: pa.RecordBatch, both: Tokenizers, known: tuple, shown: list
     side = np.repeat([0, 1], [len(a), len(b)])
     last = np.zeros(len(a) + len(b), bool)
     last[i] = last[len(a) + j] = True
-    base = np.where(side == 0, last * len(both.length_a), 2 * len(both.length_a) + last * len(both.length_b))
+    base = np.where(side == 0, last * len(length_a), 2 * len(length_a) + last * len(length_b))
     names = (base + np.concatenate([a, b]))[np.lexsort((side, group))].tolist()
     stops = [0, *(ends_a + ends_b).tolist()]
     groups = ["".join(map(shown.__getitem__, names[s:e]))[:-1] for s, e in zip(stops[:-1], stops[1:], strict=True)]
