@@ -17,7 +17,7 @@ from cohortspark.llm.common import raw_texts, small_batches
 from cohortspark.llm.labelled import labelled_sample, remainder
 from cohortspark.llm.quality import by_size
 
-CHAIN = 64  # tokens in one chain
+CHAIN = 64  # tokens of a text that are worked on in one row; messages go on to the next row
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7)  # bytes
 EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -53,60 +53,118 @@ def feature_table(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((b for f in found for b in f), np.int64, len(owner)), owner
 
 
-def chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row (chain) and column of every token: each text is cut into chains of CHAIN tokens."""
+def chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column of every token, CHAIN tokens a row, and whether a row is the first of its text."""
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     within = np.arange(counts.sum()) - np.repeat(starts, counts)
     per_text = -(-counts // CHAIN)
     first = np.concatenate([[0], np.cumsum(per_text)[:-1]])
-    return np.repeat(first, counts) + within // CHAIN, within % CHAIN
+    begins = np.zeros(per_text.sum(), bool)
+    begins[first[per_text > 0]] = True
+    return np.repeat(first, counts) + within // CHAIN, within % CHAIN, begins
 
 
-def marginals(emission: np.ndarray, length: np.ndarray, trans: np.ndarray, rows: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+def marginals(
+    emission: np.ndarray, length: np.ndarray, trans: np.ndarray, begins: np.ndarray | None = None, rows: int = 2000
+) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over rows of emissions (log odds of state 1), ``rows`` rows at once.
 
     Returns the probability of state 1 at each token and the expected number of each
-    transition; ``length`` is the tokens of each row.
+    transition; ``length`` is the tokens of each row. A row that does not begin a text goes on
+    with the chain of the row before it, so the marginals are those of whole texts. Without
+    ``begins`` every row is a text.
     """
+    begins = np.ones(len(emission), bool) if begins is None else begins
+    entry, behind = _messages(emission, length, trans, begins, rows)
     p, pairs = np.empty(emission.shape), np.zeros((2, 2))
     for i in range(0, len(emission), rows):
         part = slice(i, i + rows)
-        p[part], more = _forward_backward(emission[part], length[part], trans)
+        p[part], more = _forward_backward(emission[part], length[part], trans, begins[part], entry[part], behind[part])
         pairs += more
     return p, pairs
 
 
-def _forward_backward(emission: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _messages(emission: np.ndarray, length: np.ndarray, trans: np.ndarray, begins: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the forward message of the token before its first and the backward message of
+    its last token. A row acts on messages as a product of 2 x 2 matrices, found for all rows
+    side by side; then the messages go from row to row of each text."""
+    entry, behind = np.ones((len(emission), 2)), np.ones((len(emission), 2))
+    inner = ~begins  # rows with one before them in their text
+    ends = np.append(begins[1:], True)
+    several = np.flatnonzero(inner | ~ends)
+    through = np.empty((len(several), 4))
+    for i in range(0, len(several), rows):
+        part = several[i : i + rows]
+        through[i : i + rows] = _transfers(emission[part], length[part], trans)
+    a00, a01, a10, a11 = np.exp(trans).ravel().tolist()
+    steps = list(zip(several.tolist(), inner[several].tolist(), ends[several].tolist(), through.tolist(), strict=True))
+    f0 = f1 = 1.0
+    for row, goes_on, _, (t00, t01, t10, t11) in steps:
+        x0 = x1 = 1.0
+        if goes_on:
+            entry[row] = f0, f1
+            x0, x1 = f0 * a00 + f1 * a10, f0 * a01 + f1 * a11
+        f0, f1 = x0 * t00 + x1 * t10, x0 * t01 + x1 * t11
+        f0, f1 = f0 / (f0 + f1), f1 / (f0 + f1)
+    b0 = b1 = 1.0
+    for row, _, is_last, (t00, t01, t10, t11) in reversed(steps):
+        if is_last:
+            b0 = b1 = 1.0
+        behind[row] = b0, b1
+        x0, x1 = t00 * b0 + t01 * b1, t10 * b0 + t11 * b1
+        b0, b1 = a00 * x0 + a01 * x1, a10 * x0 + a11 * x1
+        b0, b1 = b0 / (b0 + b1), b1 / (b0 + b1)
+    return entry, behind
+
+
+def _transfers(emission: np.ndarray, length: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The matrix of each row, from its first token's state to its last one's, emissions included
+    and scaled: 00, 01, 10, 11."""
+    a, odds = np.exp(trans), np.exp(np.clip(emission, -30, 30))
+    m = np.stack([np.ones(len(odds)), np.zeros(len(odds)), np.zeros(len(odds)), odds[:, 0]])
+    for i in range(1, odds.shape[1]):
+        to = [m[x] * a[0, y] + m[x + 1] * a[1, y] for x in (0, 2) for y in (0, 1)]
+        moved = np.stack([to[0], to[1] * odds[:, i], to[2], to[3] * odds[:, i]])
+        m = np.where(i < length, moved / moved.sum(axis=0), m)
+    return m.T
+
+
+def _forward_backward(
+    emission: np.ndarray, length: np.ndarray, trans: np.ndarray, begins: np.ndarray, entry: np.ndarray, behind: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """The marginals and transitions of some rows; messages are scaled at each step."""
     n, t = emission.shape
     a = np.exp(trans)
     odds = np.exp(np.clip(emission, -30, 30))
     live = np.arange(t)[None, :] < length[:, None]
     forward, backward = np.empty((t, 2, n)), np.empty((t, 2, n))
-    f0, f1 = np.ones(n), odds[:, 0].copy()
+    f0, f1 = entry.T
     for i in range(t):
-        if i:
-            f0, f1 = f0 * a[0, 0] + f1 * a[1, 0], (f0 * a[0, 1] + f1 * a[1, 1]) * odds[:, i]
+        to0, to1 = f0 * a[0, 0] + f1 * a[1, 0], f0 * a[0, 1] + f1 * a[1, 1]
+        if i == 0:
+            to0, to1 = np.where(begins, 1, to0), np.where(begins, 1, to1)
+        f0, f1 = to0, to1 * odds[:, i]
         total = f0 + f1
         f0, f1 = f0 / total, f1 / total
         forward[i] = f0, f1
-    b0, b1 = np.ones(n), np.ones(n)
+    b0, b1 = behind.T
     for i in range(t - 1, -1, -1):
         backward[i] = b0, b1
         x0, x1 = b0, b1 * odds[:, i]
         n0, n1 = a[0, 0] * x0 + a[0, 1] * x1, a[1, 0] * x0 + a[1, 1] * x1
         total = n0 + n1
-        # a row's last token has nothing behind it
-        b0, b1 = np.where(live[:, i], n0 / total, 1), np.where(live[:, i], n1 / total, 1)
+        # what is behind a row's last token comes from the next row
+        b0, b1 = np.where(live[:, i], n0 / total, b0), np.where(live[:, i], n1 / total, b1)
     both = forward * backward
     p = (both[:, 1] / both.sum(axis=1)).T * live
     pairs = np.zeros((2, 2))
-    for i in range(1, t):
-        weight = [[forward[i - 1, x] * a[x, y] * (odds[:, i] if y else 1) * backward[i, y] for y in (0, 1)] for x in (0, 1)]
+    for i in range(t):
+        before, counted = (forward[i - 1], live[:, i]) if i else (entry.T, ~begins)
+        weight = [[before[x] * a[x, y] * (odds[:, i] if y else 1) * backward[i, y] for y in (0, 1)] for x in (0, 1)]
         total = sum(w for row in weight for w in row)
         for x in (0, 1):
             for y in (0, 1):
-                pairs[x, y] += (weight[x][y] / total)[live[:, i]].sum()
+                pairs[x, y] += (weight[x][y] / total)[counted].sum()
     return p, pairs
 
 
@@ -127,10 +185,10 @@ class SpanTagger:
             return np.empty(0), counts
         bucket, owner = feature_table(words)
         emission = np.bincount(owner, self.weights[bucket], len(words)) + self.bias
-        row, column = chains(counts)
-        table = np.zeros((row[-1] + 1, CHAIN))
+        row, column, begins = chains(counts)
+        table = np.zeros((len(begins), CHAIN))
         table[row, column] = emission[codes]
-        p, _ = marginals(table, np.bincount(row), self.trans)
+        p, _ = marginals(table, np.bincount(row), self.trans, begins)
         return p[row, column], counts
 
     def evidence(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -206,17 +264,17 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 40, rate: float =
     tagger.trained = True
     y = token_labels(codes, words, counts, labels)
     bucket, owner = feature_table(words)
-    row, column = chains(counts)
+    row, column, begins = chains(counts)
     length = np.bincount(row)
-    table, truth = np.zeros((len(length), CHAIN)), np.zeros((len(length), CHAIN), int)
-    truth[row, column] = y
-    live = np.arange(1, CHAIN)[None, :] < length[:, None]
-    seen = np.array([[(live & (truth[:, :-1] == x) & (truth[:, 1:] == z)).sum() for z in (0, 1)] for x in (0, 1)])
+    table = np.zeros((len(length), CHAIN))
+    text = np.repeat(np.arange(len(counts)), counts)
+    inside = text[:-1] == text[1:]
+    seen = np.array([[(inside & (y[:-1] == x) & (y[1:] == z)).sum() for z in (0, 1)] for x in (0, 1)])
     scale = max(1.0, y.sum())
     squares = [np.full(BUCKETS, 1e-6), 1e-6, np.full((2, 2), 1e-6)]
     for _ in range(steps):
         table[row, column] = (np.bincount(owner, tagger.weights[bucket], len(words)) + tagger.bias)[codes]
-        p, pairs = marginals(table, length, tagger.trans)
+        p, pairs = marginals(table, length, tagger.trans, begins)
         miss = y - p[row, column]
         by_word = np.bincount(codes, miss, len(words))
         grads = [np.bincount(bucket, by_word[owner], BUCKETS) / scale - decay * tagger.weights,
@@ -250,7 +308,7 @@ def score_toxicity(
 ) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, n_toxic_tokens, toxic_spans.
 
-    Whole texts are tagged in chains of CHAIN tokens. toxic_spans lists the offending places as
+    A whole text is one chain. toxic_spans lists the offending places as
     start:end in code points (end exclusive), n_toxic_tokens counts tokens with a marginal of
     at least one half. Null counts as the empty text, which has a score and no spans; repeated
     rows get equal rows; a null doc_id is not held out. Without labels of both classes every

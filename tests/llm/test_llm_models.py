@@ -107,6 +107,35 @@ def test_marginals_equal_enumeration():
     assert pairs == pytest.approx(expected)
 
 
+def test_rows_of_a_text_are_one_chain():
+    draw = np.random.default_rng(11)
+    counts = np.array([200, 0, 64, 1, 129, 65, 0])
+    row, column, begins = toxicity.chains(counts)
+    emission, trans = draw.normal(0, 3, counts.sum()), draw.normal(0, 2, (2, 2))
+    table = np.zeros((len(begins), toxicity.CHAIN))
+    table[row, column] = emission
+    p, pairs = toxicity.marginals(table, np.bincount(row), trans, begins, rows=2)
+    # the same texts, each in one row that is as long as the longest
+    some = counts[counts > 0]
+    whole = np.zeros((len(some), some.max()))
+    whole[np.arange(some.max())[None, :] < some[:, None]] = emission
+    q, expected = toxicity.marginals(whole, some, trans)
+    assert p[row, column] == pytest.approx(q[np.arange(some.max())[None, :] < some[:, None]], abs=1e-12)
+    assert pairs == pytest.approx(expected) and pairs.sum() == pytest.approx((some - 1).sum())
+
+
+def test_toxic_spans_do_not_depend_on_the_place_in_the_text():
+    tagger = toxicity.SpanTagger(np.zeros(toxicity.BUCKETS), -2.0, np.array([[0.5, -0.5], [-0.5, 1.0]]), np.zeros(5))
+    tagger.weights[toxicity.word_features(b"idiot")[0]] = 4
+    phrase = b"idiot idiot idiot"
+    for before in range(100, 170):  # the phrase lies across a border of rows at some of these places
+        text = b"w " * before + phrase + b" w" * 100
+        p, counts = tagger.tagged([text])
+        if before == 100:
+            first = p[before - 20 : before + 23]
+        assert p[before - 20 : before + 23] == pytest.approx(first, abs=1e-6)
+
+
 def test_toxic_spans_are_code_points():
     texts = [b"you idiot moron there", "é idiot!".encode(), b"fine words here"]
     tagger = toxicity.SpanTagger(np.zeros(toxicity.BUCKETS), -5.0, np.zeros((2, 2)), np.zeros(5))
