@@ -27,7 +27,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 HINT = re.compile(r"[0-9@]|\[at\]|\(at\)")
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-AROUND = 400  # characters in which the two words before a mention are looked for
+AROUND = 400  # characters in which the two words before a mention are looked for first
 TABLES = 8  # of learned values, one a round, before they become one table
 LEAST_CHARS = 6  # of a token that may be an identifier
 
@@ -78,16 +78,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def context(text: str, start: int) -> int | None:
     """Hash of the two words before the token that begins at ``start``; None where there are
     not two, or where letters or digits stand directly before it."""
-    before = text[max(0, start - AROUND) : start]
-    glued = TOKEN.search(before[::-1])
-    if glued and glued.start() == 0:
-        if glued.group().strip(EDGES):
+    wide = AROUND
+    while True:
+        low = max(0, start - wide)
+        before = text[low:start]
+        glued = TOKEN.search(before[::-1])
+        if glued and glued.start() == 0:
+            if glued.group().strip(EDGES):
+                return None
+            before = before[: len(before) - glued.end()]
+        words = [m for m in TOKEN.finditer(before)][-2:]
+        if len(words) == 2 and (low == 0 or words[0].start() > 0):
+            return pair_hash(*(bare_hash(w.group().encode()) for w in words))
+        if low == 0:
             return None
-        before = before[: len(before) - glued.end()]
-    words = [m for m in TOKEN.finditer(before)][-2:]
-    if len(words) < 2 or (start > AROUND and words[0].start() == 0):
-        return None
-    return pair_hash(*(bare_hash(w.group().encode()) for w in words))
+        wide *= 2  # a long word or much white space
 
 
 def bare_hash(word: bytes) -> int:
