@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import WORD
@@ -11,6 +11,7 @@ from cohortspark.session import materialize
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 SEED = "mix"
+BLOCK = 4096  # rows without doc_id that are numbered by one row of a task
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
@@ -56,12 +57,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int =
     Returns doc_id, size, source, source_size, target, repeats, taken, one row per row of
     ``docs``. A source is repeated target / source_size times: ``repeats`` whole repetitions of
     every document and, for the rest, a fractional repetition of that share of its words, rounded up
-    or down by a seeded hash of doc_id. Each source's words so come within a few words per
-    thousand documents of its target and no document is taken more than ``most_epochs`` times.
+    or down by a seeded hash of doc_id. A source's words miss its target by about the root of its
+    number of documents, and no document is taken more than ``most_epochs`` times.
 
-    Null text has size 0, a null source is a source of its own, rows with a null doc_id share
-    one hash, repeated rows are documents of their own, an empty table gives no rows. Only
-    the columns doc_id, source and text are read.
+    Null text has size 0, a null source is a source of its own, repeated rows are documents of
+    their own, an empty table gives no rows. Rows with a null doc_id and equal source and size
+    are rounded together: as many of them up as their share asks for. Only the columns doc_id, source
+    and text are read. The table of sources is ranked in one task: it is one row per source.
     """
     sizes = materialize(
         docs.select(
@@ -70,12 +72,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int =
         ), "sizes",
     )
     targets = source_targets(sizes, weights, most_epochs).withColumnRenamed("source", "_source")
-    joined = sizes.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10)
-    draw = draw.cast("double") / F.lit(2.0**32)
+    named = sizes.filter("doc_id is not null").withColumn("draw", _draw(seed, F.col("doc_id").cast("string")))
+    joined = named.unionByName(_nameless(sizes, seed)).join(targets, F.col("source").eqNullSafe(F.col("_source")))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
-    taken = F.least(F.col("size") * most_epochs, F.floor(F.col("size").cast("double") * F.col("share") + draw))
+    taken = F.least(F.col("size") * most_epochs, F.floor(F.col("size").cast("double") * F.col("share") + F.col("draw")))
     return joined.withColumn("share", share).select(
         "doc_id", "size", "source", "source_size", "target",
         F.floor("share").cast("long").alias("repeats"), taken.cast("long").alias("taken"),
     )
+
+
+def _draw(seed: str, text: Column) -> Column:
+    """A number in [0, 1) for each text."""
+    digits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), text)), 1, 8), 16, 10)
+    return digits.cast("double") / F.lit(2.0**32)
+
+
+def _nameless(sizes: DataFrame, seed: str) -> DataFrame:
+    """The rows without doc_id, with evenly spaced draws among those of one source and size.
+
+    Such rows are alike, so they are counted and written out again, block by block."""
+    counted = sizes.filter("doc_id is null").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))))
+    last = F.least(F.col("n"), (F.col("block") + 1) * BLOCK) - 1
+    rows = blocks.repartition("source", "size", "block").withColumn("i", F.explode(F.sequence(F.col("block") * BLOCK, last)))
+    shift = _draw(seed, F.concat_ws(":", F.coalesce("source", F.lit("")), F.col("size").cast("string")))
+    draw = ((F.col("i") + shift) / F.col("n")).alias("draw")
+    return rows.select(F.lit(None).cast("long").alias("doc_id"), "source", "size", draw)

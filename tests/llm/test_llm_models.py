@@ -262,6 +262,20 @@ def test_contexts_of_known_identifiers_find_others(spark, rows):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_contexts_reach_over_long_words_and_white_space():
+    want = pii.context("mail now: x", 10)
+    assert want is not None and pii.context("mail " + "now: x", 10) == want
+    assert pii.context("mail " + " " * 5000 + "now:" + "\n" * 900 + "x", 5 + 5000 + 4 + 900) == want
+    assert pii.context("a " * 300 + "mail now: x", 610) == want
+    for n in (380, 399, 400, 450, 900, 20000):
+        long = "w" * n
+        assert pii.context(f"{long} mail x", n + 6) == pii.pair_hash(pii.bare_hash(long.encode()), pii.bare_hash(b"mail"))
+        assert pii.context(f"mail {long} x", n + 6) == pii.pair_hash(pii.bare_hash(b"mail"), pii.bare_hash(long.encode()))
+        assert pii.context(f"{long} x", n + 1) is None
+        assert pii.context("(" * n + "x", n) is None and pii.context(f"mail now: {'(' * n}x", 10 + n) == want
+        assert pii.context(f"mail now {long}x", 9 + n) is None
+
+
 def test_chains_of_contexts_are_followed_to_their_end(spark):
     steps = 11
     value = lambda i, j: f"+1 555 010 {1000 + j}" if i == 0 else f"id-{i:02d}{j}-xyz"
@@ -364,6 +378,14 @@ def test_targets_equal_repeated_clamping(spark, seed):
     assert set(got) == set(want) and all(got[s] == pytest.approx(want[s]) for s in want)
 
 
+def test_rows_without_ids_come_near_their_target(spark):
+    docs = frame(spark, [(None, "one two three", "a")] * 6000 + [(None, "one", None)] * 3000 + [(5, "x y", "b")])
+    mixed = mixing.mix(docs).groupBy("source").agg({"taken": "sum", "target": "max", "*": "count"}).collect()
+    assert {r.source: r["count(1)"] for r in mixed} == {"a": 6000, "b": 1, None: 3000}
+    for r in mixed:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 3
+
+
 def test_mix_comes_near_its_targets_and_repeats(spark, rows):
     draw = np.random.default_rng(9)
     data = [(i, "w " * int(draw.integers(0, 60)), draw.choice(["a", "b", "c", "d"])) for i in range(2000)]
