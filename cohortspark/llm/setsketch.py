@@ -207,16 +207,29 @@ def _in_blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
     block is part of: h, p, q (the blocks), own (theirs), _key, label, n_shingles, sketch.
 
     ``members``: h, _key, label. A bucket is cut into blocks by a hash, and every pair of blocks is
-    a group of its own, so no bucket is ever in one place as a whole.
+    a group of its own, so no bucket is ever in one place as a whole. Pairs within a component are
+    not wanted: the component with most members in a large bucket has blocks of its own, which are paired
+    with the blocks of all others only. So a bucket with few members outside that component is a
+    few copies of each member, however large it is.
     """
     sized = members.join(sketches.select("_key", "n_shingles", "sketch").hint("merge"), "_key")
-    counts = sized.groupBy("h").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"),
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"),
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1))
+    labels = sized.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    counts = labels.groupBy("h").agg(
+        F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "label", "s")).alias("top"),
+    ).filter("labels > 1")
+    one = blocks(F.col("n"), F.col("s")) == 1
+    counts = counts.select(
+        "h", F.when(~one, F.col("top.label")).alias("top"),
+        F.when(one, 1).otherwise(blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"))).alias("others"),
+        F.when(one, 0).otherwise(blocks(F.col("top.n"), F.col("top.s"))).alias("tops"),
     )
-    rows = sized.join(counts.filter("lo <> hi").select("h", "blocks"), "h")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("_key"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    is_top = F.coalesce(F.col("label") == F.col("top"), F.lit(False))
+    at = F.xxhash64("_key")
+    own = F.when(is_top, F.col("others") + F.pmod(at, F.greatest("tops", F.lit(1)))).otherwise(F.pmod(at, "others"))
+    last = F.when(is_top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
+    rows = sized.join(counts, "h").withColumn("own", own.cast("long"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     return rows.select(
         "h", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "_key", "label", "n_shingles", "sketch"
     )

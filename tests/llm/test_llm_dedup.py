@@ -175,6 +175,36 @@ def test_near_dedup_equals_all_pairs(spark, monkeypatch, size, block):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
 
 
+@pytest.mark.parametrize("n", [2048, 8192, 32768])
+def test_members_of_a_large_bucket_are_not_copied_for_each_other_block(spark, n):
+    """One member apart from a component of all others, at the production size of blocks."""
+    sketches = spark.range(n).selectExpr("id as _key", "100L as n_shingles", "cast('x' as binary) as sketch")
+    members = spark.range(n).selectExpr("7L as h", "id as _key", "if(id = 0, 0L, 1L) as label")
+    rows = setsketch._in_blocks(members, sketches)
+    assert n <= rows.count() <= n + n // 1000 + 2
+    # every pair across components meets in one group
+    groups = rows.groupBy("p", "q").agg({"label": "min", "_key": "count"}).collect()
+    assert sum(g["count(_key)"] - 1 for g in groups if g["min(label)"] == 0 and g.p != g.q) == n - 1
+
+
+def test_pairs_of_all_components_meet_in_one_group(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "BLOCK", 8)
+    draw = random.Random(4)
+    label = {i: draw.choice([0, 0, 0, 1, 1, 2, 3, 4, 5]) for i in range(90)}
+    sketches = spark.range(90).selectExpr("id as _key", "100L as n_shingles", "cast('x' as binary) as sketch")
+    members = spark.createDataFrame([(7, i, x) for i, x in label.items()], "h bigint, _key bigint, label bigint")
+    met = Counter()
+    groups = {}
+    for r in setsketch._in_blocks(members, sketches).collect():
+        groups.setdefault((r.p, r.q), []).append((r._key, r.own))
+    for (p, q), held in groups.items():
+        for a, own_a in held:
+            for b, own_b in held:
+                if (own_a, own_b) == (p, q) and label[a] != label[b] and (p != q or a < b):
+                    met[min(a, b), max(a, b)] += 1
+    assert met == Counter((i, j) for i in range(90) for j in range(i + 1, 90) if label[i] != label[j])
+
+
 def test_equal_short_hashes_drop_no_link():
     # ten and eight shingles, eight shared: 80%; two of the shared ones have one 32-bit hash
     sets = [np.array([1, 1, 2, 3, 4, 5, 6, 7, 8, 9], np.uint32), np.array([1, 1, 2, 3, 4, 5, 6, 7], np.uint32)]
