@@ -233,12 +233,14 @@ def _measured(batch: pa.RecordBatch, length_a: np.ndarray, length_b: np.ndarray,
     count_sum = np.zeros(rows, np.int64)
     np.add.at(count_sum, row, counts[at])
     # tokens of both sides by group, A first; the last of each side of a group is the linked one
-    group = np.concatenate([np.searchsorted(i, np.arange(len(a))), np.searchsorted(j, np.arange(len(b)))])
-    side = np.repeat([0, 1], [len(a), len(b)])
-    last = np.zeros(len(a) + len(b), bool)
-    last[i] = last[len(a) + j] = True
-    base = np.where(side == 0, last * len(length_a), 2 * len(length_a) + last * len(length_b))
-    names = (base + np.concatenate([a, b]))[np.lexsort((side, group))].tolist()
+    last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    last_a[i] = last_b[j] = 1
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    names = np.empty(len(a) + len(b), np.int64)
+    # before a token stand those of its side and the other side's of earlier groups, for B of its own one too
+    names[np.arange(len(a)) + np.append(0, j + 1)[group_a]] = a + last_a * len(length_a)
+    names[np.arange(len(b)) + (i + 1)[group_b]] = b + 2 * len(length_a) + last_b * len(length_b)
+    names = names.tolist()
     stops = [0, *(ends_a + ends_b).tolist()]
     groups = ["".join(map(shown.__getitem__, names[s:e]))[:-1] for s, e in zip(stops[:-1], stops[1:], strict=True)]
     n_a, n_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
