@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import Keyed, Sieve, mix64, raw_texts
@@ -18,7 +18,7 @@ from cohortspark.session import materialize
 
 WINDOW = 8  # words
 LEAST_WORDS = 13  # words of an item in a row of windows that make a document a leak
-SHORTEST = 5  # items with fewer words cannot be told from ordinary text
+SHORTEST = 5  # items with fewer words cannot be told from ordinary text and are matched with whole texts only
 SALTS = 32  # parts of the windows that are placeholders only: a table of numbers has very many equal ones
 EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NUMBER = re.compile(rb"[0-9][0-9.,:/]*")
@@ -115,13 +115,15 @@ class Templates:
         ]
 
 
-def template_windows(frame: DataFrame, key: str, sizes: list[int] | None, sieve: Sieve | None = None) -> DataFrame:
+def template_windows(
+    frame: DataFrame, key: str, sizes: list[int] | None, sieve: Sieve | None = None, shortest: int = SHORTEST
+) -> DataFrame:
     """Windows of the texts in ``frame``: key, pos (word), n_words (of the text), size, h, ways, slots.
 
     A window has a row for each different hash it has under the ways to set placeholders
     (``Templates.kinds``); bit i of ``ways`` is set if way i gives this hash. ``sizes`` None: of
-    WINDOW words, or the whole text where it is shorter (but not shorter than SHORTEST). With a
-    sieve only windows that it may hold are returned.
+    WINDOW words, or the whole text where it is shorter. Windows of fewer than ``shortest`` words are
+    whole texts, word by word. With a sieve only windows that it may hold are returned.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +132,12 @@ def template_windows(frame: DataFrame, key: str, sizes: list[int] | None, sieve:
             for part in by_size(raw_texts(batch)):
                 t = Templates(part)
                 out: dict[str, list] = {"key": [], "pos": [], "n_words": [], "size": [], "h": [], "ways": [], "slots": []}
-                for size in sizes or range(SHORTEST, WINDOW + 1):
+                for size in sizes or range(1, WINDOW + 1):
                     every, hashes = t.windows(size)
-                    good = np.ones(len(every), bool)
-                    if sizes is None:
-                        good = t.counts[t.doc[every]] >= WINDOW if size == WINDOW else t.counts[t.doc[every]] == size
-                    for way, kind in enumerate(t.kinds):
+                    good, whole = np.ones(len(every), bool), size < shortest
+                    if whole or (sizes is None and size < WINDOW):
+                        good = t.counts[t.doc[every]] == size
+                    for way, kind in enumerate(t.kinds[:1] if whole else t.kinds):
                         new = good.copy()
                         for before in hashes[:way]:
                             new &= hashes[way] != before
@@ -159,7 +161,7 @@ def template_windows(frame: DataFrame, key: str, sizes: list[int] | None, sieve:
     return frame.select(key, "text").mapInArrow(cut, schema).withColumnRenamed("key", key)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """Pairs of a document and a benchmark item whose passage it holds.
 
     Returns doc_id, item_id, matched_windows, item_windows, share (of the item's windows),
@@ -175,29 +177,60 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the matched windows make up LEAST_WORDS words, or the whole item where it is shorter. A window of
     the document counts for one window of the item only, so that a few numbers in a row
     are not taken for a long row of them.
-    Items of fewer than SHORTEST words, null and empty texts match nothing; repeated rows are
-    items and documents of their own. No pair is dropped; documents without a match have no row.
+    Items of fewer than ``shortest`` words match documents that have the same words and no others. Null and
+    empty texts match nothing; repeated rows are items and documents of their own. No pair is
+    dropped; documents without a match have no row.
     """
-    return _pairs(Keyed(docs), benchmark).select(
+    return _pairs(Keyed(docs), benchmark, shortest).select(
         "doc_id", "item_id", "matched_windows", "item_windows", "share", "same_values"
     )
 
 
-def _pairs(keyed: Keyed, benchmark: DataFrame) -> DataFrame:
+def _needed() -> Column:
+    """How many different windows of an item a document must match."""
+    return F.least(F.col("item_windows"), F.greatest(F.lit(1), LEAST_WORDS - F.col("size") + 1))
+
+
+def _probes(windows: DataFrame, found: DataFrame) -> DataFrame:
+    """The windows of each item at its (windows - needed + 1) places that fewest documents have.
+
+    Whoever matches as many places as needed matches one of these, so a window that very many items and
+    documents share, an instruction for example, is not joined as long as it makes no leak by itself.
+    """
+    often = found.groupBy("h", "size").agg(F.count(F.lit(1)).alias("often"))
+    places = windows.join(often, ["h", "size"], "left").groupBy("_item", "item_pos").agg(
+        F.sum(F.coalesce("often", F.lit(0))).alias("often"),
+        F.first("item_windows").alias("item_windows"), F.first("size").alias("size"),
+    )
+    rank = F.row_number().over(Window.partitionBy("_item").orderBy("often", "item_pos"))
+    places = places.withColumn("rank", rank).filter(F.col("rank") <= F.col("item_windows") - _needed() + 1)
+    return windows.join(places.filter("often > 0").select("_item", "item_pos"), ["_item", "item_pos"], "left_semi")
+
+
+def _candidates(windows: DataFrame, found: DataFrame) -> DataFrame:
+    """_key, _item of all pairs that match in one of the item's probed windows."""
+    full = lambda slots: F.size(slots) == F.col("size")
+    salts = F.when(full("item_slots"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(full("slots"), F.pmod(F.hash("_key", "pos"), F.lit(SALTS))).otherwise(F.lit(0))
+    probes = _probes(windows, found).select("_item", "h", "size", F.explode(salts).alias("salt"))
+    joined = found.select("_key", "h", "size", salt.alias("salt")).join(probes, ["h", "size", "salt"])
+    return joined.select("_key", "_item").distinct()
+
+
+def _pairs(keyed: Keyed, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     items = materialize(items.withColumn("_item", F.monotonically_increasing_id()), "items")
-    windows = template_windows(items, "_item", None)
+    windows = template_windows(items, "_item", None, shortest=shortest)
     windows = materialize(
         windows.withColumn("item_windows", F.col("n_words") - F.col("size") + 1)
         .withColumnsRenamed({"pos": "item_pos", "slots": "item_slots", "ways": "item_ways"}).drop("n_words"), "item-windows",
     )
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect()) or [WINDOW]
     sieve = Sieve(windows, "h", bits=1 << 24)
-    found = template_windows(keyed.frame, "_key", sizes, sieve).drop("n_words")
-    full = lambda slots: F.size(slots) == F.col("size")
-    salts = F.when(full("item_slots"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salt = F.when(full("slots"), F.pmod(F.hash("_key", "pos"), F.lit(SALTS))).otherwise(F.lit(0))
-    matches = found.withColumn("salt", salt).join(windows.withColumn("salt", F.explode(salts)), ["h", "size", "salt"])
+    found = materialize(template_windows(keyed.frame, "_key", sizes, sieve, shortest).drop("n_words"), "found-windows")
+    # all windows of the items that a document may hold meet the document's own
+    candidates = materialize(_candidates(windows, found), "candidates")
+    matches = candidates.join(windows, "_item").join(found, ["_key", "h", "size"])
     # a window may match in several ways; names are to agree among the matches of one way, numbers among all
     ways = [(VALUES, VALUES), (INNER, INNER), (INNER, ALL), (ALL, INNER), (ALL, ALL)]
     both = {(i, j): (F.getbit("item_ways", F.lit(i)) + F.getbit("ways", F.lit(j))) == 2 for i, j in ways}
@@ -224,8 +257,7 @@ def _pairs(keyed: Keyed, benchmark: DataFrame) -> DataFrame:
         (number("doc_at") == number("doc_same")).alias("same_values"),
         F.first("item_windows").alias("item_windows"), F.first("size").alias("size"),
     )
-    needed = F.least(F.col("item_windows"), F.greatest(F.lit(1), LEAST_WORDS - F.col("size") + 1))
-    pairs = pairs.filter(F.col("matched_windows") >= needed).join(items.select("_item", "item_id"), "_item")
+    pairs = pairs.filter(F.col("matched_windows") >= _needed()).join(items.select("_item", "item_id"), "_item")
     pairs = keyed.with_doc_id(pairs, "_key", "doc_id")
     return pairs.withColumn("share", F.col("matched_windows") / F.col("item_windows"))
 

@@ -54,8 +54,8 @@ class LineRuns:
 
     A new batch adds a run to level 0. When a level holds ``fanout`` runs they are merged to
     one run of the next level, so a key is rewritten once per level. A key that has reached
-    ``min_docs`` documents in a merge moves to the settled runs; later batches are
-    anti-joined with those and no longer carry it.
+    ``min_docs`` documents, in one batch or in a merge, moves to the settled runs; every later
+    batch is merge-anti-joined with those and no longer carries it.
     """
 
     def __init__(self, min_docs: int, fanout: int = 4):
@@ -67,8 +67,8 @@ class LineRuns:
         """``counts``: rows of h1, h2, n from documents that were not added before."""
         fresh = counts.groupBy(*HASH).agg(F.sum("n").alias("n"))
         if self.settled:
-            fresh = fresh.join(self._settled(), HASH, "left_anti")
-        self.levels[0].append(materialize(fresh.sortWithinPartitions(*HASH), "run"))
+            fresh = fresh.join(self._settled().hint("merge"), HASH, "left_anti")
+        self._settle(fresh, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self._compact(level)
@@ -82,9 +82,13 @@ class LineRuns:
             self.levels.append([])
         merged = self._merged(self.levels[level])
         self.levels[level] = []
-        run = materialize(merged.sortWithinPartitions(*HASH), "run")
+        self._settle(merged, level + 1)
+
+    def _settle(self, counts: DataFrame, level: int) -> None:
+        """Writes a run sorted by hash; its frequent keys are settled, the others make the level's run."""
+        run = materialize(counts.sortWithinPartitions(*HASH), "run")
         self.settled.append(run.filter(F.col("n") >= self.min_docs).select(*HASH))
-        self.levels[level + 1].append(run.filter(F.col("n") < self.min_docs))
+        self.levels[level].append(run.filter(F.col("n") < self.min_docs))
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, runs).groupBy(*HASH).agg(F.sum("n").alias("n"))

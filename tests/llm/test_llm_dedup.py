@@ -92,6 +92,24 @@ def test_runs_are_compacted_and_settled_keys_stay_out(spark, rows):
     assert rows(runs.frequent(), "h1") == [(1,), (2,)]
 
 
+def test_later_batches_of_the_query_are_anti_joined(spark, monkeypatch):
+    plans, sizes, write = [], [], lines.materialize
+
+    def noting(df, label):
+        out = write(df, label)
+        if label == "run":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            sizes.append(out.filter("n > 1").count())
+        return out
+
+    monkeypatch.setattr(lines, "materialize", noting)
+    rows = [(i, f"everywhere\nonly {i}\nevery {i % 40}") for i in range(400)]
+    got = lines.line_dedup(frame(spark, rows))
+    assert {r.n_dropped for r in got.collect()} == {2}
+    assert ["LeftAnti" in plan for plan in plans] == [False, True, True, True, False]  # four batches and their compaction
+    assert sizes[3] < sizes[0]
+
+
 # --- byte strings --------------------------------------------------------------------
 
 

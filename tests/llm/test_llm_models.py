@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -340,6 +341,87 @@ def test_names_at_sentence_starts_and_other_case_are_found(spark):
     assert all(got[i, 2].same_values for i in (2, 3, 4, 9)) and not got[1, 1].same_values and not got[6, 1].same_values
 
 
+def test_items_under_the_shortest_match_whole_texts_only(spark):
+    docs = [(1, "Too SHORT."), (2, "too short indeed"), (3, "42"), (4, "17"), (5, ""), (6, None), (7, "| too\nshort |"), (8, "too"), (9, "five words of an item")]
+    items = [(1, "too short"), (2, "17"), (3, ""), (4, "five words of an item")]
+    assert set(leaks(spark, docs, items)) == {(1, 1), (7, 1), (4, 2), (9, 4)}
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.contaminated(frame(spark, docs), benchmark, shortest=2).collect()
+    assert {(1, 1), (2, 1), (7, 1), (9, 4)} <= {(r.doc_id, r.item_id) for r in found}
+
+
+def test_windows_that_many_items_and_documents_share_are_not_joined(spark, monkeypatch):
+    counted = {}
+
+    def counting(df, label):
+        counted[label] = (out := write(df, label)).count()
+        return out
+
+    write = decontaminate.materialize
+    monkeypatch.setattr(decontaminate, "materialize", counting)
+    shared = "answer this question with one of the choices given below now"
+    own = lambda kind, i: " ".join(f"{kind}{i}x{j}q" for j in range(20))
+    items = [(i, f"{shared} {own('item', i)}") for i in range(200)]
+    docs = [(i, f"{shared} {own('doc', i)}") for i in range(200)] + [(900, "see " + items[7][1])]
+    assert set(leaks(spark, docs, items)) == {(900, 7)}
+    assert counted["candidates"] < 1000 and counted["found-windows"] < 1000
+
+
+def brute_leaks(docs, items):
+    """All windows of all documents against all windows of all items, by words instead of hashes."""
+    ways = [(1, 1), (2, 2), (2, 3), (3, 2), (3, 3)]
+    out = {}
+
+    def rows(text, size):
+        t = decontaminate.Templates([text.encode()])
+        words = [t.words[c] for c in t.codes]
+        template = lambda k, i: tuple(w if k[x] == 0 else int(k[x]) for x, w in enumerate(words[i : i + size], i))
+        return [[(template(k, i), tuple(t.slots(k, i, size))) for k in t.kinds] for i in range(len(words) - size + 1)]
+
+    for doc_id, doc in docs:
+        for item_id, item in items:
+            n = len(decontaminate.Templates([item.encode()]).codes)
+            size = min(8, n)
+            lines = {}
+            for i, a in enumerate(rows(item, size) if n >= 5 else []):
+                for j, b in enumerate(rows(doc, size)):
+                    met = {(x, y) for x in range(4) for y in range(4) if a[x][0] == b[y][0]}
+                    if met:
+                        lines.setdefault(j - i, []).append((i, a, b, met))
+            at, doc_at, doc_same = set(), set(), set()
+            for line, matches in lines.items():
+                consistent = lambda pairs: len(pairs) == len({x for x, _ in pairs})
+                values = lambda way: {p for _, a, b, met in matches if way in met for p in zip(a[way[0]][1], b[way[1]][1], strict=True)}  # noqa: E731, B023
+                numbers = {p for _, a, b, met in matches for x, y in met for p in zip(a[x][1], b[y][1], strict=True) if not p[0].startswith("name=")}
+                same = {i for i, a, b, met in matches if any(a[x][1] == b[y][1] for x, y in met)}
+                good = set(same)
+                if consistent(numbers) and consistent(values((2, 2))):
+                    good |= {i for w in ways if consistent(values(w)) for i, _, _, met in matches if w in met}
+                at |= good
+                doc_at |= {i + line for i in good}
+                doc_same |= {i + line for i in same}
+            matched = min(len(at), len(doc_at))
+            if n and matched >= min(n - size + 1, max(1, 13 - size + 1)):
+                out[doc_id, item_id] = (matched, n - size + 1, len(doc_at) == len(doc_same))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaks_equal_comparing_all_windows(spark, seed):
+    draw = random.Random(seed)
+    pool = ["the", "of", "and", "goes", "to", "Anna", "Bob", "Paris", "3", "5", "120", "km", "7kg", "apples.", "with", "who"]
+    text = lambda n: " ".join(draw.choice(pool) for _ in range(n))
+    items = [(i, text(draw.choice([5, 7, 8, 10, 13, 16, 24]))) for i in range(12)] + [(90, "3 5 120 3 5 120 3 5 7"), (91, "")]
+    docs = [(i, text(60)) for i in range(4)]
+    for i, (_, item) in enumerate(items):
+        words = [draw.choice(["9", "44"]) if w.isdigit() and draw.random() < 0.4 else w for w in item.split()]
+        words = [draw.choice(["Carl", "Dora"]) if w in ("Anna", "Bob") and draw.random() < 0.3 else w for w in words]
+        docs.append((10 + i, f"{text(5)} {' '.join(words)} {text(4)}"))
+        docs.append((40 + i, f"{text(3)} {' '.join(words[draw.randrange(1 + len(words) // 3):])}"))
+    got = {key: (r.matched_windows, r.item_windows, r.same_values) for key, r in leaks(spark, docs, items).items()}
+    assert got == brute_leaks(docs, items) and got
+
+
 def test_a_unit_after_another_text_is_a_word():
     alone, behind = decontaminate.Templates([b"km of road"]), decontaminate.Templates([b"it is 5", b"km of road"])
     assert [k[3:].tolist() for k in behind.kinds] == [k.tolist() for k in alone.kinds]
