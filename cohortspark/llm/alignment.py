@@ -3,28 +3,29 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from cohortspark.llm.common import raw_texts, small_batches
+from cohortspark.llm.common import Memory, raw_texts, small_batches
 from cohortspark.llm.quality import by_size
 from cohortspark.session import materialize
 
 PARTS = 256  # a text with more than 1 / PARTS of all rows is joined apart from the others
 LINKS_AT_ONCE = 1 << 18
-WORDS = 1 << 18  # distinct words whose ids a worker remembers
-# Fixed value: how byte-level vocabularies cut a text into words before they merge bytes.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORDS = 3 << 16  # twice as many distinct words have their ids remembered by a worker
+BLOCK = 1 << 12  # new words that are encoded as one text
+LOOSE_SPACE = re.compile(r" (?!\S)").search
+LOOSE_WORDS = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*(?:\s+\Z)?|\s+").findall
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -53,32 +54,61 @@ class Tokenizers:
             for i, piece in enumerate(map(self.b.id_to_piece, range(self.b.vocab_size())))
         ]
         self.length_a, self.length_b = (np.array([len(t) for t in own], np.int64) for own in (self.bytes_a, self.bytes_b))
-        self.cut = regex.compile(WORD_PATTERN).findall
-        self.known: dict[str, list[int]] = {}
-
-    def ids_a(self, text: str) -> list[int]:
-        """The ids of a text by A. Its words are merged by themselves, so a word that returns is looked up."""
-        words = self.cut(text)
-        found = [*map(self.known.get, words)]
-        if None in found:
-            if len(self.known) > WORDS:
-                self.known.clear()
-            new = list({w for w, ids in zip(words, found, strict=True) if ids is None})
-            made = dict(zip(new, (x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            self.known.update((w, ids) for w, ids in made.items() if len(w) <= 64)
-            found = [ids if ids is not None else made[w] for w, ids in zip(words, found, strict=True)]
-        return [*chain.from_iterable(found)]
-
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of space + text by A and of text by B; none where their bytes are not space + text."""
-        if not text:
-            return [], []
-        a = self.ids_a(" " + text)
-        b = self.b.encode(text)
+        # a piece with a space after something else would join two words
+        self.parted = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.vocab_size()))
+        self.known: Memory[tuple[bytes, ...]] = Memory(WORDS)
+
+    def words(self, text: str) -> list[str]:
+        """``text`` cut at single spaces where no token of A or B reaches across: words of A start with at most one space,
+        and a space between two others starts a word. A space next to white space stays inside a word."""
+        if not self.parted:
+            return [text]
+        spaced = " " + text
+        return [w[1:] for w in LOOSE_WORDS(spaced)] if LOOSE_SPACE(spaced) else text.split(" ")
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids (32 bits each) of space + text by A and of text by B; none where their bytes are not space + text."""
+        # the pieces of B spell what its normaliser gives
+        cut = [self.words(t) if t and self.b.normalize(t).replace("▁", " ") == " " + t else [] for t in texts]
+        for word, ids in self._made([*self.known.unknown(set(chain.from_iterable(cut)))]):
+            self.known.recent[word] = ids
+        out = []
+        for words in cut:
+            found = [*map(self.known.recent.__getitem__, words)]
+            out.append(tuple(b"".join([ids[side] for ids in found]) for side in (0, 1)) if all(found) else (b"", b""))
+        self.known.trim()
+        return out
+
+    def _made(self, words: list[str]) -> Iterator[tuple[str, tuple[bytes, ...]]]:
+        """Each word and its ids by A and B; an empty tuple where their bytes are not space + word."""
+        plain = [w for w in words if not w[0].isspace() and w[-1] != " "]
+        for begin in range(0, len(plain), BLOCK):
+            yield from self._together(plain[begin : begin + BLOCK])
+        for word in set(words).difference(plain) if len(plain) < len(words) else ():
+            yield word, self._alone(word)
+
+    def _ids(self, text: str) -> tuple[np.ndarray, ...]:
+        a, b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
         whole = b" " + text.encode()
-        if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-            return [], []
-        return a, b
+        same = b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
+        return (np.array(a, np.int32), np.array(b, np.int32)) if same else ()
+
+    def _alone(self, word: str) -> tuple[bytes, ...]:
+        return tuple(x.tobytes() for x in self._ids(word))
+
+    def _together(self, words: list[str]) -> Iterable[tuple[str, tuple[bytes, ...]]]:
+        """The ids of words as one text has them, cut where the words end."""
+        stops = np.cumsum([len(w.encode()) + 1 for w in words])
+        sides = []
+        for ids, length in zip(self._ids(" ".join(words)), (self.length_a, self.length_b), strict=False):
+            ends = np.cumsum(length[ids])
+            last = np.searchsorted(ends, stops)
+            if (ends[last] == stops).all():
+                packed, at = ids.tobytes(), (4 * last + 4).tolist()
+                sides.append([packed[s:e] for s, e in zip([0, *at[:-1]], at, strict=True)])
+        if len(sides) < 2:  # a word is not given back byte by byte
+            return [(w, self._alone(w)) for w in words]
+        return zip(words, zip(*sides, strict=True), strict=True)
 
 
 class Files:
@@ -136,9 +166,11 @@ class Alignment:
             for batch in batches:
                 at = 0
                 for part in by_size(raw_texts(batch), 1 << 20):
-                    found = [both.encode(t.decode("utf-8", "replace")) for t in part]
+                    found = both.encode([t.decode("utf-8", "replace") for t in part])
                     arrays = [batch.column(c).slice(at, len(part)) for c in ("key", "copies")]
-                    arrays += [pa.array([ids[k] for ids in found], pa.list_(pa.int32())) for k in (0, 1)]
+                    for side in zip(*found, strict=True):
+                        ends = np.cumsum([0, *map(len, side)]) // 4
+                        arrays.append(pa.ListArray.from_arrays(ends.astype(np.int32), np.frombuffer(b"".join(side), np.int32)))
                     yield pa.RecordBatch.from_arrays(arrays, ["key", "copies", "a", "b"])
                     at += len(part)
 

@@ -13,7 +13,7 @@ from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from cohortspark.llm import alignment, periods, pieces
-from cohortspark.llm.common import table
+from cohortspark.llm.common import Memory, table
 from cohortspark.llm.queries import QUERIES, with_period
 
 DOCS = "doc_id bigint, text string, key string, a int, b int, step int, runs string, ids string, copies int"
@@ -100,6 +100,55 @@ def test_each_distinct_text_is_tokenised_once_and_pairs_are_bounded(spark):
     assert found.pairs().count() <= 2 * (both.length_a.sum() + both.length_b.sum())
 
 
+def plain_ids(both, text):
+    """The ids of a whole text at once."""
+    a, b = both.a.encode(" " + text, add_special_tokens=False).ids, both.b.encode(text)
+    same = b"".join(both.bytes_a[i] for i in a) == b"".join(both.bytes_b[i] for i in b) == b" " + text.encode()
+    return (a, b) if text and same else ([], [])
+
+
+def test_ids_by_words_equal_those_of_whole_texts():
+    both = alignment.Tokenizers(open(BYTES, "rb").read(), open(PIECES, "rb").read())
+    draw = random.Random(9)
+    parts = ["a", "b", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "'s", "!", "the", " the", "1", "é", "日", "▁", "\0", "\r\n", "<s>"]
+    texts = [t or "" for t in ODD] + ["".join(draw.choice(parts) for _ in range(draw.randrange(1, 14))) for _ in range(3000)]
+    for begin in range(0, len(texts), 100):
+        part = texts[begin : begin + 100]
+        for text, sides in zip(part, both.encode(part), strict=True):
+            assert tuple(alignment.np.frombuffer(x, "int32").tolist() for x in sides) == plain_ids(both, text)
+
+
+def test_a_word_that_returns_is_not_given_to_the_libraries_again():
+    both = alignment.Tokenizers(open(BYTES, "rb").read(), open(PIECES, "rb").read())
+    library, given = both.b, []
+
+    class Counted:
+        normalize = staticmethod(library.normalize)
+
+        @staticmethod
+        def encode(text):
+            given.append(text)
+            return library.encode(text)
+
+    both.b = Counted
+    texts = [" ".join(f"word{(i * k) % 50}" for k in range(200)) for i in range(1, 40)]
+    both.encode(texts[:20])
+    both.encode(texts[20:])
+    assert sorted(w for text in given for w in text.split()) == sorted({w for text in texts for w in text.split()})
+
+
+def test_memory_keeps_what_returns_and_stays_bounded():
+    memory = Memory(10, longest=5)
+    for k in range(100):
+        names = {"often", f"n{k}", f"long name {k}"}
+        new = memory.unknown(names)
+        assert new == names - ({"often"} if k else set())
+        memory.recent.update((name, name) for name in new)
+        assert all(memory.recent[name] == name for name in names)
+        memory.trim()
+        assert len(memory.recent) <= 13 and len(memory.older) <= 13 and not any(len(n) > 5 for n in memory.recent)
+
+
 # --- periodic runs -------------------------------------------------------------------
 
 
