@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from cohortspark.llm.common import raw_texts, small_batches
+from cohortspark.llm.common import Memory, raw_texts, small_batches
 from cohortspark.llm.quality import by_size
 
 SPACE_MARK = "▁"
-SEGMENTS = 1 << 18  # distinct segments whose ids a worker remembers
+SEGMENTS = 1 << 19  # twice as many distinct segments have their ids remembered by a worker
 SHORT = 64  # symbols of a segment whose agenda is kept in arrays; results are the same either way
 NEVER = np.iinfo(np.int32).max
 
@@ -68,7 +68,7 @@ class MergeVocabulary:
         across = any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", piece) for piece in longer)
         body = f"[{joins}{SPACE_MARK}]+" if across else f"{SPACE_MARK}*[{joins}]+|{SPACE_MARK}+"
         self.cut = re.compile(f"{body}|[^{joins}{SPACE_MARK}]+").findall
-        self.known: dict[str, bytes] = {}
+        self.known: Memory[bytes] = Memory(SEGMENTS, SHORT)
         self._pair_table(longer)
 
     def _pair_table(self, longer: list[str]) -> None:
@@ -183,11 +183,9 @@ class MergeVocabulary:
         return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _learn(self, segments: set[str]) -> None:
-        short = [s for s in segments if len(s) <= SHORT]
-        if len(self.known) + len(short) > SEGMENTS:
-            self.known.clear()
+        short = [s for s in self.known.unknown(segments) if len(s) <= SHORT]
         if short:
-            self.known.update(zip(short, self._ids(*self._merged_side_by_side(short)), strict=True))
+            self.known.recent.update(zip(short, self._ids(*self._merged_side_by_side(short)), strict=True))
 
     def _by_heap(self, segment: str) -> bytes:
         code = np.array([self._code(s) for s in self.merged(segment)], np.int32)
@@ -196,21 +194,22 @@ class MergeVocabulary:
     def encode(self, texts: list[str], ends: bool = True) -> list[np.ndarray]:
         """The ids of each whole text and, with ``ends``, the end id."""
         cut = [self.cut(self.library.normalize(t)) for t in texts]
-        found = [[*map(self.known.get, segments)] for segments in cut]
+        found = [[*map(self.known.recent.get, segments)] for segments in cut]
         new = {s for segments, ids in zip(cut, found, strict=True) if None in ids for s, x in zip(segments, ids, strict=True) if x is None}
         self._learn(new)
+        known = self.known.recent
         last = [np.int32(self.end).tobytes()] if ends else []
         out = []
         for segments, ids in zip(cut, found, strict=True):
             if None in ids:
-                ids = [x or self.known.get(s) or self._by_heap(s) for s, x in zip(segments, ids, strict=True)]
+                ids = [x or known.get(s) or self._by_heap(s) for s, x in zip(segments, ids, strict=True)]
             out.append(np.frombuffer(b"".join(ids + last), np.int32))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids: without controls and the space in front; invalid bytes as U+FFFD."""
         surface = self.surface
-        data = [surface[i] for i in ids.tolist()]
+        data = [*map(surface.__getitem__, ids.tolist())]
         shown = np.flatnonzero(self.plain[ids])
         if self.prefixed and len(shown):
             first = int(shown[0])
@@ -248,6 +247,19 @@ def _bytes_shown(run: bytes) -> str:
     return out
 
 
+class Model:
+    """The bytes of a model file; a worker makes the vocabulary of them once, for all its tasks."""
+
+    def __init__(self, model_file: str):
+        self.data = Path(model_file).read_bytes()
+        self.made: MergeVocabulary | None = None
+
+    def vocabulary(self) -> MergeVocabulary:
+        if self.made is None:
+            self.made = MergeVocabulary(self.data)
+        return self.made
+
+
 def encode_documents(docs: DataFrame, model_file: str, ends: bool = True) -> DataFrame:
     """One row per document: doc_id, ids (array of int), decoded, agrees.
 
@@ -260,10 +272,10 @@ def encode_documents(docs: DataFrame, model_file: str, ends: bool = True) -> Dat
     where the query is built and sent to the workers; its size does not depend on the documents.
     """
     small_batches(docs.sparkSession, 4 << 20)
-    model = docs.sparkSession.sparkContext.broadcast(Path(model_file).read_bytes())
+    model = docs.sparkSession.sparkContext.broadcast(Model(model_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = MergeVocabulary(model.value)
+        vocabulary = model.value.vocabulary()
         library = vocabulary.library
         for batch in batches:
             at = 0

@@ -283,6 +283,20 @@ def test_agenda_equals_the_library(vocabulary, texts):
         assert ids.tolist() == theirs and vocabulary.decode(ids) == vocabulary.library.decode(theirs)
 
 
+def test_a_worker_makes_one_vocabulary_and_keeps_what_it_learned(vocabulary):
+    model = pieces.Model(PIECES)
+    assert model.vocabulary() is model.vocabulary()
+    own, learned = model.vocabulary(), []
+    learn = own._learn
+    own._learn = lambda words: (learned.extend(words), learn(words))
+    texts = ["the cat sat on the mat", "the mat,\nthe cat", "日本語" * 50 + " the cat", "x" * 100 + " y" * 3, " the  cat ", ""]
+    for _ in range(3):
+        for part in (texts[:3], texts[3:]):
+            assert [x.tolist() for x in own.encode(part)] == [vocabulary.library.encode(t, add_eos=True) for t in part]
+    short = [w for w in learned if len(w) <= pieces.SHORT]
+    assert len(short) == len(set(short)) and not any(len(w) > pieces.SHORT for w in own.known.recent)
+
+
 def test_heap_and_arrays_merge_alike(vocabulary):
     draw = random.Random(4)
     segments = ["▁" + "".join(draw.choice("theinganosr") for _ in range(draw.randrange(1, 40))) for _ in range(300)]
