@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from itertools import pairwise
 
 import public_tokenizers
 import pytest
@@ -297,6 +298,66 @@ def test_a_worker_makes_one_vocabulary_and_keeps_what_it_learned(vocabulary):
     assert len(short) == len(set(short)) and not any(len(w) > pieces.SHORT for w in own.known.recent)
 
 
+def test_each_distinct_segment_of_a_part_is_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    own = pieces.Model(PIECES).vocabulary()
+    texts = ["the cat, the hat. " * 500, "", "the cat the\n" * 300]
+    want = [own.library.encode(t, add_eos=True) for t in texts]
+    assert [x.tolist() for x in own.encode(texts)] == want
+    own.known.recent = Counted(own.known.recent)
+    assert [x.tolist() for x in own.encode(texts)] == want
+    assert Counted.asked < 20
+
+
+def test_texts_are_cut_wherever_no_piece_has_the_two_characters(vocabulary):
+    inside = {p[k : k + 2] for p in vocabulary.id for k in range(len(p) - 1)}
+    texts = ["▁the▁cat,▁日本.▁▁▁x\0▁", "", "t", "é😀th"]
+    want = []
+    for t in texts:
+        segment = t[:1]
+        for pair in map("".join, pairwise(t)):
+            if pair in inside:
+                segment += pair[1]
+            else:
+                want.append(segment)
+                segment = pair[1]
+        want += [segment] * bool(t)
+    segments, of_text = vocabulary._segments(texts)
+    assert segments.to_pylist() == want
+    assert ["".join(want[a:b]) for a, b in pairwise(of_text.tolist())] == texts
+
+
+@pytest.mark.parametrize(("name", "value"), [("BLOCK", 1), ("BLOCK", 7), ("KINDS", 2), ("KINDS", 30), ("WIDTHS", (1, 2))])
+def test_limits_of_blocks_kinds_and_widths_change_no_result(monkeypatch, vocabulary, name, value):
+    monkeypatch.setattr(pieces, name, value)
+    own = pieces.Model(PIECES).vocabulary()
+    texts = [*(t or "" for t in ODD), "the cat,\nthe  hat é日😀" * 9, "", "onionheréationing" * 9]
+    want = [vocabulary.library.encode(t, add_eos=True) for t in texts]
+    ids = own.encode(texts)
+    assert [x.tolist() for x in ids] == want
+    assert own.decode_all(ids) == [vocabulary.library.decode(x) for x in want]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(0, 60) | st.integers(0, 2**53), st.integers(0, 40_000)), st.lists(st.integers(0, 60)))
+def test_pair_table_equals_a_dictionary(values, asked):
+    table_ = pieces.PairTable(pieces.np.array([*values], "int64"), pieces.np.array([*values.values()], "int32"))
+    asked = [*asked, *values]
+    assert table_.find(pieces.np.array(asked, "int64")).tolist() == [values.get(x, -1) for x in asked]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 300) | st.integers(0, 31999), max_size=8), min_size=1, max_size=5))
+def test_decoding_many_texts_equals_the_library(vocabulary, texts):
+    assert vocabulary.decode_all([pieces.np.array(x, "int32") for x in texts]) == [vocabulary.library.decode(x) for x in texts]
+
+
 def test_heap_and_arrays_merge_alike(vocabulary):
     draw = random.Random(4)
     segments = ["▁" + "".join(draw.choice("theinganosr") for _ in range(draw.randrange(1, 40))) for _ in range(300)]
@@ -318,6 +379,15 @@ def test_piece_query_equals_the_library(spark, folder, rows, vocabulary):
     assert rows(QUERIES["op13_piece_agenda"](spark, folder)) == sorted(want, key=repr)
 
 
+def test_pieces_without_ends(spark, vocabulary):
+    docs = [*enumerate(ODD)]
+    got = pieces.encode_documents(frame(spark, docs), PIECES, ends=False).collect()
+    want = [(i, vocabulary.library.encode(t or "")) for i, t in docs]
+    assert sorted((r.doc_id, list(r.ids)) for r in got) == want and all(r.agrees for r in got)
+    alone = pieces.encode_documents(frame(spark, [(0, None)]), PIECES, ends=False).collect()
+    assert [(list(r.ids), r.decoded, r.agrees) for r in alone] == [([], "", True)]
+
+
 def test_pieces_of_odd_documents(spark, vocabulary):
     docs = [*enumerate(ODD), (None, "a"), (None, None), (1, "a")]
     got = pieces.encode_documents(frame(spark, docs), PIECES).collect()
