@@ -57,7 +57,10 @@ def left_null_safe(left: DataFrame, right: DataFrame, left_key: str, right_key:
     ``right`` without one. There are as many parts as their pairs fill with PAIRS_AT_ONCE, but no more than
     such rows of ``left`` or than tasks can use; where one side has none, nothing is copied.
     """
-    missing = [side.where(F.col(key).isNull()).agg(F.count(F.lit(1))).scalar() for side, key in ((left, left_key), (right, right_key))]
+    without = [side.where(F.col(key).isNull()).select(F.lit(i).alias("side")) for i, (side, key) in enumerate(((left, left_key), (right, right_key)))]
+    sizes = [F.count(F.when(F.col("side") == i, 1)).alias(f"of_{i}") for i in (0, 1)]
+    counted = without[0].unionAll(without[1]).agg(F.struct(*sizes).alias("sizes")).scalar()
+    missing = [counted.getField("of_0"), counted.getField("of_1")]
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # rows without a match go wherever there is room
     dealt = F.when(missing[1] == 0, missing[0]).otherwise(F.ceil(missing[0].cast("double") * missing[1] / PAIRS_AT_ONCE))
